@@ -45,34 +45,59 @@ def _cuts_below() -> Column:
         (low + step <= F.size("_cuts")) & (F.get("_cuts", low + step - 1) < F.col("_key")), low + step).otherwise(low))
 
 
-def ordered_running(df: DataFrame, by: Sequence[Column], measures: dict[str, Column],
-                    partition: Sequence[str] = ()) -> DataFrame:
-    """Add ``cum_<name>`` (inclusive running sum) for every measure.
+def ordered_running(df: DataFrame, by: Sequence[Column], measures: dict[str, Column] | None = None,
+                    partition: Sequence[str] = (), maxima: dict[str, Column] | None = None,
+                    exclusive: bool = False) -> DataFrame:
+    """Add running sums ``cum_<name>`` and running maxima ``top_<name>`` along ``by``.
 
     ``by`` are ascending sort keys, distinct per partition for a defined order.
+    ``exclusive`` leaves the current row out (a sum starts at 0, a maximum at null).
     """
     partition = list(partition)
+    measures, maxima = measures or {}, maxima or {}
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
     cuts = split_points(df, key)
     tagged = df.withColumn("_key", key).withColumn("_cuts", cuts).withColumn("_bucket", _cuts_below()).drop("_cuts")
-    for name, column in measures.items():
-        tagged = tagged.withColumn(f"_m_{name}", column)
+    tagged = tagged.withColumns({f"_m_{n}": c for n, c in measures.items()} | {f"_x_{n}": c for n, c in maxima.items()})
     totals = tagged.groupBy(*partition, "_bucket").agg(
-        *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in measures])
+        *[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in measures], *[F.max(f"_x_{n}").alias(f"_x_{n}") for n in maxima])
     earlier = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*partition, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_s_{name}") for name in measures])
-    inside = (Window.partitionBy(*partition, "_bucket").orderBy("_key")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    renamed = starts.select(*[F.col(c).alias(f"_p_{c}") for c in partition],
-                            F.col("_bucket").alias("_p_bucket"), *[f"_s_{name}" for name in measures])
+    starts = totals.select(*[F.col(c).alias(f"_p_{c}") for c in partition], F.col("_bucket").alias("_p_bucket"),
+                           *[F.coalesce(F.sum(f"_m_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in measures],
+                           *[F.max(f"_x_{n}").over(earlier).alias(f"_y_{n}") for n in maxima])
+    inside = Window.partitionBy(*partition, "_bucket").orderBy("_key").rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     on = F.col("_bucket") == F.col("_p_bucket")
     for c in partition:
         on = on & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
-    joined = tagged.join(renamed, on, "left")
-    return joined.select(
+    return tagged.join(starts, on, "left").select(
         *df.columns,
-        *[(F.sum(f"_m_{name}").over(inside) + F.col(f"_s_{name}")).alias(f"cum_{name}") for name in measures])
+        *[(F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0)) + F.col(f"_s_{n}")).alias(f"cum_{n}") for n in measures],
+        *[F.greatest(F.max(f"_x_{n}").over(inside), F.col(f"_y_{n}")).alias(f"top_{n}") for n in maxima])
+
+
+def last_seen(df: DataFrame, by: Sequence[Column], value: Column, name: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Add ``name``: the latest non-null ``value`` up to and including each row."""
+    order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
+    carried = F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("value")))
+    return ordered_running(df, by, partition=partition, maxima={"seen": carried}).select(
+        *df.columns, F.col("top_seen.value").alias(name))
+
+
+def positions(df: DataFrame, by: Sequence[Column], partition: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """1..n along ``by`` within each partition; a hot partition is spread over tasks."""
+    return ordered_running(df, by, {"one": F.lit(1)}, partition).withColumnRenamed("cum_one", name)
+
+
+def following(df: DataFrame, by: Sequence[Column], partition: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Pair each row with the next one: an equi join on position instead of ``lead`` over a hot key."""
+    placed = positions(df, by, partition, "_at")
+    after = placed.select(*[F.col(c).alias(f"_n_{c}") for c in partition], (F.col("_at") - 1).alias("_n_at"),
+                          *[F.col(c).alias(f"next_{c}") for c in columns])
+    on = F.col("_at") == F.col("_n_at")
+    for c in partition:
+        on = on & (F.col(c) == F.col(f"_n_{c}"))
+    return placed.join(after, on, "left").select(*df.columns, *[f"next_{c}" for c in columns])
 
 
 def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -126,3 +126,46 @@ CONTACTS = """contacts AS (SELECT l_returnflag AS replicate, l_partkey // 20 AS
 
 def sql(*parts: str, tail: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(parts) + " " + tail
+
+
+def pairs(spark, sf):
+    """Ordered-pair panel with nullable support and contact."""
+    from tallyarc.operators.rollup import pair_support
+
+    return pair_support(reads(spark, sf), keep=["parent_a", "parent_b", "l_partkey", "l_suppkey"]).selectExpr(
+        "pair_id", "parent_a", "parent_b", "l_partkey AS pk", "l_suppkey AS sk",
+        "CAST(l_partkey % 7 = 0 AS INT) AS label",
+        "CASE WHEN l_partkey % 11 <> 0 THEN support END AS long_read_support", "CAST(NULL AS DOUBLE) AS sample_count",
+        "CAST(l_partkey % 3 <> l_suppkey % 3 AS INT) AS is_interchromosomal",
+        "abs(l_partkey * 10 - l_suppkey * 7) AS genomic_distance",
+        "CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 17) / 4.0D END AS contact")
+
+
+PAIRS = """pairs AS (SELECT pair_id, parent_a, parent_b, l_partkey AS pk, l_suppkey AS sk, CAST(l_partkey % 7 = 0 AS INT) AS label,
+ CASE WHEN l_partkey % 11 <> 0 THEN count(DISTINCT read_id) END AS long_read_support, CAST(NULL AS DOUBLE) AS sample_count,
+ CAST(l_partkey % 3 <> l_suppkey % 3 AS INT) AS is_interchromosomal, abs(l_partkey * 10 - l_suppkey * 7) AS genomic_distance,
+ CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 17) / 4.0 END AS contact
+ FROM reads GROUP BY pair_id, parent_a, parent_b, l_partkey, l_suppkey)"""
+
+# Arms of a split read, shaped from order lines.
+_SPLITS = [
+    ("row_id", "{cat}"), ("read_id", "l_orderkey"), ("shorter_anchor", "CAST(l_quantity * 10 AS BIGINT)"),
+    ("shorter_overlap", "CAST(80 + l_partkey % 400 AS BIGINT)"), ("genes_left", "CAST(1 + l_suppkey % 10 {div} 9 AS BIGINT)"),
+    ("genes_right", "CAST(1 + l_partkey % 12 {div} 11 AS BIGINT)"), ("mapq", "CAST(l_orderkey % 61 AS BIGINT)"),
+    ("competitors", "CAST(l_linenumber {div} 6 AS BIGINT)"), ("coverage", "CAST(1 - l_discount * 3 AS DOUBLE)"),
+    ("query_gap", "CAST(l_partkey % 60 - 30 AS BIGINT)"), ("span", "CAST(l_quantity * 20 AS DOUBLE)"),
+    ("margin", "CASE WHEN l_suppkey % 9 <> 0 THEN CAST(l_partkey % 300 AS DOUBLE) END"),
+    ("single_coverage", "CASE WHEN l_suppkey % 9 <> 0 THEN CAST(l_orderkey % 101 AS DOUBLE) / 100 END"),
+    ("arm1", "CAST(60 + l_partkey % 100 AS BIGINT)"), ("arm2", "CAST(60 + l_orderkey % 200 AS BIGINT)"),
+    ("mapq2", "CAST(10 + l_suppkey % 50 AS BIGINT)"), ("statistic", "CAST(l_discount AS DOUBLE)"),
+    ("caller", "CASE WHEN l_linestatus = 'F' THEN 'LongGF' ELSE 'Genion' END"), ("flag", "l_returnflag"),
+]
+
+
+def splits(spark, sf):
+    return _view(spark, sf, "lineitem", *[
+        e.format(div="DIV", cat="concat(l_orderkey, '/', l_linenumber, '/', l_partkey)") + f" AS {n}" for n, e in _SPLITS])
+
+
+SPLITS = "splits AS (SELECT " + ", ".join(
+    e.format(div="//", cat="l_orderkey || '/' || l_linenumber || '/' || l_partkey") + f" AS {n}" for n, e in _SPLITS) + " FROM lineitem)"
