@@ -90,7 +90,7 @@ def j20(spark, sf):
  s AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE event_type <> 'error')
  SELECT job_id, count(*) AS samples, max(value) AS peak FROM att JOIN s ON att.user_id = s.user_id AND s.t >= t0 AND s.t < t1 GROUP BY job_id""")
 def j29(spark, sf):
-    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value", F.unix_micros("ts").alias("t"))
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     attempts = following(ev.where("event_type = 'error'").select("user_id", "event_id", "t"), [F.col("t"), F.col("event_id")],
                          ["user_id"], ["t"]).where("next_t > t").withColumnRenamed("t", "t0")
     samples = ev.where("event_type <> 'error'").select("user_id", "t", "value")
@@ -194,8 +194,8 @@ def w14(spark, sf):
 
 @plan("w15_segment_gaps", """SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) - CAST(floor(value * 1000) AS BIGINT) AS query_gap FROM events""")
 def w15(spark, sf):
-    ev = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros("ts").alias("qstart"),
-                                           (F.unix_micros("ts") + F.floor(F.col("value") * 1000)).alias("qend"))
+    ev = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("qstart"),
+                                           (F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000)).alias("qend"))
     return following(ev, [F.col("qstart"), F.col("event_id")], ["user_id"], ["qstart"]).select(
         "event_id", (F.col("next_qstart") - F.col("qend")).alias("query_gap"))
 
@@ -228,9 +228,9 @@ def w18(spark, sf):
 def even_picks(df, order, m: int):
     """Rows at m evenly spaced positions of the ordering, ends included, repeats dropped."""
     ranked = positions(df, order, name="rn")
-    n = df.agg(F.count("*").alias("n")).scalar()
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(m - 1)), 0).cast("long") + 1)
-    return ranked.where(F.array_contains(wanted, F.col("rn")))
+    sized = ranked.withColumn("_n", df.agg(F.count("*").alias("n")).scalar())
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(m - 1)), 0).cast("long") + 1)
+    return sized.where(F.array_contains(wanted, F.col("rn"))).drop("_n")
 
 
 @plan("w20_extended_loops", """WITH b AS (SELECT DISTINCT l_suppkey AS chrom, l_partkey // 10 * 10 AS idx1, l_partkey // 10 * 10 + CAST(l_quantity AS BIGINT) AS idx2 FROM lineitem WHERE l_returnflag = 'R'),
