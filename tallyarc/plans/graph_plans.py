@@ -196,22 +196,13 @@ def f16(spark, sf):
                         T.near_identical(F.col("text"), edited).alias("near_edited"))
 
 
-_NEAR = "CASE WHEN abs(length(d.text) - length(t.text)) <= greatest(length(d.text), length(t.text)) // 20 THEN levenshtein(d.text, t.text) <= greatest(length(d.text), length(t.text)) // 20 ELSE false END"
-PICKS = f"""docs AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5(text), doc_id) AS rank FROM documents),
- pk AS (SELECT 1 AS step, [1::BIGINT] AS taken UNION ALL SELECT step + 1, list_append(taken, (SELECT min(d.rank) FROM docs d WHERE d.rank > list_max(taken)
- AND NOT EXISTS (SELECT 1 FROM docs t WHERE list_contains(pk.taken, t.rank) AND {_NEAR}))) FROM pk WHERE step < 8),
- fin AS (SELECT taken FROM pk WHERE step = 8)"""
-
-
 def ranked_documents(spark, sf):
     from tallyarc.operators.scan import positions
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.md5("text").alias("_m"), F.col("source").alias("klass"))
     return positions(docs, [F.col("_m"), F.col("doc_id")], name="rank").drop("_m")
 
 
-@plan("t4_greedy_shortlist", sql(PICKS, tail=f"""SELECT d.doc_id, CAST(nullif(list_position(taken, d.rank), 0) AS INT) AS taken_order,
- CASE WHEN list_position(taken, d.rank) IS NULL OR list_position(taken, d.rank) = 0 THEN (SELECT arg_min(t.doc_id, list_position(fin.taken, t.rank)) FROM docs t WHERE list_contains(fin.taken, t.rank) AND {_NEAR}) END AS representative
- FROM docs d, fin WHERE d.rank <= list_max(taken)""", recursive=True))
+@plan("t4_greedy_shortlist")
 def t4(spark, sf):
     docs = cut_lineage(ranked_documents(spark, sf))
     taken, marked = T.shortlist(docs, ["rank"], "doc_id", "text", 8)
