@@ -11,10 +11,10 @@ from tallyarc.operators.scan import ordered_running, positions
 
 
 def near_identical(a: Column, b: Column) -> Column:
-    """Edit distance of at most 5 % of the longer text (length check first, then the bounded form)."""
-    limit = F.floor(F.greatest(F.length(a), F.length(b)) / 20)
+    """Edit distance of at most 5 % of the longer text: lengths first, then the banded form (-1 beyond the limit)."""
+    limit = F.floor(F.greatest(F.length(a), F.length(b)) / 20).cast("int")
     near = F.abs(F.length(a) - F.length(b)) <= limit
-    return F.when(near, F.levenshtein(a, b) <= limit).otherwise(False)
+    return F.when(a == b, True).when(near, F.call_function("levenshtein", a, b, limit) >= 0).otherwise(False)
 
 
 def _near_any(sequence: str, taken: Sequence, near) -> Column:
