@@ -143,7 +143,7 @@ def a32(spark, sf):
         F.count_if(F.col("c") != "-").alias("depth"))
 
 
-@plan("j26_context_comparison", sql(V.PROFILE, """frag AS (SELECT vec_id, label, 5 + vec_id % 10 AS a, 30 + vec_id % 20 AS b FROM embeddings), first_ AS (SELECT label, min(vec_id) AS ref FROM embeddings GROUP BY 1),
+@plan("j26_context_comparison", sql(V.PROFILE, """frag AS (SELECT vec_id, CAST(label AS BIGINT) AS label, 5 + vec_id % 10 AS a, 30 + vec_id % 20 AS b FROM embeddings), first_ AS (SELECT CAST(label AS BIGINT) AS label, min(vec_id) AS ref FROM embeddings GROUP BY 1),
  c AS (SELECT f.vec_id, f.label, a, b, avg(CAST(value >= 0 AS INT)) AS x FROM frag f JOIN profile p ON p.vec_id = f.vec_id AND pos > a AND pos <= b GROUP BY ALL),
  n AS (SELECT f.vec_id, avg(CAST(value >= 0 AS INT)) AS y FROM frag f JOIN first_ USING (label) JOIN profile p ON p.vec_id = ref AND pos > a AND pos <= b GROUP BY ALL)""",
      tail="SELECT label, a AS start, b AS \"end\", round(x, 6) AS candidate_share, round(y, 6) AS parent_share, round(x - y, 6) AS delta, count(*) AS ids, min(vec_id) AS first_id FROM c JOIN n USING (vec_id) GROUP BY ALL"))
@@ -160,7 +160,7 @@ def j26(spark, sf):
 
 
 # Exons of a transcript (one order): disjoint inclusive spans, even orders forward.
-_EX = "ex AS (SELECT l_orderkey AS tx, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_partkey * 100 AS s, max(l_partkey * 100 + CAST(l_quantity AS BIGINT)) AS e FROM lineitem GROUP BY ALL), pl AS (SELECT *, coalesce(sum(e - s + 1) OVER (PARTITION BY tx ORDER BY CASE strand WHEN '+' THEN s ELSE -s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0 FROM ex)"
+_EX = "ex AS (SELECT l_orderkey AS tx, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_partkey * 100 AS s, max(l_partkey * 100 + CAST(l_quantity AS BIGINT)) AS e FROM lineitem GROUP BY ALL), pl AS (SELECT *, CAST(coalesce(sum(e - s + 1) OVER (PARTITION BY tx ORDER BY CASE strand WHEN '+' THEN s ELSE -s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS t0 FROM ex)"
 
 
 def placed_exons(spark, sf):

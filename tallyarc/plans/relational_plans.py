@@ -208,9 +208,10 @@ def pair_record(pairs, pair_id: str):
     return found
 
 
-@plan("p17_partition_guard", "SELECT doc_id, quality FROM labels WHERE doc_id % 5 <> 4")
+@plan("p17_partition_guard", "SELECT doc_id, quality FROM labels JOIN documents USING (doc_id) WHERE lang <> 'de'")
 def p17(spark, sf):
-    rows = table(spark, sf, "labels").withColumn("partition", F.when(F.col("doc_id") % 5 == 4, "heldout").otherwise("development"))
+    """German items stand for the held-out partition."""
+    rows = V.scored(spark, sf).withColumn("partition", F.when(F.col("lang") == "de", "heldout").otherwise("development"))
     return partition_rows(rows, "development").select("doc_id", "quality")
 
 
