@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyarc.operators.scan import ordered_running, positions
+from tallyarc.session import spread
 
 
 def near_identical(a: Column, b: Column) -> Column:
@@ -45,9 +46,11 @@ def shortlist(eligible: DataFrame, order: Sequence[str], item: str, sequence: st
     slots comparisons, no pair table and no limit on what may be redundant. A taken
     row is near itself, and all rows before the last pick are settled, so each round
     looks only behind it. Returns the taken rows and ``eligible`` with
-    (taken_order, representative); rows behind the last pick stay open.
+    (taken_order, representative); rows behind the last pick stay open. ``eligible``
+    is read once per round: pass a stored table.
     """
     taken = []
+    eligible = spread(eligible)
     columns = list(dict.fromkeys([*order, item, sequence, *keep]))
     while len(taken) < slots:
         behind = F.struct(*order) > _place(eligible, order, taken[-1]) if taken else None
@@ -68,6 +71,7 @@ def shortlist(eligible: DataFrame, order: Sequence[str], item: str, sequence: st
 def fill_with_diversity(eligible: DataFrame, order: Sequence[str], item: str, sequence: str, singleton: Column, klass: str,
                         first: int = 8, total: int = 10, near=near_identical) -> DataFrame:
     """Ranked picks, one singleton, one new class, then ranked fill: rows (item, reason, selection_order)."""
+    eligible = spread(eligible)
     columns = list(dict.fromkeys([*order, item, sequence, klass]))
     taken, _ = shortlist(eligible, order, item, sequence, first, near, keep=[klass])
     reasons = ["top_ranked_distinct_protein"] * len(taken)

@@ -226,7 +226,7 @@ def t6(spark, sf):
 def t6_shortlist(spark, sf):
     """Interleaved lists with near copies suppressed."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")
-    turns = cut_lineage(T.interleave(docs, "source", [-F.col("n_chars"), F.col("doc_id")]))
+    turns = cut_lineage(T.interleave(docs, "source", [F.col("n_chars"), F.col("doc_id")]))
     taken, marked = T.shortlist(turns, ["turn"], "doc_id", "text", 10)
     return marked.where(F.col("turn") <= taken[-1]["turn"]).select("doc_id", "turn", "taken_order", "representative")
 

@@ -11,6 +11,7 @@ from tallyarc.operators import joins as J
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
 from tallyarc.plans.views import sql
+from tallyarc.session import spread
 
 # Bases with N for the rare letters: unreadable codons.
 MASKED = "translate(regexp_replace(lower(text), '[^a-z]', ''{g}), '%s', '%s')" % (
@@ -24,7 +25,7 @@ def _translated(expr):
 
 
 def masked(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id AS seq_id", MASKED.format(g="") + " AS seq")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).selectExpr("doc_id AS seq_id", MASKED.format(g="") + " AS seq")
 
 
 @plan("f1_reverse_complement", sql(V.DNA, tail="SELECT seq_id, reverse(translate(seq, 'ACGTNacgtn', 'TGCANtgcan')) AS rc FROM dna"))
@@ -104,7 +105,7 @@ def key_status(suffixed, bad_length, first_found, second_found):
 @plan("f15_mean_phred", """SELECT doc_id, round(q, 6) AS mean_quality FROM (SELECT doc_id, -10 * log10(list_sum(list_transform(range(1, length(t) + 1), lambda i: pow(10, -(ascii(t[i]) - 33) / 10.0))) / length(t)) AS q
  FROM (SELECT doc_id, regexp_replace(text, '[^!-~]', '', 'g') AS t FROM documents) WHERE length(t) > 0) WHERE q >= 25""")
 def f15(spark, sf):
-    q = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^!-~]", "").alias("t")).where("length(t) > 0")
+    q = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", "[^!-~]", "").alias("t")).where("length(t) > 0")
     return q.select("doc_id", Q.mean_phred(F.col("t")).alias("q")).where("q >= 25").select("doc_id", F.round("q", 6).alias("mean_quality"))
 
 
@@ -137,7 +138,7 @@ ALN = "aln0 AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ALN.items()) + f
 
 
 def alignments(spark, sf):
-    base = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _ALN.items()])
+    base = spread(table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _ALN.items()]))
     return base.selectExpr("*", f"{_CIGAR} AS cigar", f"{_MD} AS md", "s + q + m2 + i + m3 + m4 AS n")
 
 

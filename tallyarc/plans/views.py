@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyarc.plans.registry import table
+from tallyarc.session import spread
 
 
 def _view(spark: SparkSession, sf: str, source: str, *columns: str) -> DataFrame:
@@ -94,8 +95,8 @@ BASES = ("ATGC" * 7)[:len(LETTERS)]
 
 def dna(spark, sf, source: str = "documents", key: str = "doc_id"):
     """Whole texts as base sequences; characters other than a-z are removed."""
-    return _view(spark, sf, source, f"{key} AS seq_id",
-                 f"translate(regexp_replace(lower(text), '[^a-z]', ''), '{LETTERS}', '{BASES}') AS seq")
+    return spread(table(spark, sf, source).select(key, "text")).selectExpr(
+        f"{key} AS seq_id", f"translate(regexp_replace(lower(text), '[^a-z]', ''), '{LETTERS}', '{BASES}') AS seq")
 
 
 DNA = f"""dna AS (SELECT doc_id AS seq_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'),
