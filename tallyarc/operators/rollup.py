@@ -45,9 +45,8 @@ def molecules(evidence: DataFrame) -> DataFrame:
     assessed = ["specimen_id", "state", "mapping_specific", "margin", "anchor"]
     body = F.struct(*assessed)
     grouped = evidence.groupBy("junction_id", "sample_id", "read_id").agg(
-        F.min(F.to_json(body)).alias("_low"), F.max(F.to_json(body)).alias("_high"),
-        F.first(body).alias("_body"), F.array_sort(F.collect_set("caller")).alias("callers"))
-    checked = guarded(F.col("_body"), F.col("_low") != F.col("_high"), "conflicting assessment of the same molecule")
+        F.min(body).alias("_body"), F.max(body).alias("_other"), F.array_sort(F.collect_set("caller")).alias("callers"))
+    checked = guarded(F.col("_body"), ~F.col("_body").eqNullSafe(F.col("_other")), "conflicting assessment of the same molecule")
     return grouped.withColumn("_body", checked).select(
         "junction_id", "sample_id", "read_id", *[f"_body.{c}" for c in assessed], "callers")
 

@@ -215,7 +215,7 @@ def x1(spark, sf):
      tail="SELECT replicate, round(aa, 6) AS aa, round(bb, 6) AS bb, round(ab, 6) AS ab, round(log2(aa * bb / (ab * ab)), 6) AS strength FROM t"))
 def h13(spark, sf):
     score = norms(spark, sf)
-    cut = grouped_quantiles(score, [], "norm", {"lo": 0.2, "hi": 0.8})
+    cut = cut_lineage(grouped_quantiles(score, [], "norm", {"lo": 0.2, "hi": 0.8}))  # one row, read four times
     lo, hi = cut.select("lo").scalar(), cut.select("hi").scalar()
     parts = score.select("bin", F.when(F.col("norm") >= hi, "A").when(F.col("norm") <= lo, "B").alias("part")).where("part IS NOT NULL")
     out = H.compartment_strength(V.contacts(spark, sf), parts, ["replicate"])

@@ -55,10 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
+    """Deal out the rows of a scan that has fewer than two splits per core.
 
-    For row-heavy work on small inputs only: a large table has more splits than
-    cores and passes through without a shuffle. ``scan`` must not hold a shuffle.
+    For row-heavy work on small inputs only (a split may hold no row group): a large
+    table has more splits and passes through without a shuffle. ``scan`` must not
+    hold a shuffle itself.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
