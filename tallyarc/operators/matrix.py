@@ -57,7 +57,7 @@ def masked(rows: DataFrame, norms: DataFrame) -> DataFrame:
 
 
 def enrichment(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Median of the centre 3 x 3 over the median of the 64 corner cells, with a state."""
+    """Median of the centre 3 x 3 over the median of the 64 corner cells, with a state (fixed values: its names)."""
     centre = (F.abs("i") <= 1) & (F.abs("j") <= 1)
     corner = (F.abs("i") >= 2) & (F.abs("j") >= 2)
     t = rows.groupBy(*keys).agg(

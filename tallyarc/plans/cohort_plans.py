@@ -323,7 +323,7 @@ def t3(spark, sf):
 
 
 def eligibility(r):
-    """Every blocking reason and one disposition per junction."""
+    """Every blocking reason and one disposition per junction (fixed values: their names)."""
     more = rollup.reason_list({
         "supporting_read_reconstruction_incomplete": F.col("recs") * 2 < F.col("reads"), "unresolved_sequence_in_supporting_reads": F.col("unresolved") > 0,
         "no_complete_junction_spanning_ORF": F.col("lo").isNull(), "conflicting_primary_protein_sequences_across_reads": F.col("lo") != F.col("hi")})
