@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm import mixing, quality_rules, topk
+from tallyarc.llm import bpe, lm, mixing, quality_rules, topk
 from tallyarc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def byte_bpe() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the installed public vocabulary."""
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), *byte_bpe())
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed rules and robust outliers of every document."""
@@ -37,6 +50,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+@query("op6_lm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and baseline scores of every document."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_topk", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
