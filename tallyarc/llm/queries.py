@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm import bpe, html_text, lm, mixing, near_dedup, quality_model, quality_rules, topk, toxicity
+from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, topk, toxicity
 from tallyarc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_license_scan", license_scan.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe() -> tuple[dict[bytes, int], str]:
     """Ranks and pattern of the installed public vocabulary."""
     import public_tokenizers
