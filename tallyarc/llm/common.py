@@ -42,3 +42,13 @@ def require_rows(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"more than {most} {what}")
     return rows
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """``docs`` with its columns under neutral names beside the ``used`` ones, those neutral names, and the columns as they were.
+
+    So an operator's own columns can't clash with columns that ride along. A used column isn't kept twice.
+    """
+    neutral = [c if c in used else f"in_{i}" for i, c in enumerate(docs.columns)]
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, neutral, strict=True)])
+    return renamed, neutral, [F.col(n).alias(c) for c, n in zip(docs.columns, neutral, strict=True)]

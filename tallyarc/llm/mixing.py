@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import require_rows, stored, word_count
+from tallyarc.llm.common import require_rows, set_aside, stored, word_count
 
 #: Weights by the order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -177,9 +177,10 @@ def taken(docs: DataFrame, blocks: int = 1024, seed: int = 7) -> DataFrame:
 
 
 def mix(docs: DataFrame, blocks: int = 1024, seed: int = 7) -> DataFrame:
-    """The mixed documents: all columns of ``docs`` and mix_shard, a row for each copy, shuffled within each shard."""
-    sized = with_blocks(docs, blocks, seed)
+    """The mixed documents, with all columns of ``docs``: a row for each copy, one partition for a shard, shuffled within it."""
+    renamed, neutral, back = set_aside(docs, "doc_id", "text", "source")
+    sized = with_blocks(renamed, blocks, seed)
     _, units = plan(sized.select("mix_source", "mix_block", "mix_size"), seed)
-    rows = _by_block(sized, units, "inner").select(*docs.columns, F.explode("draws").alias("mix_draw"))
-    rows = rows.select(*docs.columns, F.col("mix_draw.shard").alias("mix_shard"), F.xxhash64("doc_id", "mix_draw.copy", F.lit(seed)).alias("mix_order"))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").drop("mix_order")
+    rows = _by_block(sized, units, "inner").select(*neutral, F.explode("draws").alias("draw"))
+    rows = rows.select(*neutral, F.col("draw.shard").alias("mix_shard"), F.xxhash64("doc_id", "draw.copy", F.lit(seed)).alias("mix_order"))
+    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*back)

@@ -30,8 +30,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import set_aside, stored
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 HASHES, STEP = BANDS * ROWS, 40
@@ -229,8 +230,8 @@ def _unsettled(members: DataFrame, labels: DataFrame, content: DataFrame, thresh
     return every.select(*columns).groupBy("key", "mb", "ob").cogroup(few).applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents, and node and component of the nodes that are linked."""
     threshold = percent / 100
     sketched = stored(sketches(docs))
     filled = sketched.where("n_shingles > 0")
@@ -246,7 +247,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = stored(confirm(stored(_unsettled(members.select("key", "node"), labels, content, threshold)), content, percent))
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return _result(sketched, labels)
+    return sketched, labels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return _result(*_labelled(docs, percent))
+
+
+def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: of each component the row of the smallest doc_id stays.
+
+    Rows without shingles all stay; of rows that repeat both doc_id and words, one stays.
+    """
+    sketched, labels = _labelled(docs, percent)
+    renamed, neutral, back = set_aside(docs, "doc_id", "text")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = WordKeys()
+        for frame in frames:
+            yield frame.assign(d_node=[node_key(shingles(t, keys)) for t in frame["text"]])
+
+    filled = sketched.where("n_shingles > 0").select(F.col("doc_id").alias("d_id"), "node").distinct().join(labels, "node", "left")
+    ranked = filled.withColumn("component", F.coalesce("component", "node"))
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("d_id").isNull(), "d_id", "node")).alias("f")).select(F.col("f.d_id").alias("f_id"), F.col("f.node").alias("f_node"))
+    noded = renamed.mapInPandas(run, f"{types}, d_node long")
+    empty = noded.where("d_node = 0").select(*back)
+    found = noded.where("d_node <> 0").join(first, (F.col("d_node") == F.col("f_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")))
+    once = Window.partitionBy("d_node", F.col("doc_id")).orderBy(F.lit(1))
+    return found.withColumn("d_copy", F.row_number().over(once)).where("d_copy = 1").select(*back).unionByName(empty)
 
 
 def _result(sketched: DataFrame, labels: DataFrame) -> DataFrame:

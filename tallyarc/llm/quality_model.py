@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm import linear
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import set_aside, stored
 from tallyarc.llm.quality_rules import text_stats
 
 SAMPLE = 4000
@@ -125,4 +125,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most:
     """The rows of ``docs`` that the classifier keeps, with all their columns. Two narrow passes; no text is shuffled for a small table of paths."""
     model = train(docs, labels, most=most)
     posteriors = path_posteriors(with_evidence(docs, model, []), model.prior)
-    return combine(with_evidence(docs, model, docs.columns), posteriors).where(F.col("q_good") >= threshold).select(*docs.columns)
+    renamed, neutral, back = set_aside(docs, "doc_id", "text", "lang", "source")
+    return combine(with_evidence(renamed, model, neutral), posteriors).where(F.col("q_good") >= threshold).select(*back)

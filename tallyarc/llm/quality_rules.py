@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import set_aside, stored
 
 #: Bytes that part words, symbol characters, the window of the repeat rule.
 SPACES = [32, 9, 10, 11, 12, 13]
@@ -239,3 +239,9 @@ def verdicts(docs: DataFrame, keep: list[str], min_rows: int = 100, alarm: float
     inside = F.coalesce(F.col("distance") <= chi2_quantile(1 - alarm, len(FEATURES)), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside).select(
         *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that both the fixed rules and the outlier test keep, with all their columns."""
+    renamed, neutral, back = set_aside(docs, "doc_id", "text", "lang", "source")
+    return verdicts(renamed, neutral).where("kept").select(*back)
