@@ -19,18 +19,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a batch: one with ``words`` (its distinct tokens, by code), then one for each text with ``codes``.
-SCHEMA = "batch long, doc_id long, is_text boolean, codes binary, words array<string>"
+SCHEMA = "batch long, doc_id long, is_text boolean, codes binary, words binary"
 
 
 def squeeze(codes: np.ndarray) -> bytes:
-    return zlib.compress(codes.astype("<u4").tobytes(), 1)
+    """Small whole numbers, byte place by byte place, compressed."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def pack(docs: DataFrame, tokens: Callable[[str], list[str]], chars: int = 16_000_000) -> DataFrame:
+def squeeze_words(words: list) -> bytes:
+    raw = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
+    lens = squeeze(np.array([len(w) for w in raw], dtype=np.uint32))
+    return len(lens).to_bytes(4, "little") + lens + zlib.compress(b"".join(raw), 1)
+
+
+def unsqueeze_words(blob: bytes) -> list[bytes]:
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    ends = np.cumsum(unsqueeze(blob[4:cut])).tolist()
+    whole = zlib.decompress(blob[cut:])
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def pack(docs: DataFrame, tokens: Callable[[str], list], chars: int = 16_000_000) -> DataFrame:
     """Coded batches of about ``chars`` characters of ``docs`` (doc_id, text), dealt out by batch.
 
     A null text is empty. A text is never cut: one that is longer makes a batch alone.
@@ -38,7 +54,7 @@ def pack(docs: DataFrame, tokens: Callable[[str], list[str]], chars: int = 16_00
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
-        table: dict[str, int] = {}
+        table: dict = {}
         rows: list[tuple] = []
         size = 0
 
@@ -50,7 +66,7 @@ def pack(docs: DataFrame, tokens: Callable[[str], list[str]], chars: int = 16_00
             made += 1
             batch = int.from_bytes(digest.digest(), "big", signed=True)
             out = pd.DataFrame(rows, columns=["doc_id", "codes"]).assign(is_text=True, words=None)
-            head = pd.DataFrame({"doc_id": [None], "codes": [None], "is_text": [False], "words": [list(table)]})
+            head = pd.DataFrame({"doc_id": [None], "codes": [None], "is_text": [False], "words": [squeeze_words(list(table))]})
             out = pd.concat([head.astype({"doc_id": object}), out.astype({"doc_id": object})], ignore_index=True).assign(batch=batch)
             return out.assign(doc_id=out["doc_id"].astype("Int64"))[["batch", "doc_id", "is_text", "codes", "words"]]
 
@@ -75,8 +91,15 @@ def buckets(spark) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dictionary(frame: pd.DataFrame) -> tuple[list[str], pd.DataFrame]:
+def dictionary(frame: pd.DataFrame) -> tuple[list[bytes], pd.DataFrame]:
     """The distinct tokens and the text rows of one batch."""
     texts = frame[frame["is_text"]]
     heads = frame.loc[~frame["is_text"], "words"]
-    return (list(heads.iloc[0]) if len(heads) else []), texts
+    return (unsqueeze_words(heads.iloc[0]) if len(heads) else []), texts
+
+
+def by_bucket(at: np.ndarray, keys: np.ndarray | None = None) -> list[np.ndarray]:
+    """Positions by bucket, in the order of the keys (or their own): request and answer list the same in the same order."""
+    order = np.argsort(at, kind="stable") if keys is None else np.lexsort((keys, at))
+    cuts = np.flatnonzero(np.diff(at[order])) + 1
+    return [c for c in np.split(order, cuts) if len(c)]

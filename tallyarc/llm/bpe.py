@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.batches import buckets, dictionary, pack, unsqueeze
+from tallyarc.llm.batches import buckets, by_bucket, dictionary, pack, squeeze, squeeze_words, unsqueeze, unsqueeze_words
 
 #: A vocabulary larger than this isn't sent to the tasks.
 MOST_RANKS = 1_000_000
@@ -84,40 +84,40 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int =
     groups = buckets(docs.sparkSession)
     packed = pack(docs, lambda text: split.findall(text), chars)
 
+    def bucket_of(words: list[bytes]) -> np.ndarray:
+        return np.array([zlib.crc32(w) % groups for w in words], dtype=np.int64)
+
     def request(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             heads = frame[~frame["is_text"]]
-            for batch, words in zip(heads["batch"], heads["words"], strict=True):
-                words = np.array(words, dtype=object)
-                at = np.array([zlib.crc32(w.encode()) % groups for w in words], dtype=np.int64)
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.diff(at[order])) + 1
-                rows = [(int(at[c[0]]), batch, c.astype(np.int32), words[c]) for c in np.split(order, cuts) if len(c)]
-                yield pd.DataFrame(rows, columns=["bucket", "batch", "codes", "words"])
+            for batch, blob in zip(heads["batch"], heads["words"], strict=True):
+                words = unsqueeze_words(blob)
+                at = bucket_of(words)
+                yield pd.DataFrame([(int(at[c[0]]), batch, squeeze_words([words[i] for i in c])) for c in by_bucket(at)], columns=["bucket", "batch", "words"])
 
     def encode_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         rows = []
-        for batch, codes, words in zip(frame["batch"], frame["codes"], frame["words"], strict=True):
-            ids = [known[w] if w in known else known.setdefault(w, merge(w.encode(), ranks)) for w in words]
-            rows.append((batch, codes, np.array([len(x) for x in ids], dtype=np.int32), np.array([i for x in ids for i in x], dtype=np.int32)))
-        return pd.DataFrame(rows, columns=["batch", "codes", "lens", "ids"])
+        for bucket, batch, blob in zip(frame["bucket"], frame["batch"], frame["words"], strict=True):
+            ids = [known[w] if w in known else known.setdefault(w, merge(w, ranks)) for w in unsqueeze_words(blob)]
+            rows.append((batch, bucket, squeeze(np.array([len(x) for x in ids])), squeeze(np.array([i for x in ids for i in x]))))
+        return pd.DataFrame(rows, columns=["batch", "bucket", "lens", "ids"])
 
     def assemble(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         words, texts = dictionary(texts)
         lens, starts = np.full(len(words), -1, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        at, parts = 0, []
-        for codes, n, ids in zip(answers["codes"], answers["lens"], answers["ids"], strict=True):
-            lens[codes], starts[codes] = n, at + np.cumsum(n) - n
+        got = dict(zip(answers["bucket"], zip(answers["lens"], answers["ids"], strict=True), strict=True))
+        at, parts, places = 0, [], bucket_of(words)
+        for words_at in by_bucket(places):
+            n, ids = map(unsqueeze, got[int(places[words_at[0]])])
+            lens[words_at], starts[words_at] = n, at + np.cumsum(n) - n
             at += len(ids)
             parts.append(ids)
-        if (lens < 0).any():
-            raise RuntimeError("a batch has changed while it was encoded: store the input first")
-        flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, dtype=np.int32)
         return pd.DataFrame({"doc_id": texts["doc_id"], "ids": [gather(starts, lens, flat, unsqueeze(c)) for c in texts["codes"]]})
 
-    requests = packed.mapInPandas(request, "bucket int, batch long, codes array<int>, words array<string>")
-    answers = requests.groupBy("bucket").applyInPandas(encode_bucket, "batch long, codes array<int>, lens array<int>, ids array<int>")
+    requests = packed.mapInPandas(request, "bucket int, batch long, words binary")
+    answers = requests.groupBy("bucket").applyInPandas(encode_bucket, "batch long, bucket int, lens binary, ids binary")
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, "doc_id long, ids array<int>")
 
 

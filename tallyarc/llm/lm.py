@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.batches import buckets, dictionary, pack, unsqueeze
+from tallyarc.llm.batches import buckets, by_bucket, dictionary, pack, squeeze, unsqueeze
 
-END = "\n"  # no word holds one
+END = b"\n"  # no word holds one
 FOLDS, HELD_OUT = 7, 2
 PAIR_BYTES = 6
 
@@ -38,14 +38,13 @@ def held_out(doc_id: int | None) -> bool:
     return not pd.isna(doc_id) and zlib.crc32(str(int(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> list[bytes]:
     """Words by ASCII space with A-Z lowered, then the end."""
-    raw = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: lowers A-Z alone
-    return [w.decode("utf-8", "surrogatepass") for w in raw] + [END]
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]  # of bytes: lowers A-Z alone
 
 
-def word_keys(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
@@ -84,13 +83,6 @@ class Batch:
         return np.bincount(self.pair_of[self.train], minlength=len(self.pair_keys))
 
 
-def by_bucket(at: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    """Positions by bucket, in the order of the keys: request and answer list the same keys in the same order."""
-    order = np.lexsort((keys, at))
-    cuts = np.flatnonzero(np.diff(at[order])) + 1
-    return [c for c in np.split(order, cuts) if len(c)]
-
-
 def pack_keys(keys: np.ndarray, size: int) -> bytes:
     """The low bytes of sorted keys, one byte place after the other, so equal leading bytes lie together."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
@@ -103,10 +95,6 @@ def unpack_keys(blob: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def small(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
-
-
 REQUEST = "bucket int, batch long, keys binary, counts binary"
 
 
@@ -117,7 +105,7 @@ def _requests(packed: DataFrame, groups: int, pairs: bool) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         batch = Batch(frame, groups, pairs)
         at, keys, counts = (batch.pair_bucket, batch.pair_keys & mask, batch.pair_counts()) if pairs else (batch.word_bucket, batch.keys, batch.word_counts())
-        rows = [(int(at[c[0]]), frame["batch"].iloc[0], pack_keys(keys[c], size), small(counts[c])) for c in by_bucket(at, keys)]
+        rows = [(int(at[c[0]]), frame["batch"].iloc[0], pack_keys(keys[c], size), squeeze(counts[c])) for c in by_bucket(at, keys)]
         return pd.DataFrame(rows, columns=["bucket", "batch", "keys", "counts"])
 
     return packed.groupBy("batch").applyInPandas(run, REQUEST)
@@ -137,7 +125,7 @@ def _answers(requests: DataFrame, pairs: bool) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         keys, distinct, totals = _totals(frame, size)
-        rows = [(batch, pairs, int(bucket), small(totals[np.searchsorted(distinct, k)])) for batch, bucket, k in zip(frame["batch"], frame["bucket"], keys, strict=True)]
+        rows = [(batch, pairs, int(bucket), squeeze(totals[np.searchsorted(distinct, k)])) for batch, bucket, k in zip(frame["batch"], frame["bucket"], keys, strict=True)]
         return pd.DataFrame(rows, columns=["batch", "pairs", "bucket", "counts"])
 
     return requests.groupBy("bucket").applyInPandas(run, "batch long, pairs boolean, bucket int, counts binary")
