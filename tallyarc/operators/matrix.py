@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyarc.session import cut_lineage
+
 from tallyarc.operators.scan import grouped_quantiles, positions
 
 REACH = 5  # fixed value: 11 x 11 windows
@@ -179,23 +181,32 @@ def compartment_strength(cells: DataFrame, compartments: DataFrame, keys: Sequen
     return t.withColumn("strength", F.log2(F.col("aa") * F.col("bb") / F.nullif(F.col("ab") ** 2, F.lit(0.0))))
 
 
-def slice_clusters(rows: DataFrame, keys: Sequence[str], share: float = 0.7, limit: int = 20, seed: int = 1) -> DataFrame:
-    """k-means on z-normalised diagonal slices; K grows until the wanted share of variance is explained."""
+def slice_clusters(rows: DataFrame, keys: Sequence[str], sample: str, share: float = 0.7, seed: int = 1) -> DataFrame:
+    """k-means on the z-normalised middle of each window's diagonal, one value a sample.
+
+    Windows that every sample holds take part; missing cells count as 0, a constant
+    diagonal has the middle 0. K grows from 1 until the wanted share of variance lies
+    between clusters, which it does at the latest with a cluster for each distinct window.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    diagonal = rows.where(F.col("i") == -F.col("j"))
-    slices = diagonal.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("v"))  # 11 values a window
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    stat = slices.withColumn("_m", mean).withColumn("_s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) / F.size("v") - F.col("_m") ** 2))
-    z = stat.where("_s > 0").select(*keys, F.transform("v", lambda x: (x - F.col("_m")) / F.col("_s")).alias("z"))
-    data = z.withColumn("features", array_to_vector("z")).persist()
-    spread = data.select(F.posexplode("z").alias("p", "x")).groupBy("p").agg((F.var_pop("x") * F.count("x")).alias("s"))
-    whole = spread.agg(F.sum("s")).first()[0]
-    for k in range(2, limit + 1):
+    value = F.coalesce(F.col("value"), F.lit(0.0))
+    per_sample = rows.where(F.col("i") == F.col("j")).groupBy(*keys, sample).agg(
+        F.max(F.when(F.col("i") == 0, value)).alias("_mid"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    middle = F.coalesce(F.when(F.col("_s") > 0, (F.col("_mid") - F.col("_m")) / F.col("_s")), F.lit(0.0))
+    samples = rows.select(F.count_distinct(sample)).first()[0]  # entries of a window's vector
+    vectors = per_sample.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(sample, middle.alias("z")))).alias("_v")).where(F.size("_v") == samples)
+    data = vectors.select(*keys, array_to_vector(F.transform("_v", lambda s: s["z"])).alias("features"), F.transform("_v", lambda s: s["z"]).alias("_z")).persist()
+    spread = data.select(F.posexplode("_z").alias("p", "x")).groupBy("p").agg((F.var_pop("x") * F.count("x")).alias("s"))
+    whole, k = spread.agg(F.sum("s")).first()[0] or 0.0, 1
+    out = data.select(*keys, F.lit(0).alias("cluster"))
+    while whole > 1e-12:
+        k += 1
         model = KMeans(k=k, seed=seed).fit(data)
-        if whole == 0 or 1 - model.summary.trainingCost / whole >= share:
+        if 1 - model.summary.trainingCost / whole >= share:
+            out = model.transform(data).select(*keys, F.col("prediction").alias("cluster"))
             break
-    return model.transform(data).select(*keys, F.col("prediction").alias("cluster"), F.lit(k).alias("k"))
-
-
+    out = cut_lineage(out.withColumn("k", F.lit(k)))
+    data.unpersist()
+    return out

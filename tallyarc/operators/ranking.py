@@ -46,7 +46,7 @@ def score_steps(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
         F.abs(F.col(score).cast("double")) != float("inf"))
     steps = df.where(finite).groupBy(*groups, F.col(score).alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    return ordered_running(steps, [-F.col("score").cast("double")],
+    return ordered_running(steps, [F.negate("score")],
                            {"n": F.col("n"), "pos": F.col("pos")}, partition=groups)
 
 

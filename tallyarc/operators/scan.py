@@ -13,34 +13,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+LEAST_BUCKETS = 128
 SAMPLE_PER_BUCKET = 8
 
 
+def bucket_count(df: DataFrame) -> int:
+    """A power of two, four times the shuffle partitions at least: it grows with what the session plans for its data."""
+    return max(LEAST_BUCKETS, 1 << (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
 def descending(column: Column, nulls_last: bool = True) -> Column:
     """Ascending sort key equal to ``column`` descending; nulls kept at one end."""
-    value = -column.cast("double")
+    value = F.negate(column)  # in its own type: doubles would join long values beyond 2**53
     return F.struct(column.isNull().alias("missing") if nulls_last else column.isNotNull().alias("present"),
                     value.alias("value"))
 
 
-def split_points(df: DataFrame, key: Column, buckets: int = BUCKETS) -> Column:
+def split_points(df: DataFrame, key: Column, buckets: int, partition: Sequence[str] = ()) -> Column:
     """Scalar subquery holding at most ``buckets`` split points of ``key``.
 
-    The sample is the rows with the smallest key hashes (a bounded top-n), so it
-    repeats exactly when a task is retried; any sample gives correct totals, the
+    The sample is the rows with the smallest hashes of partition and key (a bounded
+    top-n), so it repeats exactly when a task is retried, and partitions that share
+    their keys don't all offer the same one. Any sample gives correct totals, the
     choice only balances the buckets.
     """
-    sample = (df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k")
+    sample = (df.select(key.alias("k"), F.xxhash64(*partition, key).alias("h")).orderBy("h", "k")
               .limit(buckets * SAMPLE_PER_BUCKET)
               .agg(F.array_sort(F.collect_list("k")).alias("s")))
     step = SAMPLE_PER_BUCKET
     return sample.select(F.filter("s", lambda _, i: i % step == step - 1)).scalar()
 
 
-def _cuts_below() -> Column:
+def _cuts_below(buckets: int) -> Column:
     """Number of split points below ``_key``, by halving steps instead of a full pass."""
-    steps = F.array(*[F.lit(BUCKETS >> i) for i in range(BUCKETS.bit_length())])
+    steps = F.array(*[F.lit(buckets >> i) for i in range(buckets.bit_length())])
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
         (low + step <= F.size("_cuts")) & (F.get("_cuts", low + step - 1) < F.col("_key")), low + step).otherwise(low))
 
@@ -56,8 +62,9 @@ def ordered_running(df: DataFrame, by: Sequence[Column], measures: dict[str, Col
     partition = list(partition)
     measures, maxima = measures or {}, maxima or {}
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
-    cuts = split_points(df, key)
-    tagged = df.withColumn("_key", key).withColumn("_cuts", cuts).withColumn("_bucket", _cuts_below()).drop("_cuts")
+    buckets = bucket_count(df)
+    cuts = split_points(df, key, buckets, partition)
+    tagged = df.withColumn("_key", key).withColumn("_cuts", cuts).withColumn("_bucket", _cuts_below(buckets)).drop("_cuts")
     tagged = tagged.withColumns({f"_m_{n}": c for n, c in measures.items()} | {f"_x_{n}": c for n, c in maxima.items()})
     totals = tagged.groupBy(*partition, "_bucket").agg(
         *[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in measures], *[F.max(f"_x_{n}").alias(f"_x_{n}") for n in maxima])

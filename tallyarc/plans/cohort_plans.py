@@ -174,6 +174,8 @@ def f14(spark, sf):
     pl = placed_exons(spark, sf)
     zero = lambda v: F.lit(v).cast("long")
     pts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.explode(F.array(zero(0), zero(7), zero(40), F.col("o_orderkey") % 90)).alias("q")).distinct()
+    lengths = pl.groupBy("tx").agg(F.max("tx_end").alias("n"))
+    pts = pts.join(lengths, "tx").where("q < n").drop("n")  # the operator refuses offsets outside the transcript
     there = X.to_genome(pts, pl, "tx", "strand", "s", "e", "q").select("tx", "q", "base")
     back = X.to_transcript(there, pl, "tx", "strand", "s", "e", "base")
     return back.select("tx", F.col("q").alias("offset"), "base", F.col("offset").alias("round_trip"))

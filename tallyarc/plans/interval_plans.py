@@ -334,13 +334,14 @@ def a23(spark, sf):
 
 
 POINTS = """pts AS (SELECT vec_id, label, (pos - 1) // 3 AS i, max(value) FILTER ((pos - 1) % 3 = 0) * 10 AS x, max(value) FILTER ((pos - 1) % 3 = 1) * 10 AS y,
- max(value) FILTER ((pos - 1) % 3 = 2) * 10 AS z FROM profile WHERE pos <= 63 GROUP BY ALL)"""
+ max(value) FILTER ((pos - 1) % 3 = 2) * 10 AS z FROM (SELECT *, max(pos) OVER (PARTITION BY vec_id) AS n FROM profile) WHERE pos <= n // 3 * 3 GROUP BY ALL)"""
 
 
 def points(spark, sf):
     """Three consecutive values of a vector as one point of a chain."""
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding",
-                                                 F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    whole = table(spark, sf, "embeddings").where(F.size("embedding") >= 3)
+    rows = whole.select("vec_id", F.col("label").cast("long").alias("label"), "embedding",
+                        F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)).alias("i"))
     at = lambda k: F.get("embedding", F.col("i") * 3 + k).cast("double") * 10
     return rows.select("vec_id", "label", F.col("i").cast("long").alias("i"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
 

@@ -230,4 +230,4 @@ def h13_distance(spark, sf):
 
 @plan("m9_slice_clusters")
 def m9(spark, sf):
-    return H.slice_clusters(window_rows(spark, sf).where("replicate = 'A'"), ["anchor"], 0.7, 8)
+    return H.slice_clusters(window_rows(spark, sf), ["anchor"], "replicate", 0.7)

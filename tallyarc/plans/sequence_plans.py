@@ -276,16 +276,18 @@ def best_single(windows, transcripts):
                        margin.alias("margin"), ((cover >= 0.9) & (margin <= F.greatest(F.lit(20.0), 0.05 * span))).alias("single_explains"))
 
 
-@plan("f25_projected_sequence", sql(ALN, """pr AS (SELECT id, rev, s, q, pos, unnest(range(0, q + 2 + m2)) AS k, substr('ACGT', CAST((pos + k) % 4 AS BIGINT) + 1, 1) AS ref FROM aln)""",
+@plan("f25_projected_sequence", sql(ALN, """pr AS (SELECT id, rev, s, q, pos, unnest(list_concat(range(0, q + 2 + m2 + m3), range(q + 102 + m2 + m3, q + 102 + m2 + m3 + m4))) AS k, substr('ACGT', CAST((pos + k) % 4 AS BIGINT) + 1, 1) AS ref FROM aln)""",
      tail="""SELECT id, count(*) AS bases, count(*) FILTER (k < q AND k = q - 3) AS substitutions, string_agg(CASE WHEN k = q - 3 AND (pos + k) % 2 = 0 THEN 'N' ELSE ref END, '' ORDER BY k) AS projected FROM pr GROUP BY id"""))
 def f25(spark, sf):
     """A read equal to the reference but for one base; even positions are high quality and keep it."""
-    rows = alignments(spark, sf).withColumn("ops", F.slice(A.cigar_ops(F.col("cigar")), 1, 4))
-    n = (F.col("q") + 2 + F.col("m2")).cast("int")
+    rows = alignments(spark, sf).withColumn("ops", A.cigar_ops(F.col("cigar")))
+    n = F.expr("CAST(q + 102 + m2 + m3 + m4 AS INT)")
     letter = lambda k: F.get(F.array(*[F.lit(b) for b in "ACGT"]), ((F.col("pos") + k) % 4).cast("int"))
     reference = F.transform(F.sequence(F.lit(0), n - 1), letter)
-    spread = F.concat(F.slice(F.col("reference"), 1, F.col("q").cast("int")), F.slice(F.col("reference"), (F.col("q") + 3).cast("int"), F.col("m2").cast("int")))
-    rows = rows.withColumn("reference", reference).withColumn("_b", spread)
+    part = lambda start, size: F.expr(f"slice(reference, CAST({start} + 1 AS INT), CAST({size} AS INT))")
+    inserted = F.array_repeat(F.lit("A"), F.col("i").cast("int"))
+    body = F.concat(part("0", "q"), part("q + 2", "m2"), inserted, part("q + 2 + m2", "m3"), part("q + 102 + m2 + m3", "m4"))
+    rows = rows.withColumn("reference", reference).withColumn("_b", body)
     read = F.concat(F.array_repeat(F.lit("S"), F.col("s").cast("int")), F.transform("_b", lambda b, i: F.when(i == F.col("q") - 3, "N").otherwise(b)))
     quality = F.transform(F.sequence(F.lit(0), F.size("read") - 1), lambda i: F.when((F.col("pos") + i - F.col("s")) % 2 == 0, 35).otherwise(10))
     rows = rows.withColumn("read", read).withColumn("quality", quality)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: tasks that row-heavy scans are dealt out to; unset, scans keep their splits.
+SCAN_PARTITIONS = "spark.tallyarc.scan.partitions"
+
 
 def build_session(app: str = "tallyarc", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; a cluster supplies its own."""
@@ -20,6 +24,7 @@ def build_session(app: str = "tallyarc", cores: int | str = "*", shuffle_partiti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config(SCAN_PARTITIONS, str(cores) if str(cores).isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,10 +39,15 @@ def _local_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where that is not set, as in tests.
+    Only a local session without that setting, as in tests, gets a temporary folder; on a
+    cluster executors and driver would each see their own, so there it is an error.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-            or _local_folder())
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,11 +66,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer than two splits per core.
+    """Deal out the rows of a scan to ``SCAN_PARTITIONS`` tasks, if the session asks for that.
 
-    For row-heavy work on small inputs only (a split may hold no row group): a large
-    table has more splits and passes through without a shuffle. ``scan`` must not
-    hold a shuffle itself.
+    A file of one row group is one task however its splits are set. Who runs row-heavy
+    work on a few such files says so; a large table is left as its splits are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+    wanted = scan.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return scan.repartition(int(wanted)) if wanted else scan
