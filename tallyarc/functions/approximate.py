@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HITS = "array<struct<start:int,end:int,edits:int>>"
+HITS = "array<struct<core:string,orientation:string,start:int,end:int,edits:int>>"
 SCALE = 1 << 32
 
 
@@ -38,9 +38,14 @@ def hits_in(pattern: str, text: str) -> list[tuple[int, int, int]]:
     return sorted(chosen)
 
 
-def approximate_hits(text: Column, pattern: str) -> Column:
+def approximate_hits(text: Column, cores: dict[str, str]) -> Column:
+    """Hits of every core in both orientations, each with its own non-overlapping choice."""
+    flip = str.maketrans("ACGT", "TGCA")
+    searched = [(name, strand, p) for name, core in cores.items() for strand, p in (("+", core), ("-", core.translate(flip)[::-1]))]
+
     @F.pandas_udf(HITS)
     def search(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [dict(zip(("start", "end", "edits"), h)) for h in hits_in(pattern, t)])
+        return texts.map(lambda t: [] if t is None else [
+            {"core": name, "orientation": strand, "start": s, "end": e, "edits": n} for name, strand, p in searched for s, e, n in hits_in(p, t)])
 
     return search(text)

@@ -111,5 +111,14 @@ def homopolymers(seq: Column, minimum: int = 10) -> Column:
     return walked["hits"]
 
 
+def tracts_near_join(df: DataFrame, seq: str, low: str, high: Column, minimum: int = 10, flank: int = 50, reach: int = 75) -> DataFrame:
+    """Rows of A or T tracts at least ``flank`` from both ends that touch the join interval widened by ``reach``."""
+    rows = df.withColumn("_high", high).select("*", F.explode(homopolymers(F.col(seq), minimum)).alias("_t"))
+    at, end = F.col("_t.start").cast("long"), F.col("_t.end").cast("long")
+    inner = (at >= flank) & (F.length(seq) - end >= flank)
+    near = (at <= F.col("_high") + reach) & (end >= F.col(low) - reach)
+    return rows.where(F.col("_t.base").isin("A", "T") & inner & near).select(*df.columns, at.alias("start"), end.alias("end"), F.col("_t.base").alias("base"))
+
+
 def fasta_wrap(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")

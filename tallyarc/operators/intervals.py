@@ -135,11 +135,24 @@ def nearest_edge(points: DataFrame, edges: DataFrame, keys: Sequence[str], posit
     return near.select(*keys, F.col("_at").alias(position), delta.alias("nearest_edge_delta"))
 
 
-def gene_separation(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
-    """Distance of inclusive gene intervals: 0 when they overlap or lie on different chromosomes."""
-    (ac, a0, a1), (bc, b0, b1) = a, b
-    apart = F.greatest(F.lit(0).cast("long"), F.col(a0) - F.col(b1), F.col(b0) - F.col(a1))
-    return F.when(F.col(ac) != F.col(bc), F.lit(0).cast("long")).otherwise(apart)
+def gene_contexts(pairs: DataFrame, records: DataFrame, a: str, b: str, gene: str, chrom: str, start: str, end: str) -> DataFrame:
+    """``pairs`` with is_interchromosomal and genomic_distance, the least over all records of both genes.
+
+    A gene without records, or with records on several chromosomes, leaves both null. Only
+    pairs on one chromosome meet the records, and their product is a minimum right away.
+    """
+    placed = records.groupBy(F.col(gene).alias("_g")).agg(F.min(chrom).alias("_low"), F.max(chrom).alias("_high"))
+    chroms = placed.select("_g", F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("_c"))
+    side = lambda p: chroms.select(F.col("_g").alias(f"_{p}"), F.col("_c").alias(f"_c{p}"))
+    known = pairs.join(side("a"), F.col(a) == F.col("_a"), "left").join(side("b"), F.col(b) == F.col("_b"), "left").drop("_a", "_b")
+    ends = lambda p: records.select(F.col(gene).alias(f"_{p}"), F.col(start).alias(f"_s{p}"), F.col(end).alias(f"_e{p}"))
+    same = known.where("_ca = _cb").select(F.col(a).alias("_pa"), F.col(b).alias("_pb")).distinct()
+    met = same.join(ends("a"), F.col("_pa") == F.col("_a")).join(ends("b"), F.col("_pb") == F.col("_b"))
+    apart = F.greatest(F.lit(0).cast("long"), F.col("_sa") - F.col("_eb"), F.col("_sb") - F.col("_ea"))
+    least = met.groupBy("_pa", "_pb").agg(F.min(apart).alias("_d"))
+    out = known.join(least, (F.col(a) == F.col("_pa")) & (F.col(b) == F.col("_pb")), "left")
+    inter = (F.col("_ca") != F.col("_cb")).cast("int")
+    return out.select(*pairs.columns, inter.alias("is_interchromosomal"), F.when(inter == 1, F.lit(0).cast("long")).otherwise(F.col("_d")).alias("genomic_distance"))
 
 
 def offsets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], length: Column, name: str = "offset") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyarc.operators.scan import ordered_running
+from tallyarc.operators.contracts import guarded
 from tallyarc.session import cut_lineage
 
 
@@ -58,6 +59,18 @@ def average_precision(steps: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     return steps.groupBy(*groups).agg(size.alias("n"), total.alias("positives"), value.alias("average_precision"))
 
 
+def strict_topk(df: DataFrame, label: str, score: str, k: int) -> DataFrame:
+    """``topk`` of complete input: a label other than 0 or 1, a score that is null or not finite, or a k outside 1..n is an error."""
+    if k < 1:
+        raise ValueError("k must be between 1 and the number of candidates")
+    y, s = F.col(label), F.col(score).cast("double")
+    bad_label = ~F.coalesce(y.cast("double").isin(0.0, 1.0), F.lit(False))
+    bad_score = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
+    checked = df.withColumns({label: guarded(y, bad_label, "labels must be 0 or 1"), score: guarded(F.col(score), bad_score, "scores must be finite")})
+    edge = topk(score_steps(checked, label, score), k)
+    return edge.withColumn("k", guarded(F.col("k"), F.col("n") < k, "k exceeds the candidate count"))
+
+
 def topk(steps: DataFrame, k: int, groups: Sequence[str] = ()) -> DataFrame:
     """Expected, minimum and maximum hits among the first k with the boundary tie; k is capped at n."""
     reached = F.col("cum_n") - F.col("n") < k

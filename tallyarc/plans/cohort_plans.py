@@ -262,11 +262,13 @@ def f34(spark, sf):
 
 @plan("f17_approximate_hits")
 def f17(spark, sf):
-    rows = V.dna(spark, sf).select("seq_id", F.length("seq").alias("n"), F.explode(approximate_hits(F.col("seq"), "ATGCATTAGCAATCAGTC")).alias("h"))
+    """Two cores, both orientations; hits count as internal with 50 bases on either side."""
+    cores = {"first": "ATGCATTAGCAATCAGTC", "second": "GGCTTAACGTCATG"}
+    rows = V.dna(spark, sf).select("seq_id", F.length("seq").alias("n"), F.explode(approximate_hits(F.col("seq"), cores)).alias("h"))
     inner = (F.col("h.start") >= 50) & (F.col("n") - F.col("h.end") >= 50)
     half = F.floor(F.col("n") / 2)
     near = (F.col("h.start") <= half + 75) & (F.col("h.end") >= half - 75)
-    return rows.select("seq_id", "h.start", "h.end", "h.edits", (inner & near).alias("internal_near_join"))
+    return rows.select("seq_id", "h.core", "h.orientation", "h.start", "h.end", "h.edits", (inner & near).alias("internal_near_join"))
 
 
 @plan("f32_claim_check", """WITH t AS (SELECT DISTINCT conv_id, turn, role, unnest(regexp_extract_all(text, '[a-z]{7,}')) AS w FROM conversations),

@@ -117,20 +117,21 @@ def a18(spark, sf):
     return genes.join(found, "gene_id", "left").select("gene_id", F.coalesce("reads", zero).alias("reads"), F.coalesce("longest", zero).alias("longest"))
 
 
-@plan("f12_gene_separation", sql("""g AS (SELECT s_suppkey AS gene, s_nationkey % 3 AS chrom, CAST(floor(s_acctbal * 10) AS BIGINT) AS b, CAST(floor(s_acctbal * 10) AS BIGINT) + 2000 + s_suppkey AS e FROM supplier)""",
-     tail="""SELECT p.l_suppkey AS a, p.k AS b, CAST(x.chrom <> y.chrom AS INT) AS is_interchromosomal,
- CASE WHEN x.chrom <> y.chrom THEN 0 ELSE greatest(0, x.b - y.e, y.b - x.e) END AS genomic_distance
- FROM (SELECT DISTINCT l_suppkey, l_partkey % (SELECT count(*) FROM supplier) AS k FROM lineitem) p JOIN g x ON x.gene = l_suppkey JOIN g y ON y.gene = k"""))
+@plan("f12_gene_separation", sql("""g AS (SELECT s_suppkey % 40 AS gene, CASE WHEN s_suppkey % 40 % 7 = 0 THEN s_nationkey % 3 ELSE s_suppkey % 40 % 3 END AS chrom,
+ CAST(floor(s_acctbal * 10) AS BIGINT) AS b, CAST(floor(s_acctbal * 10) AS BIGINT) + 2000 + s_suppkey AS e FROM supplier)""",
+     "c AS (SELECT gene, CASE WHEN min(chrom) = max(chrom) THEN min(chrom) END AS chrom FROM g GROUP BY gene)",
+     "p AS (SELECT DISTINCT l_suppkey % 45 AS a, l_partkey % 45 AS b FROM lineitem)",
+     "d AS (SELECT p.a, p.b, min(greatest(0, x.b - y.e, y.b - x.e)) AS d FROM p JOIN g x ON x.gene = p.a JOIN g y ON y.gene = p.b GROUP BY ALL)",
+     tail="""SELECT p.a, p.b, CAST(x.chrom <> y.chrom AS INT) AS is_interchromosomal,
+ CASE WHEN x.chrom <> y.chrom THEN 0 WHEN x.chrom = y.chrom THEN d.d END AS genomic_distance
+ FROM p LEFT JOIN c x ON x.gene = p.a LEFT JOIN c y ON y.gene = p.b LEFT JOIN d ON d.a = p.a AND d.b = p.b"""))
 def f12(spark, sf):
-    sup = table(spark, sf, "supplier")
-    n = sup.agg(F.count("*").alias("n"))
-    g = sup.selectExpr("s_suppkey AS gene", "s_nationkey % 3 AS chrom", "CAST(floor(s_acctbal * 10) AS BIGINT) AS b",
-                       "CAST(floor(s_acctbal * 10) AS BIGINT) + 2000 + s_suppkey AS e")
-    pairs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ga"), (F.col("l_partkey") % n.scalar()).alias("gb")).distinct()
-    x, y = [g.select(*[F.col(c).alias(f"{p}_{c}") for c in g.columns]) for p in "xy"]
-    return pairs.join(x, F.col("ga") == F.col("x_gene")).join(y, F.col("gb") == F.col("y_gene")).select(
-        F.col("ga").alias("a"), F.col("gb").alias("b"), (F.col("x_chrom") != F.col("y_chrom")).cast("int").alias("is_interchromosomal"),
-        I.gene_separation(("x_chrom", "x_b", "x_e"), ("y_chrom", "y_b", "y_e")).alias("genomic_distance"))
+    """Several records a gene; some genes lie on several chromosomes, some have no record."""
+    records = table(spark, sf, "supplier").selectExpr(
+        "s_suppkey % 40 AS gene", "CASE WHEN s_suppkey % 40 % 7 = 0 THEN s_nationkey % 3 ELSE s_suppkey % 40 % 3 END AS chrom",
+        "CAST(floor(s_acctbal * 10) AS BIGINT) AS b", "CAST(floor(s_acctbal * 10) AS BIGINT) + 2000 + s_suppkey AS e")
+    pairs = table(spark, sf, "lineitem").selectExpr("l_suppkey % 45 AS a", "l_partkey % 45 AS b").distinct()
+    return I.gene_contexts(pairs, records, "a", "b", "gene", "chrom", "b", "e")
 
 
 @plan("f13_gene_identity", """WITH r AS (SELECT c_custkey % 1000 AS name, c_nationkey % 3 AS mgi, c_mktsegment AS chrom FROM customer),

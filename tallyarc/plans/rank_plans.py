@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyarc.operators import ranking as R
 from tallyarc.operators import rollup
-from tallyarc.operators.contracts import guarded
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
 from tallyarc.plans.views import sql
@@ -189,8 +188,7 @@ def _rounded(df, *names):
 def w4(spark, sf):
     rows = rollup.pair_support(V.reads(spark, sf)).withColumn(
         "hit", (F.substring_index("pair_id", ":", 1).cast("long") % 3 == 0).cast("int"))
-    edge = R.topk(R.score_steps(rows, "hit", "support"), 200)
-    edge = edge.withColumn("k", guarded(F.col("k"), F.col("k") < 200, "k exceeds the candidate count"))
+    edge = R.strict_topk(rows, "hit", "support", 200)
     bounds = R.hypergeometric_interval(edge, ["k"], "tie_size", "tie_positives", "tie_slots")
     return edge.join(bounds, "k").select(
         "k", F.col("n").alias("candidates"), F.col("positives").alias("known_positives"),
