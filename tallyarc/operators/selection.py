@@ -45,9 +45,9 @@ def shortlist(eligible: DataFrame, order: Sequence[str], item: str, sequence: st
     Every round fetches one row and compares the table with the taken ones: rows x
     slots comparisons, no pair table and no limit on what may be redundant. A taken
     row is near itself, and all rows before the last pick are settled, so each round
-    looks only behind it. Returns the taken rows and ``eligible`` with
-    (taken_order, representative); rows behind the last pick stay open. ``eligible``
-    is read once per round: pass a stored table.
+    looks only behind it. Returns the taken rows and every row of ``eligible`` with
+    taken_order, representative and status: taken, redundant, or eligible for rows
+    behind the last pick. ``eligible`` is read once per round: pass a stored table.
     """
     taken = []
     eligible = spread(eligible)
@@ -58,19 +58,26 @@ def shortlist(eligible: DataFrame, order: Sequence[str], item: str, sequence: st
         if row is None:
             break
         taken.append(row)
-    mine = F.coalesce(*[F.when(F.col(item) == F.lit(r[item]), F.lit(i + 1)) for i, r in enumerate(taken)], F.lit(None).cast("int"))
-    rep = F.coalesce(*[F.when(near(F.col(sequence), F.lit(r[sequence])), F.lit(r[item])) for r in taken], F.lit(None))
     settled = F.lit(True)
     if len(taken) == slots:
         settled = F.struct(*order) <= _place(eligible, order, taken[-1])
-    marked = eligible.withColumn("taken_order", mine).withColumn(
-        "representative", F.when(settled & F.col("taken_order").isNull(), rep))
-    return taken, marked
+    return taken, _marked(eligible, item, sequence, taken, near, settled)
+
+
+def _marked(eligible: DataFrame, item: str, sequence: str, taken: Sequence, near, settled: Column) -> DataFrame:
+    mine = F.coalesce(*[F.when(F.col(item) == F.lit(r[item]), F.lit(i + 1)) for i, r in enumerate(taken)], F.lit(None).cast("int"))
+    rep = F.coalesce(*[F.when(near(F.col(sequence), F.lit(r[sequence])), F.lit(r[item])) for r in taken], F.lit(None).cast(eligible.schema[item].dataType))
+    marked = eligible.withColumn("taken_order", mine).withColumn("representative", F.when(settled & F.col("taken_order").isNull(), rep))
+    return marked.withColumn("status", F.when(F.col("taken_order").isNotNull(), "taken").when(F.col("representative").isNotNull(), "redundant").otherwise("eligible"))
 
 
 def fill_with_diversity(eligible: DataFrame, order: Sequence[str], item: str, sequence: str, singleton: Column, klass: str,
                         first: int = 8, total: int = 10, near=near_identical) -> DataFrame:
-    """Ranked picks, one singleton, one new class, then ranked fill: rows (item, reason, selection_order)."""
+    """Ranked picks, one singleton, one new class, then ranked fill; a ledger of every row.
+
+    Adds taken_order, representative, status (selected, redundant, deferred) and reason to
+    ``eligible``; rows that no pick resembles wait for the next batch.
+    """
     eligible = spread(eligible)
     columns = list(dict.fromkeys([*order, item, sequence, klass]))
     taken, _ = shortlist(eligible, order, item, sequence, first, near, keep=[klass])
@@ -85,8 +92,11 @@ def fill_with_diversity(eligible: DataFrame, order: Sequence[str], item: str, se
         if row is not None:
             taken.append(row)
             reasons.append(reason)
-    rows = [(str(r[item]), reason, n + 1) for n, (r, reason) in enumerate(zip(taken, reasons))]
-    return eligible.sparkSession.createDataFrame(rows, "item string, reason string, selection_order int")
+    marked = _marked(eligible, item, sequence, taken, near, F.lit(True))
+    why = F.coalesce(*[F.when(F.col("taken_order") == i + 1, r) for i, r in enumerate(reasons)], F.lit(None).cast("string"))
+    state = F.col("status")
+    return marked.withColumn("reason", F.when(state == "taken", why).when(state == "redundant", "redundant_sequence").otherwise("batch_limit")).withColumn(
+        "status", F.when(state == "taken", "selected").when(state == "redundant", "redundant").otherwise("deferred"))
 
 
 def interleave(df: DataFrame, lists: str, order: Sequence[Column], name: str = "turn") -> DataFrame:

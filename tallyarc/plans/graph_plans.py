@@ -196,23 +196,59 @@ def f16(spark, sf):
                         T.near_identical(F.col("text"), edited).alias("near_edited"))
 
 
+_PLAIN = r"regexp_replace(text, '[^\x00-\x7F]', '?', 'g')"
+_ROWS = f"r AS (SELECT doc_id, source, lang, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS rank, {_PLAIN} AS s FROM documents)"
+
+
+def _near(a, b):
+    """The limit is on edits: 5 % of the longer text; DuckDB counts bytes, so texts are plain."""
+    limit = f"greatest(length({a}), length({b})) // 20"
+    return f"CASE WHEN {a} = {b} THEN true WHEN abs(length({a}) - length({b})) <= {limit} THEN levenshtein({a}, {b}) <= {limit} ELSE false END"
+
+
+def _picks(rounds):
+    """One CTE a pick: the first row, behind the last one where asked, that no earlier pick resembles."""
+    out = []
+    for k, (condition, behind) in enumerate(rounds, 1):
+        earlier = " UNION ALL ".join(f"SELECT s FROM p{i}" for i in range(1, k))
+        unlike = f" AND NOT EXISTS (SELECT 1 FROM ({earlier}) t WHERE {_near('t.s', 'r.s')})" if k > 1 else ""
+        after = f" AND rank > (SELECT rank FROM p{k - 1})" if behind and k > 1 else ""
+        out.append(f"p{k} AS MATERIALIZED (SELECT {k} AS k, doc_id, source, rank, s FROM r WHERE {condition}{after}{unlike} ORDER BY rank LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT k, doc_id, rank, s FROM p{i}" for i in range(1, len(rounds) + 1))
+    return [*out, f"p AS MATERIALIZED ({every})"]
+
+
+def _marks(settled):
+    return f"m AS (SELECT r.doc_id, r.rank, x.k AS taken_order, CASE WHEN x.k IS NULL AND {settled} THEN (SELECT arg_min(p.doc_id, p.k) FROM p WHERE {_near('p.s', 'r.s')}) END AS representative FROM r LEFT JOIN p x USING (doc_id))"
+
+
 def ranked_documents(spark, sf):
+    """By length, so near copies stand close together; letters beyond ASCII become one symbol."""
     from tallyarc.operators.scan import positions
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.md5("text").alias("_m"), F.col("source").alias("klass"))
-    return positions(docs, [F.col("_m"), F.col("doc_id")], name="rank").drop("_m")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.length("text").alias("_n"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    return positions(docs, [F.col("_n"), F.col("doc_id")], name="rank").drop("_n")
+
 
+_BEHIND = "r.rank <= (SELECT rank FROM p8)"
 
-@plan("t4_greedy_shortlist")
+
+@plan("t4_greedy_shortlist", sql(_ROWS, *_picks([("true", True)] * 8), _marks(_BEHIND), tail="""SELECT doc_id, taken_order, representative,
+ CASE WHEN taken_order IS NOT NULL THEN 'taken' WHEN representative IS NOT NULL THEN 'redundant' ELSE 'eligible' END AS status FROM m"""))
 def t4(spark, sf):
     docs = cut_lineage(ranked_documents(spark, sf))
-    taken, marked = T.shortlist(docs, ["rank"], "doc_id", "text", 8)
-    return marked.where(F.col("rank") <= taken[-1]["rank"]).select("doc_id", "taken_order", "representative")
+    return T.shortlist(docs, ["rank"], "doc_id", "text", 8)[1].select("doc_id", "taken_order", "representative", "status")
+
+
+_WISHES = [("true", True)] * 8 + [("lang = 'es'", False), ("source NOT IN (" + " UNION ALL ".join(f"SELECT source FROM p{i}" for i in range(1, 10)) + ")", False)]
 
 
-@plan("t5_diversity_slots")
+@plan("t5_diversity_slots", sql(_ROWS, *_picks(_WISHES), _marks("true"), tail="""SELECT doc_id, taken_order,
+ CASE WHEN taken_order IS NOT NULL THEN 'selected' WHEN representative IS NOT NULL THEN 'redundant' ELSE 'deferred' END AS status, representative,
+ CASE WHEN taken_order <= 8 THEN 'top_ranked_distinct_protein' WHEN taken_order = 9 THEN 'diversity_supported_singleton' WHEN taken_order = 10 THEN 'diversity_junction_class'
+ WHEN representative IS NOT NULL THEN 'redundant_sequence' ELSE 'batch_limit' END AS reason FROM m"""))
 def t5(spark, sf):
     docs = cut_lineage(ranked_documents(spark, sf))
-    return T.fill_with_diversity(docs, ["rank"], "doc_id", "text", F.col("lang") == "es", "klass")
+    return T.fill_with_diversity(docs, ["rank"], "doc_id", "text", F.col("lang") == "es", "source").select("doc_id", "taken_order", "status", "representative", "reason")
 
 
 @plan("t6_interleave", """WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
@@ -222,13 +258,16 @@ def t6(spark, sf):
                         [-F.col("n_chars"), F.col("doc_id")]).select("doc_id", "turn")
 
 
-@plan("t6_interleave_shortlist")
+@plan("t6_interleave_shortlist", sql(
+    f"q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS place FROM documents)",
+    f"r AS (SELECT doc_id, source, row_number() OVER (ORDER BY place, source) AS rank, {_PLAIN} AS s FROM q)", *_picks([("true", True)] * 10), _marks("r.rank <= (SELECT rank FROM p10)"),
+    tail="""SELECT doc_id, rank AS turn, taken_order, representative,
+ CASE WHEN taken_order IS NOT NULL THEN 'taken' WHEN representative IS NOT NULL THEN 'redundant' ELSE 'eligible' END AS status FROM m"""))
 def t6_shortlist(spark, sf):
     """Interleaved lists with near copies suppressed."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")
-    turns = cut_lineage(T.interleave(docs, "source", [F.col("n_chars"), F.col("doc_id")]))
-    taken, marked = T.shortlist(turns, ["turn"], "doc_id", "text", 10)
-    return marked.where(F.col("turn") <= taken[-1]["turn"]).select("doc_id", "turn", "taken_order", "representative")
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    turns = cut_lineage(T.interleave(docs, "source", [F.col("n"), F.col("doc_id")]))
+    return T.shortlist(turns, ["turn"], "doc_id", "text", 10)[1].select("doc_id", "turn", "taken_order", "representative", "status")
 
 
 @plan("t1_sorted_catalogue", "SELECT doc_id, toxic AS score FROM documents LEFT JOIN labels USING (doc_id) ORDER BY toxic DESC NULLS LAST, doc_id")

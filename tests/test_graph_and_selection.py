@@ -84,15 +84,19 @@ def test_shortlist_equals_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(seqs)), "i long, s string")
     rows, marked = T.shortlist(df, ["i"], "i", "s", 5)
     assert [r.i for r in rows] == taken
-    assert {r.i: r.representative for r in marked.where("representative IS NOT NULL").collect()} == rep
+    marked = marked.collect()
+    assert {r.i: r.representative for r in marked if r.representative is not None} == rep
+    assert len(marked) == len(seqs) and {r.status for r in marked} == {"taken", "redundant", "eligible"}
 
 
 def test_diversity_slots(spark):
     seqs = variants(2)
     df = spark.createDataFrame([(i, s, i % 4 == 3, "c" + str(i // 10)) for i, s in enumerate(seqs)], "i long, s string, single boolean, k string")
-    out = T.fill_with_diversity(df, ["i"], "i", "s", F.col("single"), "k", 3, 5).orderBy("selection_order").collect()
-    assert [r.reason for r in out][:3] == ["top_ranked_distinct_protein"] * 3 and len({r.item for r in out}) == len(out)
-    chosen = [seqs[int(r.item)] for r in out]
+    out = T.fill_with_diversity(df, ["i"], "i", "s", F.col("single"), "k", 3, 5).orderBy("i").collect()
+    assert len(out) == len(seqs) and {r.status for r in out} == {"selected", "redundant", "deferred"}
+    out = sorted((r for r in out if r.taken_order), key=lambda r: r.taken_order)
+    assert [r.reason for r in out][:3] == ["top_ranked_distinct_protein"] * 3 and len({r.i for r in out}) == len(out)
+    chosen = [seqs[r.i] for r in out]
     assert all(edit_distance(a, b) > 3 for n, a in enumerate(chosen) for b in chosen[:n])
 
 

@@ -63,10 +63,10 @@ def test_reverse_strand_scores_and_hard_clip(spark):
 def test_transcript_round_trip(spark, strand):
     ex = spark.createDataFrame([("t", strand, 11, 20), ("t", strand, 31, 35), ("t", strand, 51, 60)], "tx string, strand string, s long, e long")
     placed = X.spliced(ex, "tx", "strand", "s", "e")
-    pts = spark.range(26).select(F.lit("t").alias("tx"), F.col("id").alias("q"))
+    pts = spark.range(25).select(F.lit("t").alias("tx"), F.col("id").alias("q"))
     there = X.to_genome(pts, placed, "tx", "strand", "s", "e", "q", 8).select("tx", "q", "base")
     back = X.to_transcript(there, placed, "tx", "strand", "s", "e", "base", 8).collect()
-    assert len(back) == 25 and all(r.q == r.offset for r in back)  # offset 25 lies beyond the transcript
+    assert len(back) == 25 and all(r.q == r.offset for r in back)  # offset 25 is an error, see below
     assert {r.q: r.base for r in back}[0] == (11 if strand == "+" else 60)
 
 
@@ -140,3 +140,36 @@ def test_approximate_hits_equal_brute_force():
             if not any(start < b and end > a for a, b, _ in chosen):
                 chosen.append((start, end, edits))
         assert hits_in(pattern, text) == sorted(chosen)
+
+
+def test_offsets_outside_a_transcript_fail(spark):
+    from tallyarc.operators import transcripts as X
+
+    placed = X.spliced(spark.createDataFrame([(1, "+", 10, 19), (1, "+", 30, 34)], "tx long, strand string, s long, e long"), "tx", "strand", "s", "e")
+    points = lambda *q: spark.createDataFrame([(1, x) for x in q], "tx long, q long")
+    assert sorted(r.base for r in X.to_genome(points(0, 9, 10, 14), placed, "tx", "strand", "s", "e", "q").collect()) == [10, 19, 30, 34]
+    for q in (-1, 15):
+        with pytest.raises(Exception):
+            X.to_genome(points(q), placed, "tx", "strand", "s", "e", "q").collect()
+
+
+def test_gene_context_over_record_sets(spark):
+    from tallyarc.operators.intervals import gene_contexts
+
+    records = [("a", "1", 100, 200), ("a", "1", 900, 950), ("b", "1", 300, 400), ("c", "2", 1, 5), ("d", "1", 1, 2), ("d", "2", 1, 2), ("e", "1", 150, 160)]
+    got = gene_contexts(spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("a", "none")], "x string, y string"),
+                        spark.createDataFrame(records, "g string, c string, s long, e long"), "x", "y", "g", "c", "s", "e").collect()
+    assert {r.y: (r.is_interchromosomal, r.genomic_distance) for r in got} == {"b": (0, 100), "c": (1, 0), "d": (None, None), "e": (0, 0), "none": (None, None)}
+
+
+def test_slice_clusters_grow_until_explained(spark):
+    from tallyarc.operators.matrix import slice_clusters
+
+    def window(name, sample, middle):
+        return [(name, sample, i, i, float(middle if i == 0 else abs(i) % 2)) for i in range(-5, 6)]
+
+    rows = [x for s in "AB" for n in range(6) for x in window(n, s, 9 if n < 3 else -9)] + [x for x in window(7, "A", 1)]  # 7 lacks a sample
+    rows += [(8, s, i, i, 4.0) for s in "AB" for i in range(-5, 6)]  # constant: middle 0
+    got = slice_clusters(spark.createDataFrame(rows, "anchor long, sample string, i int, j int, value double"), ["anchor"], "sample").collect()
+    label = {r.anchor: r.cluster for r in got}
+    assert set(label) == {0, 1, 2, 3, 4, 5, 8} and len({label[i] for i in (0, 1, 2)}) == 1 and label[0] != label[3]

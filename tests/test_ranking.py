@@ -99,3 +99,29 @@ def test_hypergeometric_interval(spark):
         total += comb(k, x) * comb(n - k, d - x) / comb(n, d)
         cdf[x] = total
     assert out.lower == min(x for x in cdf if cdf[x] >= 0.025) and out.upper == min(x for x in cdf if cdf[x] >= 0.975)
+
+
+def test_partitions_that_share_keys_get_many_cuts(spark):
+    from tallyarc.operators.scan import bucket_count, split_points
+
+    rows = spark.range(1500).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"))
+    cuts = rows.select(split_points(rows, F.struct("k"), bucket_count(rows), ["p"]).alias("c")).limit(1).first().c
+    assert len(set(cuts)) > 50
+
+
+def test_descending_keeps_large_longs_apart(spark):
+    from tallyarc.operators.scan import descending
+
+    big = 2**53
+    rows = spark.createDataFrame([(big,), (big + 1,), (None,)], "v long").orderBy(descending(F.col("v"))).collect()
+    assert [r.v for r in rows] == [big + 1, big, None]
+
+
+def test_strict_topk_refuses_incomplete_input(spark):
+    from tallyarc.operators import ranking as R
+
+    good = spark.createDataFrame([(1, 2.0), (0, 1.0)], "y int, s double")
+    assert R.strict_topk(good, "y", "s", 1).first().expected_hits == 1
+    for rows, k in (([(1, None)], 1), ([(None, 1.0)], 1), ([(2, 1.0)], 1), ([(1, 1.0)], 2)):
+        with pytest.raises(Exception):
+            R.strict_topk(spark.createDataFrame(rows, "y int, s double"), "y", "s", k).collect()

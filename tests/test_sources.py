@@ -81,3 +81,18 @@ def test_both_sides_must_map_in_order(spark):
     assert [(r.gene5_b, r.gene3_b) for r in orthologous_pairs(groups, one).collect()] == [(11, 12)]
     with pytest.raises(Exception, match="nonunique"):
         orthologous_pairs(groups, one.union(spark.createDataFrame([("h", 1, "m", 12)], one.schema))).collect()
+
+
+def test_shared_folder_is_required_on_clusters():
+    from types import SimpleNamespace
+
+    from tallyarc.session import shared_dir
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: None))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "s3a://x")) == "s3a://x" and shared_dir(session("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
