@@ -51,19 +51,28 @@ def base_scores(codes: Column, matches: Column, dels: Column, reverse: Column) -
 
     def with_places(v):
         return let(with_charges, codes=v["codes"], matches=v["matches"], dels=v["dels"],
-                   aligned=places(v["codes"], lambda c: c == "M"), first=F.array_min(places(v["codes"], lambda c: c != "S")))
+                   aligned=places(v["codes"], lambda c: c == "M"), others=places(v["codes"], lambda c: c != "M"), first=F.array_min(places(v["codes"], lambda c: c != "S")))
 
     def with_charges(v):
-        failed = F.filter(F.zip_with(v["aligned"], v["matches"], lambda p, m: F.when(~m, p)), lambda p: p.isNotNull())
-        checked = guarded(failed, F.size(v["aligned"]) != F.size(v["matches"]), "MD/CIGAR length mismatch")
+        base = F.when(F.size(v["aligned"]) == F.size(v["matches"]), F.sort_array(F.concat(
+            F.zip_with(v["aligned"], v["matches"], lambda p, m: F.struct(p.alias("p"), F.when(m, 1).otherwise(-2).alias("s"))),
+            F.transform(v["others"], lambda p: F.struct(p.alias("p"), F.when(F.get(v["codes"], p) == "I", -2).alias("s"))))))
+        checked = guarded(base, F.size(v["aligned"]) != F.size(v["matches"]), "MD/CIGAR length mismatch")
         charges = F.transform(v["dels"], lambda d: F.struct(
             F.when(d["q"] > v["first"], d["q"] - 1).otherwise(F.get(v["aligned"], F.lit(0))).alias("at"), (-2 * d["n"]).alias("cost")))
-        return let(per_base, codes=v["codes"], failed=checked, charges=charges)
-
-    def per_base(v):
-        extra = lambda i: F.aggregate(F.filter(v["charges"], lambda d: d["at"] == i), F.lit(0), lambda a, d: a + d["cost"])
-        return F.transform(v["codes"], lambda c, i: F.when(c == "S", F.lit(None).cast("int")).otherwise(
-            F.when((c == "I") | F.array_contains(v["failed"], i), -2).otherwise(1) + extra(i)))
+        plain = F.transform(checked, lambda e: e["s"])
+        return let(charged, scores=plain, charges=charges, at=F.sort_array(F.array_distinct(F.transform(charges, lambda c: c["at"]))))
+
+    def charged(v):
+        """The scores in pieces that end at a charged base: one copy, whatever the number of deletions."""
+        def piece(at, k):
+            start = F.when(k == 0, 0).otherwise(F.get(v["at"], k - 1) + 1)
+            cost = F.aggregate(F.filter(v["charges"], lambda c: c["at"] == at), F.lit(0), lambda a, c: a + c["cost"])
+            return F.concat(F.slice(v["scores"], start + 1, at - start), F.array(F.get(v["scores"], at) + cost))
+
+        rest = F.coalesce(F.get(v["at"], F.size(v["at"]) - 1), F.lit(-1)) + 1
+        tail = F.slice(v["scores"], rest + 1, F.size(v["scores"]))
+        return F.when(F.size(v["at"]) == 0, v["scores"]).otherwise(F.flatten(F.concat(F.transform(v["at"], piece), F.array(tail))))
 
     scores = let(with_places, codes=codes, matches=matches, dels=dels)
     return F.when(reverse, F.reverse(scores)).otherwise(scores)

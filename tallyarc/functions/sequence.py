@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.functions.binding import let
@@ -32,47 +32,66 @@ def translate_codons(seq: Column) -> Column:
     return F.array_join(F.transform(codons, amino_of), "")
 
 
-def codon_rows(df: DataFrame, key: str, seq: str, wanted: Sequence[str] | None = None) -> DataFrame:
-    """(key, pos, codon) for every offset; ``wanted`` keeps only those codons before the rows exist."""
-    def triples(v):
+STOPS = ("TAA", "TAG", "TGA")  # fixed values
+
+
+def open_frames(seq: Column) -> Column:
+    """array<struct<start,frame,stop_start,bad_codon>> of every ATG: the first stop in its frame and the first unreadable codon.
+
+    All within the row: stops and unreadable codons become sorted arrays by frame, in which
+    each ATG is placed by halving.
+    """
+    def marked(v):
         at = lambda i: F.get(v["letters"], i)
-        return F.transform(F.sequence(F.lit(0), F.size(v["letters"]) - 3), lambda i: F.struct(
+        codons = F.transform(F.sequence(F.lit(0), F.size(v["letters"]) - 3), lambda i: F.struct(
             i.alias("pos"), F.concat(at(i), at(i + 1), at(i + 2)).alias("codon")))
+        return F.filter(codons, lambda t: t["codon"].isin("ATG", *STOPS) | t["codon"].rlike("[^ACGT]"))
+
+    def by_frame(marks, keep):
+        def of(frame):
+            return F.transform(F.filter(marks, lambda t: keep(t["codon"]) & (t["pos"] % 3 == frame)), lambda t: t["pos"])
+
+        return F.array(of(0), of(1), of(2))
+
+    def sorted_marks(v):
+        most = F.floor(F.log2(F.greatest(F.size(v["marks"]), F.lit(1)))).cast("int")
+        return let(placed, starts=F.transform(F.filter(v["marks"], lambda t: t["codon"] == "ATG"), lambda t: t["pos"]),
+                   stops=by_frame(v["marks"], lambda c: c.isin(*STOPS)), bad=by_frame(v["marks"], lambda c: c.rlike("[^ACGT]")),
+                   halves=F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int")))
+
+    def placed(v):
+        def first_from(lists, pos):
+            row = F.get(lists, pos % 3)
+            below = F.aggregate(v["halves"], F.lit(0), lambda low, half: F.when(
+                (low + half <= F.size(row)) & (F.get(row, low + half - 1) < pos), low + half).otherwise(low))
+            return F.get(row, below)
+
+        return F.transform(v["starts"], lambda p: F.struct(
+            p.cast("long").alias("start"), (p % 3).cast("long").alias("frame"),
+            first_from(v["stops"], p).cast("long").alias("stop_start"), first_from(v["bad"], p).cast("long").alias("bad_codon")))
 
-    found = let(triples, letters=F.split(seq, ""))
-    if wanted:
-        found = F.filter(found, lambda t: t["codon"].rlike("^(" + "|".join(wanted) + ")$"))
-    return df.where(F.length(seq) >= 3).select(key, F.explode(found).alias("_t")).select(
-        key, F.col("_t.pos").cast("long").alias("pos"), F.col("_t.codon").alias("codon"))
+    return F.when(F.length(seq) >= 3, let(lambda v: let(sorted_marks, marks=marked(v)), letters=F.split(seq, "")))
 
 
-def first_stops(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """Every ATG with the first stop in its frame (null without one) and the first unreadable codon before it."""
-    # Starts, stops and unreadable codons only: other positions never become rows.
-    marks = codon_rows(df.select(key, seq), key, seq, ["ATG", "TAA", "TAG", "TGA", ".*[^ACGT].*"]).withColumn("frame", F.col("pos") % 3)
-    stop = F.col("codon").isin("TAA", "TAG", "TGA")
-    bad = F.col("codon").rlike("[^ACGT]")
-    ahead = Window.partitionBy(key, "frame").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    return marks.select(key, "pos", "frame", "codon",
-                        F.min(F.when(stop, F.col("pos"))).over(ahead).alias("stop_start"),
-                        F.min(F.when(bad, F.col("pos"))).over(ahead).alias("bad_codon")).where("codon = 'ATG'").select(
-        key, F.col("pos").alias("start"), "frame", "stop_start", "bad_codon")
+def first_stops(df: DataFrame, key: str, seq: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Every ATG with the first stop in its frame (null without one) and the first unreadable codon from it on; no shuffle."""
+    # Outer: else Catalyst adds a filter that works out the frames twice.
+    rows = df.select(key, *keep, F.explode_outer(open_frames(F.col(seq))).alias("_f")).where("_f IS NOT NULL")
+    return rows.select(key, *keep, "_f.start", "_f.frame", "_f.stop_start", "_f.bad_codon")
 
 
 def spanning_frames(df: DataFrame, key: str, seq: str, low: str, high: str, minimum: int = 90, flank: int = 15) -> DataFrame:
     """Complete frames that cover the junction interval with ``flank`` coding bases each side."""
-    sites = df.select(key, seq, low, high)
     ok = ((F.col("stop_start") - F.col("start") >= minimum) & (F.col("start") + flank <= F.col(low))
           & (F.col("stop_start") >= F.col(high) + flank) & (F.col("bad_codon").isNull() | (F.col("bad_codon") > F.col("stop_start"))))
-    return _with_protein(first_stops(df, key, seq).where("stop_start IS NOT NULL").join(sites, key).where(ok), seq)
+    return _with_protein(first_stops(df, key, seq, [seq, low, high]).where(ok), seq)
 
 
 def crossing_frames(df: DataFrame, key: str, seq: str, junction: str, minimum: int = 90) -> DataFrame:
     """Complete frames with start < junction < stop; an unreadable codon before the stop voids the frame."""
-    sites = df.select(key, seq, junction)
     ok = ((F.col("stop_start") - F.col("start") >= minimum) & (F.col("start") < F.col(junction)) & (F.col(junction) < F.col("stop_start"))
           & (F.col("bad_codon").isNull() | (F.col("bad_codon") > F.col("stop_start"))))
-    return _with_protein(first_stops(df, key, seq).where("stop_start IS NOT NULL").join(sites, key).where(ok), seq)
+    return _with_protein(first_stops(df, key, seq, [seq, junction]).where(ok), seq)
 
 
 def _with_protein(frames: DataFrame, seq: str) -> DataFrame:
