@@ -135,7 +135,7 @@ def plan(sized: DataFrame, seed: int = 7, words_per_shard: int = 20_000_000, max
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for frame in frames:
-            for shard in frame["id"]:
+            for shard in frame["id"] if names else ():
                 counts = leaf_counts(int(shard), shards, units, seed, known)
                 yield pd.DataFrame({"mix_source": names, "shard": np.full(len(names), shard), "units": counts})
 
@@ -143,7 +143,7 @@ def plan(sized: DataFrame, seed: int = 7, words_per_shard: int = 20_000_000, max
 
     def deal(picked: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
         if picked.empty:
-            return pd.DataFrame({"mix_source": [], "mix_block": [], "copy": [], "shard": []})
+            return picked[["mix_source", "mix_block"]].assign(copy=0, shard=0)
         picked = picked.sort_values("place")
         again = np.repeat(np.arange(len(picked)), picked["copies"].to_numpy())
         out = picked.iloc[again][["mix_source", "mix_block"]].assign(copy=pd.Series(again).groupby(again).cumcount().to_numpy())
