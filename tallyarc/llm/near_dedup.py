@@ -103,14 +103,14 @@ def bounds(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
-def going_on(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
-    """Positions of the pairs (rows of a and b) that survive every batch of hashes."""
+def going_on(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs (rows of a and b) that survive every batch of hashes, and their matches."""
     alive, matches, at = np.arange(len(a)), np.zeros(len(a), dtype=np.int64), 0
     for n, least in limits:
         matches = matches + (a[alive, at:n] == b[alive, at:n]).sum(axis=1)
         keep = matches >= least
         alive, matches, at = alive[keep], matches[keep], n
-    return alive
+    return alive, matches
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -157,22 +157,24 @@ def prune(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
         for frame in frames:
             if len(frame):
                 left, right = (np.frombuffer(b"".join(frame[f"sig_{s}"]), dtype=np.uint32).reshape(-1, HASHES) for s in "ab")
-                yield frame.iloc[going_on(left, right, limits)][["a", "b"]]
+                yield frame.iloc[going_on(left, right, limits)[0]][["a", "b"]]
 
     return _attach(pairs, content, "sig").select("sig_a", "sig_b", "a", "b").mapInPandas(run, "a long, b long")
 
 
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """100 * shared >= percent * union, on full sets."""
+    both = np.sort(np.frombuffer(x + y, dtype=np.uint64))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def confirm(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * shared >= percent * union on the full sets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            linked = []
-            for x, y in zip(frame["items_a"], frame["items_b"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            linked = [similar(x, y, percent) for x, y in zip(frame["items_a"], frame["items_b"], strict=True)]
             yield frame.loc[np.array(linked, dtype=bool), ["a", "b"]]
 
     return _attach(pairs, content, "items").select("items_a", "items_b", "a", "b").mapInPandas(run, "a long, b long")
@@ -200,34 +202,55 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()))
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and survive pruning; none is formed within a component."""
-    limits = bounds(threshold)
+def _settle(members: DataFrame, labels: DataFrame, content: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, as many as join them and hardly more.
+
+    Members outside a bucket's largest component meet all its members in blocks. Within a
+    block pairs are pruned on signatures, the likeliest is confirmed first, and what a link
+    has joined isn't compared again. A pair that shares several buckets is looked at in
+    the first of them alone.
+    """
+    limits = bounds(percent / 100)
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_ = sizes.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     mixed_ = mixed_.select("key", "members", F.col("top.component").alias("top"), (F.col("members") - F.col("top.n")).alias("others"))
-    rows = stored(labelled.join(mixed_, "key")).join(content.select("node", "sig"), "node")
+    rows = stored(labelled.join(mixed_, "key")).join(content, "node")
     blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "others"))
-    spread = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
-    every = rows.withColumn("mb", spread(blocks)).withColumn("ob", F.explode(F.sequence(F.lit(0), other_blocks - 1)))
-    others = rows.where("component <> top").withColumn("ob", spread(other_blocks)).withColumn("mb", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    block_of = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    every = rows.withColumn("mb", block_of(blocks)).withColumn("ob", F.explode(F.sequence(F.lit(0), other_blocks - 1)))
+    others = rows.where("component <> top").withColumn("ob", block_of(other_blocks)).withColumn("mb", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def compare(all_: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def find(part: int) -> int:
+            while (up := root.get(part, part)) != part:
+                root[part] = root.get(up, up)
+                part = up
+            return part
+
         if len(all_) and len(few):
             sigs = np.frombuffer(b"".join(all_["sig"]), dtype=np.uint32).reshape(-1, HASHES)
-            nodes, parts = all_["node"].to_numpy(), all_["component"].to_numpy()
-            for node, part, sig in zip(few["o_node"], few["o_component"], few["o_sig"], strict=True):
-                at = np.flatnonzero(parts != part)
-                one = np.broadcast_to(np.frombuffer(sig, dtype=np.uint32), (len(at), HASHES))
-                at = at[going_on(sigs[at], one, limits)]
-                out += [(min(node, x), max(node, x)) for x in nodes[at].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    columns = ["key", "mb", "ob", "node", "component", "sig"]
-    few = others.select(*[F.col(c).alias(f"o_{c}") for c in columns]).groupBy("o_key", "o_mb", "o_ob")
-    return every.select(*columns).groupBy("key", "mb", "ob").cogroup(few).applyInPandas(compare, "a long, b long").distinct()
+            nodes, parts, items = all_["node"].to_numpy(), all_["component"].to_numpy(), all_["items"].to_numpy()
+            key, top = all_["key"].iloc[0], all_["top"].iloc[0]
+            for node, part, sig, own in zip(few["o_node"], few["o_component"], few["o_sig"], few["o_items"], strict=True):
+                mine = np.frombuffer(sig, dtype=np.uint32)
+                at = np.flatnonzero((parts != part) & ((parts == top) | (nodes > node)))
+                alive, matches = going_on(sigs[at], np.broadcast_to(mine, (len(at), HASHES)), limits)
+                at = at[alive]
+                shared = (sigs[at].reshape(-1, BANDS, ROWS) == mine.reshape(BANDS, ROWS)).all(axis=2)
+                here = band_keys(mine)[shared.argmax(axis=1)] == key
+                for j in at[here][np.argsort(-matches[here], kind="stable")].tolist():
+                    one, two = find(int(part)), find(int(parts[j]))
+                    if one != two and similar(own, items[j], percent):
+                        root[max(one, two)] = min(one, two)
+                        out.append((min(node, int(nodes[j])), max(node, int(nodes[j]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    few = others.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "mb", "ob", "node", "component", "sig", "items")]).groupBy("o_key", "o_mb", "o_ob")
+    return every.select("key", "mb", "ob", "top", "node", "component", "sig", "items").groupBy("key", "mb", "ob").cogroup(few).applyInPandas(compare, "a long, b long")
 
 
 def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +267,7 @@ def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = stored(ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct())
     links = stored(confirm(stored(prune(pairs, content, threshold)), content, percent))
     labels = components(links)
-    more = stored(confirm(stored(_unsettled(members.select("key", "node"), labels, content, threshold)), content, percent))
+    more = stored(_settle(members.select("key", "node"), labels, content, percent))
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return sketched, labels
