@@ -82,7 +82,16 @@ def g3_digest(spark, sf):
     return members.groupBy("component").agg(F.sha2(F.concat_ws("|", n, one, two), 256).alias("cluster_id"))
 
 
-@plan("g5_balanced_folds")
+def _folds(groups, weight, n=5):
+    """Greedy walk in SQL: the heaviest group first, always to the lightest fold, the lower of equals."""
+    return [f"turn AS (SELECT *, row_number() OVER (ORDER BY {weight} DESC, grp) AS t FROM {groups})",
+            f"""walk AS (SELECT CAST(0 AS BIGINT) AS t, CAST(-1 AS BIGINT) AS fold, list_transform(range({n}), lambda i: CAST(0 AS BIGINT)) AS loads
+ UNION ALL SELECT t + 1, f - 1, list_transform(range(1, {n + 1}), lambda i: loads[i] + CASE WHEN i = f THEN w ELSE 0 END)
+ FROM (SELECT walk.t, loads, CAST({weight} AS BIGINT) AS w, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS f FROM walk JOIN turn ON turn.t = walk.t + 1))"""]
+
+
+@plan("g5_balanced_folds", sql(GRAPH, _LINK2, _BOTH, _CC, "sizes AS (SELECT component AS grp, count(*) AS size FROM cc GROUP BY component)", *_folds("sizes", "size"), recursive=True,
+     tail="""SELECT grp AS component, size, CAST(fold AS INTEGER) AS fold, CASE WHEN fold = 4 THEN 'heldout' ELSE 'development' END AS partition FROM turn JOIN walk USING (t)"""))
 def g5(spark, sf):
     """Fold loads; sequential by definition, checked against a plain loop in the tests."""
     _, comp = linked(spark, sf)
@@ -104,7 +113,10 @@ def model_rows(spark, sf):
 BASE = ["log_support", "sample_count", "is_inter", "log_distance"]
 
 
-@plan("g6_stratified_group_folds")
+@plan("g6_stratified_group_folds", sql(V.SCORED, "per AS (SELECT source AS grp, CAST(sum(quality) AS BIGINT) AS pos, count(*) AS n FROM scored GROUP BY source HAVING sum(quality) > 0)",
+     *_folds("per", "pos"), recursive=True,
+     tail="""SELECT CAST(fold AS INTEGER) AS fold, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, CAST(0 AS BIGINT) AS leaking
+ FROM turn JOIN walk USING (t) GROUP BY fold"""))
 def g6(spark, sf):
     rows = model_rows(spark, sf)
     leaks = G.leaking_parents(rows, "fold", ["source"])

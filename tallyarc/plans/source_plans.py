@@ -173,7 +173,7 @@ def s12(spark, sf):
     return text.key_values(lines, "page_id").select("page_id", "key", "value", "repeats")
 
 
-@plan("s13_sinks")
+@plan("s13_sinks", sql(V.DNA, tail="SELECT sink, (SELECT count(*) FROM dna WHERE seq <> '') AS rows FROM (VALUES ('tsv'), ('tsv_gz'), ('fasta'), ('jsonl')) v(sink)"))
 def s13(spark, sf):
     """Row counts after writing and reading TSV, gzip TSV, FASTA and JSON lines."""
     docs = V.dna(spark, sf).where("seq <> ''")
@@ -205,7 +205,7 @@ def s14(spark, sf):
         F.sum(F.size("junctions")).alias("children"), F.sum(total).cast("long").alias("anchor_total"))
 
 
-@plan("s15_create_only")
+@plan("s15_create_only", "SELECT count(*) AS rows, true AS second_write_refused FROM labels")
 def s15(spark, sf):
     """The second write of a freeze must fail."""
     from pyspark.errors import AnalysisException
