@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyarc.operators.contracts import guarded
 from tallyarc.operators.scan import last_seen, ordered_running
 
-LEVELS = 3
+LEVELS = 9  # the coarsest bin is 32 ** 8 finest ones, longer than any sequence
 GROWTH = 32
 
 
@@ -42,33 +42,45 @@ def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Da
     return merge_intervals(half_open, keys, "_a", "_b").groupBy(*keys).agg(F.sum(F.col("_b") - F.col("_a")).alias("covered"))
 
 
-def _level_width(level: Column, width: int) -> Column:
-    return F.lit(width) * F.element_at(F.array(*[F.lit(GROWTH ** i) for i in range(LEVELS)]), level + 1)
+def _bin_sizes(width: int) -> list[int]:
+    return [width * GROWTH ** i for i in range(LEVELS) if width * GROWTH ** i < 2**62]
+
+
+def _level(span: tuple[str, str], width: int) -> Column:
+    """The finest level whose bins are as long as the interval, so it touches two of them at most."""
+    sizes = _bin_sizes(width)
+    length, level = F.col(span[1]) - F.col(span[0]), F.lit(len(sizes) - 1)
+    for i, size in reversed(list(enumerate(sizes[:-1]))):
+        level = F.when(length <= size, F.lit(i)).otherwise(level)
+    return level
+
+
+def _binned(df: DataFrame, span: tuple[str, str], width: int, other_levels: Column, side: str) -> DataFrame:
+    """A row for each bin of the interval's own level and of the coarser levels that the other side uses."""
+    rows = df.withColumn(f"_own{side}", _level(span, width)).withColumn("_levels", other_levels)
+    coarser = F.filter(F.coalesce("_levels", F.array().cast("array<int>")), lambda i: i > F.col(f"_own{side}"))
+    rows = rows.withColumn("_level", F.explode(F.concat(F.array(f"_own{side}"), coarser))).drop("_levels")
+    size = F.element_at(F.array(*[F.lit(n).cast("long") for n in _bin_sizes(width)]), F.col("_level") + 1)
+    first, last = F.floor(F.col(span[0]) / size), F.floor((F.col(span[1]) - 1) / size)
+    return rows.withColumn(f"_first{side}", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str],
                  right_span: tuple[str, str], width: int) -> DataFrame:
     """Every pair of overlapping half-open intervals that share ``keys``, once, with ``overlap``.
 
-    Right intervals sit on a level by length and left rows probe every level. A
-    pair is emitted only in the first bin both cover, which replaces a distinct.
+    Both sides sit on a level by length, and a pair meets on the coarser of its two
+    levels: an interval of any length has at most two copies a level in use. A pair is
+    emitted only in the first bin both cover, which replaces a distinct.
     """
-    ls, le = left_span
-    rs, re_ = right_span
-    length = F.col(re_) - F.col(rs)
-    level = F.lit(0)
-    for i in range(1, LEVELS):
-        level = F.when(length > width * GROWTH ** i, F.lit(i)).otherwise(level)
-    r = right.withColumn("_level", level).withColumn("_w", _level_width(F.col("_level"), width))
-    r = r.withColumn("_rb", F.floor(F.col(rs) / F.col("_w"))).withColumn(
-        "_bin", F.explode(F.sequence("_rb", F.floor((F.col(re_) - 1) / F.col("_w"))))).drop("_w")
-    used = F.array(*[F.lit(i) for i in range(LEVELS)])
-    lft = left.withColumn("_level", F.explode(used)).withColumn("_w", _level_width(F.col("_level"), width))
-    lft = lft.withColumn("_lb", F.floor(F.col(ls) / F.col("_w"))).withColumn(
-        "_bin", F.explode(F.sequence("_lb", F.floor((F.col(le) - 1) / F.col("_w"))))).drop("_w")
-    hit = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & (F.col("_bin") == F.greatest("_lb", "_rb"))
+    (ls, le), (rs, re_) = left_span, right_span
+    used = lambda df, span: df.select(F.sort_array(F.collect_set(_level(span, width)))).scalar()
+    lft = _binned(left, left_span, width, used(right, right_span), "l")
+    r = _binned(right, right_span, width, used(left, left_span), "r")
+    once = (F.col("_level") == F.greatest("_ownl", "_ownr")) & (F.col("_bin") == F.greatest("_firstl", "_firstr"))
+    hit = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & once
     return lft.join(r, [*keys, "_level", "_bin"]).where(hit).withColumn(
-        "overlap", F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs))).drop("_level", "_bin", "_lb", "_rb")
+        "overlap", F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs))).drop("_level", "_bin", "_ownl", "_ownr", "_firstl", "_firstr")
 
 
 def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], position: str, span: tuple[str, str],

@@ -173,3 +173,16 @@ def test_slice_clusters_grow_until_explained(spark):
     got = slice_clusters(spark.createDataFrame(rows, "anchor long, sample string, i int, j int, value double"), ["anchor"], "sample").collect()
     label = {r.anchor: r.cluster for r in got}
     assert set(label) == {0, 1, 2, 3, 4, 5, 8} and len({label[i] for i in (0, 1, 2)}) == 1 and label[0] != label[3]
+
+
+def test_overlap_join_of_long_intervals(spark):
+    """Lengths from 1 to a million on both sides, against all pairs; copies of an interval stay few."""
+    rng = random.Random(5)
+    spans = lambda n: [(i, s, s + rng.choice([1, 3, 70, 5000, 10**6])) for i in range(n) for s in [rng.randint(0, 2 * 10**6)]]
+    a, b = spans(80), spans(90)
+    left = spark.createDataFrame([("k", *x) for x in a], "k string, id long, s long, e long")
+    right = spark.createDataFrame([("k", *x) for x in b], "k string, rid long, rs long, re long")
+    got = sorted((r.id, r.rid) for r in I.overlap_join(left, right, ["k"], ("s", "e"), ("rs", "re"), 64).collect())
+    assert got == sorted((i, j) for i, s, e in a for j, rs, re_ in b if s < re_ and rs < e)
+    levels = F.array(*[F.lit(i) for i in range(I.LEVELS)])
+    assert I._binned(left, ("s", "e"), 64, levels, "l").groupBy("id").count().agg(F.max("count")).first()[0] <= 2 * I.LEVELS
