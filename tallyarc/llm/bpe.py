@@ -78,7 +78,7 @@ def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, codes: np.nda
     return flat[np.repeat(starts[codes] - ends + n, n) + np.arange(total)]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = 16_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = 8_000_000) -> DataFrame:
     """doc_id and ids of every whole text, without special tokens."""
     split = regex.compile(pattern)
     groups = buckets(docs.sparkSession)
