@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a batch: one with ``words`` (its distinct tokens, by code), then one for each text with ``codes``.
-SCHEMA = "batch long, doc_id long, is_text boolean, codes binary, words binary"
+SCHEMA = "batch long, doc_id string, is_text boolean, codes binary, words binary"
 
 
 def squeeze(codes: np.ndarray) -> bytes:
@@ -47,7 +47,7 @@ def unsqueeze_words(blob: bytes) -> list[bytes]:
 
 
 def pack(docs: DataFrame, tokens: Callable[[str], list], chars: int = 16_000_000) -> DataFrame:
-    """Coded batches of about ``chars`` characters of ``docs`` (doc_id, text), dealt out by batch.
+    """Coded batches of about ``chars`` characters of ``docs`` (doc_id, text), dealt out by batch; doc_id as text, which pandas keeps exact.
 
     A null text is empty. A text is never cut: one that is longer makes a batch alone.
     """
@@ -67,14 +67,13 @@ def pack(docs: DataFrame, tokens: Callable[[str], list], chars: int = 16_000_000
             batch = int.from_bytes(digest.digest(), "big", signed=True)
             out = pd.DataFrame(rows, columns=["doc_id", "codes"]).assign(is_text=True, words=None)
             head = pd.DataFrame({"doc_id": [None], "codes": [None], "is_text": [False], "words": [squeeze_words(list(table))]})
-            out = pd.concat([head.astype({"doc_id": object}), out.astype({"doc_id": object})], ignore_index=True).assign(batch=batch)
-            return out.assign(doc_id=out["doc_id"].astype("Int64"))[["batch", "doc_id", "is_text", "codes", "words"]]
+            return pd.concat([head, out], ignore_index=True).assign(batch=batch)[["batch", "doc_id", "is_text", "codes", "words"]]
 
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 number = table.setdefault
                 codes = [number(w, len(table)) for w in tokens(text or "")]
-                rows.append((None if pd.isna(doc_id) else int(doc_id), squeeze(np.array(codes, dtype=np.uint32))))
+                rows.append((doc_id, squeeze(np.array(codes, dtype=np.uint32))))
                 size += len(text or "") + 20
                 if size >= chars:
                     yield flush()
@@ -82,7 +81,7 @@ def pack(docs: DataFrame, tokens: Callable[[str], list], chars: int = 16_000_000
         if rows:
             yield flush()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(run, SCHEMA).repartition("batch")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm.batches import buckets, by_bucket, dictionary, pack, squeeze, squeeze_words, unsqueeze, unsqueeze_words
+from tallyarc.llm.common import exact
 
 #: A vocabulary larger than this isn't sent to the tasks.
 MOST_RANKS = 1_000_000
@@ -118,7 +119,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int =
 
     requests = packed.mapInPandas(request, "bucket int, batch long, words binary")
     answers = requests.groupBy("bucket").applyInPandas(encode_bucket, "batch long, bucket int, lens binary, ids binary")
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, "doc_id long, ids array<int>")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, "doc_id string, ids array<int>").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
@@ -135,8 +136,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
             whole = [b"" if ids is None else b"".join([get(i, b"") for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]) for ids in frame[ids_col]]
             yield frame[keep].assign(decoded=whole)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
-    return encoded.select(*keep, ids_col).mapInPandas(run, f"{schema}, decoded binary")
+    kept, back = exact(encoded.select(*keep, ids_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
+    return kept.mapInPandas(run, f"{schema}, decoded binary").select(*back[:-1], "decoded")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -44,6 +44,12 @@ def require_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def exact(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its long columns as text, and the columns as they were: pandas holds longs beside nulls as doubles, which lose digits."""
+    longs = {f.name for f in df.schema if f.dataType.typeName() == "long"}
+    return df.withColumns({c: F.col(c).cast("string") for c in longs}) if longs else df, [F.col(c).cast("long").alias(c) if c in longs else F.col(c) for c in df.columns]
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[Column]]:
     """``docs`` with its columns under neutral names beside the ``used`` ones, those neutral names, and the columns as they were.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import exact, stored
 
 #: Elements without content, elements that are never text, elements that aren't the article, elements that part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,17 +272,17 @@ def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> Da
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows: list[tuple] = []
             for url, page in zip(frame["url"], frame["html"], strict=True):
                 whole, keys = candidates(page)
                 host = xxhash.xxh64_intdigest(host_of(url) or "") - 2**63
-                rows += [(host, whole, key) for key in [None, *keys]]
-            yield pd.DataFrame(rows, columns=["host_key", "page_key", "subtree"]).astype({"subtree": "Int64"})
+                rows += [(host, whole, True, 0), *((host, whole, False, key) for key in keys)]
+            yield pd.DataFrame(rows, columns=["host_key", "page_key", "is_page", "subtree"])
 
-    seen = pages.select("url", "html").mapInPandas(run, "host_key long, page_key long, subtree long").distinct()
-    counts = stored(seen.groupBy("host_key", "subtree").agg(F.count("*").alias("n")))
-    hosts = counts.where("subtree is null").select("host_key", F.col("n").alias("pages"))
-    many = counts.where("subtree is not null").join(hosts, "host_key").where((F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages")))
+    seen = pages.select("url", "html").mapInPandas(run, "host_key long, page_key long, is_page boolean, subtree long").distinct()
+    counts = stored(seen.groupBy("host_key", "is_page", "subtree").agg(F.count("*").alias("n")))
+    hosts = counts.where("is_page").select("host_key", F.col("n").alias("pages"))
+    many = counts.where("not is_page").join(hosts, "host_key").where((F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages")))
     return many.groupBy("host_key").agg(F.collect_list("subtree").alias("subtrees"))
 
 
@@ -300,6 +300,7 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> Data
             texts = [main_text(page, frozenset() if keys is None else frozenset(map(int, keys))) for page, keys in zip(frame["html"], frame["subtrees"], strict=True)]
             yield frame[["page_id", "url"]].assign(text=texts)
 
-    id_type = narrow.schema["page_id"].dataType.simpleString()
     with_keys = narrow.withColumn("host_key", host_key("url")).join(found, "host_key", "left").select("page_id", "url", "html", "subtrees")
-    return with_keys.mapInPandas(run, f"page_id {id_type}, url string, text string")
+    safe, back = exact(with_keys)
+    id_type = safe.schema["page_id"].dataType.simpleString()
+    return safe.mapInPandas(run, f"page_id {id_type}, url string, text string").select(back[0], "url", "text")

@@ -34,8 +34,8 @@ FOLDS, HELD_OUT = 7, 2
 PAIR_BYTES = 6
 
 
-def held_out(doc_id: int | None) -> bool:
-    return not pd.isna(doc_id) and zlib.crc32(str(int(doc_id)).encode()) % FOLDS == HELD_OUT
+def held_out(doc_id: str | None) -> bool:
+    return not pd.isna(doc_id) and zlib.crc32(doc_id.encode()) % FOLDS == HELD_OUT
 
 
 def tokens(text: str) -> list[bytes]:
@@ -180,4 +180,4 @@ def scores(docs: DataFrame, strength: float = 1000.0, chars: int = 16_000_000) -
 
     answers = _answers(_requests(packed, groups, False), False).unionByName(_answers(_requests(packed, groups, True), True))
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        traverse, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        traverse, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumn("doc_id", F.col("doc_id").cast("long"))

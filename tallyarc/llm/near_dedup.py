@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyarc.llm.common import set_aside, stored
+from tallyarc.llm.common import exact, set_aside, stored
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 HASHES, STEP = BANDS * ROWS, 40
@@ -123,7 +123,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": [len(s) for s in sets], "node": [node_key(s) for s in sets],
                                 "keys": [band_keys(signature(s)) if len(s) else None for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    sketched = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, node long, keys array<long>")
+    return sketched.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -285,7 +286,8 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     sketched, labels = _labelled(docs, percent)
     renamed, neutral, back = set_aside(docs, "doc_id", "text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema)
+    safe, whole = exact(renamed)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = WordKeys()
@@ -295,7 +297,7 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     filled = sketched.where("n_shingles > 0").select(F.col("doc_id").alias("d_id"), "node").distinct().join(labels, "node", "left")
     ranked = filled.withColumn("component", F.coalesce("component", "node"))
     first = ranked.groupBy("component").agg(F.min(F.struct(F.col("d_id").isNull(), "d_id", "node")).alias("f")).select(F.col("f.d_id").alias("f_id"), F.col("f.node").alias("f_node"))
-    noded = renamed.mapInPandas(run, f"{types}, d_node long")
+    noded = safe.mapInPandas(run, f"{types}, d_node long").select(*whole, "d_node")
     empty = noded.where("d_node = 0").select(*back)
     found = noded.where("d_node <> 0").join(first, (F.col("d_node") == F.col("f_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")))
     once = Window.partitionBy("d_node", F.col("doc_id")).orderBy(F.lit(1))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm import linear
-from tallyarc.llm.common import set_aside, stored
+from tallyarc.llm.common import exact, set_aside, stored
 from tallyarc.llm.quality_rules import text_stats
 
 SAMPLE = 4000
@@ -76,8 +76,10 @@ def with_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for frame in frames:
             yield frame.drop(columns="q_text").assign(q_evidence=model.evidence(frame["q_text"]))
 
+    narrow, back = exact(narrow)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.drop("q_text").schema)
-    return narrow.mapInPandas(run, f"{schema}, q_evidence double")
+    at = narrow.columns.index("q_text")
+    return narrow.mapInPandas(run, f"{schema}, q_evidence double").select(*back[:at], *back[at + 1 :], "q_evidence")
 
 
 def _strength(groups: DataFrame, n: str, share: str, centre: str) -> float:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import set_aside, stored
+from tallyarc.llm.common import exact, set_aside, stored
 
 #: Bytes that part words, symbol characters, the window of the repeat rule.
 SPACES = [32, 9, 10, 11, 12, 13]
@@ -65,7 +65,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of ``keep`` and the statistics of each text; one narrow pass."""
-    kept = docs.select(*keep).schema
+    safe, back = exact(docs.select(*keep, F.col("text").alias("_text")))
+    kept = safe.select(*keep).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in STATS.split(", ")]
@@ -75,7 +76,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield frame.assign(**{name: stats[:, i] for i, name in enumerate(names)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{schema}, {STATS}")
+    return safe.mapInPandas(run, f"{schema}, {STATS}").select(*back[:-1], *[x.split()[0] for x in STATS.split(", ")])
 
 
 def chi2_cdf(x: float, d: int) -> float:

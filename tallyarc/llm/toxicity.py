@@ -184,5 +184,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
             p = chain.probabilities(frame["text"])
             yield frame[["doc_id"]].assign(**{name: p[:, i] for i, name in enumerate(names)})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names)).withColumn("toxic", F.col("p_toxic") >= least)
+    narrow = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = narrow.mapInPandas(run, "doc_id string, " + ", ".join(f"{n} double" for n in names))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), *names, (F.col("p_toxic") >= least).alias("toxic"))

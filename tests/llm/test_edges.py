@@ -43,6 +43,17 @@ def test_filtering_stages_keep_columns(odd, labels):
     assert sorted(i for i in kept if i is not None) == [1, 2, 3, 4, 7, 8]  # one of the repeated rows; 9 is 1 said twice
 
 
+def test_large_ids_beside_nulls(spark, labels):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, PROSE, "en", "s"), (None, PROSE + "More.", "en", "s"), (big + 2, None, None, None)], "doc_id long, text string, lang string, source string")
+    ranks, pattern = byte_bpe()
+    for out in (bpe.digests(docs, ranks, pattern), quality_rules.verdicts(docs, ["doc_id"]), mixing.taken(docs), lm.scores(docs), near_dedup.near_duplicates(docs),
+                toxicity.classify(docs, labels), quality_model.classify(docs, labels)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None, big + 2}
+    pages = spark.createDataFrame([(big, None, PROSE), (None, "", None)], "page_id long, url string, html string")
+    assert {r.page_id for r in html_text.extract(pages).collect()} == {big, None}
+
+
 def test_empty_tables(spark, odd, labels):
     none = odd.limit(0)
     ranks, pattern = byte_bpe()
