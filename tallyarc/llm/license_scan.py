@@ -7,7 +7,7 @@ Texts become keys of five-word shingles. Two window shapes run over them:
 * WINDOW shingles, at every WINDOW - STRIDE: BANDS one-row bands. Longer templates have
   windows at every shingle, so a passage of WINDOW + STRIDE shingles in a document holds a
   window with all of one of theirs. With half of a window left after edits, a band misses
-  with 1/2 and all of them with 2 ** -BANDS.
+  with 1/2 and all of them with 2 ** -BANDS; a stretch that qualifies has several windows.
 
 A collision names a template and where it would start; the shingles of that stretch, with
 a quarter more on either side, are intersected with the template's. All of it is row-local
@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.functions.binding import let
-from tallyarc.llm.common import lower_ascii
 
-SHINGLE, SHORT, WINDOW, STRIDE, BANDS = 5, 19, 12, 8, 8
+SHINGLE, SHORT, WINDOW, STRIDE, BANDS = 5, 19, 12, 8, 4
 #: The table of template keys goes to every task; more rows than this are an error.
 MOST_KEYS = 1_000_000
 
@@ -63,8 +62,8 @@ TEMPLATES = {
 
 
 def shingle_keys(text: Column) -> Column:
-    """Keys of the shingles in text order. Words are runs of letters and digits, A-Z lowered."""
-    words = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Keys of the shingles in text order. Words are runs of letters and digits in lower case."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return let(lambda v: F.when(F.size(v.w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(v.w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(v.w, i, SHINGLE))))
                .otherwise(F.array().cast("array<bigint>")), w=words)
 
@@ -122,7 +121,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, l
 def oracle(templates: dict[str, str] | None = None, least: float = 0.75) -> str:
     """The same by brute force over all shingles of all documents."""
     values = ", ".join("('{}', '{}')".format(k, " ".join(t.split()).replace("'", "''")) for k, t in (templates or TEMPLATES).items())
-    words = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     cut = "unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
     return f"""
 WITH t AS (SELECT DISTINCT license_id, {cut} AS s FROM (SELECT license_id, {words} AS w FROM (VALUES {values}) v(license_id, text))),
