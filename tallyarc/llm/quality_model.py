@@ -70,16 +70,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 def with_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns and q_evidence, q_host, q_path: a narrow pass."""
-    narrow = docs.select(*keep, F.col("text").cast("string").alias("q_text"), F.col("source").cast("string").alias("q_host"), F.col("lang").cast("string").alias("q_path"))
+    rides = "text" in keep  # then it isn't sent twice
+    own = [] if rides else [F.col("text").cast("string").alias("q_text")]
+    narrow = docs.select(*keep, *own, F.col("source").cast("string").alias("q_host"), F.col("lang").cast("string").alias("q_path"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.drop(columns="q_text").assign(q_evidence=model.evidence(frame["q_text"]))
+            texts = frame["text"] if rides else frame.pop("q_text")
+            yield frame.assign(q_evidence=model.evidence(texts))
 
     narrow, back = exact(narrow)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.drop("q_text").schema)
-    at = narrow.columns.index("q_text")
-    return narrow.mapInPandas(run, f"{schema}, q_evidence double").select(*back[:at], *back[at + 1 :], "q_evidence")
+    kept = [c for c, name in zip(back, narrow.columns, strict=True) if name != "q_text"]
+    return narrow.mapInPandas(run, f"{schema}, q_evidence double").select(*kept, "q_evidence")
 
 
 def _strength(groups: DataFrame, n: str, share: str, centre: str) -> float:

@@ -65,18 +65,19 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of ``keep`` and the statistics of each text; one narrow pass."""
-    safe, back = exact(docs.select(*keep, F.col("text").alias("_text")))
+    rides = "text" in keep  # then it isn't sent twice
+    safe, back = exact(docs.select(*keep) if rides else docs.select(*keep, F.col("text").alias("_text")))
     kept = safe.select(*keep).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in STATS.split(", ")]
         for frame in frames:
-            rows = [text_stats(t) for t in frame.pop("_text")]
+            rows = [text_stats(t) for t in (frame["text"] if rides else frame.pop("_text"))]
             stats = np.array(rows, dtype=np.int64).reshape(-1, len(names))
             yield frame.assign(**{name: stats[:, i] for i, name in enumerate(names)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return safe.mapInPandas(run, f"{schema}, {STATS}").select(*back[:-1], *[x.split()[0] for x in STATS.split(", ")])
+    return safe.mapInPandas(run, f"{schema}, {STATS}").select(*back[: len(keep)], *[x.split()[0] for x in STATS.split(", ")])
 
 
 def chi2_cdf(x: float, d: int) -> float:
