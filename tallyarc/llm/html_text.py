@@ -1,12 +1,15 @@
 """Main text of web pages by removal of site templates.
 
-Every element is a subtree of blocks. Subtrees are hashed and counted per host: those that recur on many different pages of the host belong to its
-template and are deleted, as are elements that say what they are (menus, headers,
+The text is the whole page without its template. Every element is a subtree of blocks;
+subtrees are hashed and counted per host, and those that recur on many different pages
+of the host are deleted, as are elements that say what they are (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
 
-Within an article, labelled elements and recurring containers go, but no paragraph,
-heading, list or table: a passage that many articles share is still theirs. Copies of a
-page count once, so a copied page doesn't become a template.
+An article tag selects nothing, it only protects: within an article recurring containers
+go, but no paragraph, heading, list or table, and neither an article nor what holds one
+goes as a whole: a passage that many articles share is still theirs. Inline elements
+amid loose text are words of it and stay. Pages with the same text outside labelled
+elements count once, so a copied page doesn't become a template.
 
 Defined cases: a null or empty page gives an empty text; a page without host counts with
 the other pages without one; unclosed and stray tags are closed by what follows; a null
@@ -124,27 +127,13 @@ def parse(html: str) -> Element:
     return root
 
 
-def articles(root: Element) -> list[Element]:
-    """The outermost articles that aren't labelled otherwise, or else the main elements; iterative, so depth is no limit."""
-    for name in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            here = todo.pop()
-            for child in here.children:
-                if isinstance(child, Element) and not child.drop:
-                    (found if child.name == name else todo).append(child)
-        if any(blocks(e, frozenset()) for e in found):
-            return found
-    return []
-
-
-def subtree_keys(root: Element, sealed: frozenset[int] = frozenset()) -> dict[int, int]:
-    """Key of ``root`` and every element below it: a hash of its name and of what it holds. ``sealed`` elements aren't entered and have none."""
+def subtree_keys(root: Element) -> dict[int, int]:
+    """Key of ``root`` and every element below it: a hash of its name and of what it holds. Labelled elements aren't entered and have none."""
     order, todo = [], [root]
     while todo:
         here = todo.pop()
         order.append(here)
-        todo += [c for c in here.children if isinstance(c, Element) and id(c) not in sealed]
+        todo += [c for c in here.children if isinstance(c, Element) and not c.drop]
     keys: dict[int, int] = {}
     for here in reversed(order):
         inner = "".join(f"<{keys.get(id(c))}>" if isinstance(c, Element) else " ".join(c.split()) for c in here.children)
@@ -152,22 +141,40 @@ def subtree_keys(root: Element, sealed: frozenset[int] = frozenset()) -> dict[in
     return keys
 
 
-def container_keys(article: Element) -> dict[int, int]:
-    """Keys within the outermost containers below an article."""
-    keys: dict[int, int] = {}
-    todo = [article]
+def template_keys(root: Element) -> dict[int, int]:
+    """Key of every element that may be template: outside articles blocks, and inline elements without loose text around them; inside, containers."""
+    order, todo = [], [(root, False, False)]
     while todo:
-        for child in todo.pop().children:
-            if isinstance(child, Element):
-                if child.name in CONTAINERS:
-                    keys.update(subtree_keys(child))
-                else:
-                    todo.append(child)
-    return keys
+        here, prose, inside = todo.pop()
+        order.append((here, prose, inside))
+        loose = any(isinstance(c, str) and c.strip() for c in here.children) or (prose and here.name not in BLOCKS)
+        todo += [(c, loose, inside or here.article) for c in here.children if isinstance(c, Element) and not c.drop]
+    holds, full = set(), set()
+    for here, _, _ in reversed(order):
+        for c in here.children:
+            if isinstance(c, str):
+                if c.strip():
+                    full.add(id(here))
+            elif not c.drop:
+                if c.article or id(c) in holds:
+                    holds.add(id(here))
+                if id(c) in full:
+                    full.add(id(here))
+    keys = subtree_keys(root)
+    out: dict[int, int] = {}
+    for here, prose, inside in order:
+        if inside:
+            may = here.name in CONTAINERS
+        else:
+            may = not here.article and id(here) not in holds and here.name not in ("#root", "html", "body") and (here.name in BLOCKS or not prose)
+        if may and id(here) in full:
+            out[id(here)] = keys[id(here)]
+    return out
 
 
-def blocks(root: Element, recurring: frozenset[int], keys: dict[int, int] | None = None, article: bool = False) -> list[str]:
-    """Texts of the blocks in page order, without labelled elements and recurring subtrees (of an article: containers)."""
+def blocks(root: Element, recurring: frozenset[int]) -> list[str]:
+    """Texts of the blocks in page order, without labelled elements and recurring subtrees."""
+    keys = template_keys(root) if recurring else {}
     out: list[str] = []
     run: list[str] = []
 
@@ -184,7 +191,7 @@ def blocks(root: Element, recurring: frozenset[int], keys: dict[int, int] | None
             close()
         elif isinstance(here, str):
             run.append(here)
-        elif here is root or not (here.drop or (keys and (not article or here.name in CONTAINERS) and keys[id(here)] in recurring)):
+        elif here is root or not (here.drop or keys.get(id(here)) in recurring):
             if here.name in BLOCKS:
                 close()
                 todo.append(None)
@@ -199,68 +206,14 @@ def host_of(url: str | None) -> str | None:
 
 
 def candidates(html: str | None) -> tuple[int, list[int]]:
-    """Key of the page's whole text, and keys of the elements that may be template: outside an article all but those that hold one, inside it containers."""
+    """Key of the page's text outside labelled elements, and keys of the elements that may be template."""
     root = parse(html or "")
-    found = articles(root)
-    inside = frozenset(id(e) for e in found)
-    holds = _holders(root, inside)
-    keys = subtree_keys(root, inside)
-    out = {key for i, key in keys.items() if i not in holds}
-    todo, texts = [root], []
-    while todo:
-        here = todo.pop()
-        if here.name in ("#root", "html", "body"):
-            out.discard(keys[id(here)])
-        texts += [c for c in here.children if isinstance(c, str)]
-        todo += [c for c in here.children if isinstance(c, Element)]
-    for e in found:
-        inner = container_keys(e)
-        out.update(inner[id(c)] for c in _elements(e) if c.name in CONTAINERS and id(c) in inner)
-    return xxhash.xxh64_intdigest("\0".join(texts).encode("utf-8", "surrogatepass")) - 2**63, sorted(out)
-
-
-def _elements(root: Element) -> Iterator[Element]:
-    todo = [root]
-    while todo:
-        for child in todo.pop().children:
-            if isinstance(child, Element):
-                yield child
-                todo.append(child)
-
-
-def _holders(root: Element, inside: frozenset[int]) -> set[int]:
-    """Articles and the elements around them."""
-    order, todo = [], [root]
-    while todo:
-        here = todo.pop()
-        order.append(here)
-        todo += [c for c in here.children if isinstance(c, Element)]
-    holds: set[int] = set()
-    for here in reversed(order):
-        if id(here) in inside or any(id(c) in holds for c in here.children if isinstance(c, Element)):
-            holds.add(id(here))
-    return holds
+    whole = "\0".join(blocks(root, frozenset()))
+    return xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) - 2**63, sorted(set(template_keys(root).values()))
 
 
 def main_text(html: str | None, recurring: frozenset[int]) -> str:
-    if not html:
-        return ""
-    root = parse(html)
-    found = articles(root)
-    if not found:
-        return "\n".join(blocks(root, recurring, subtree_keys(root) if recurring else None))
-    return "\n".join(b for e in sorted_by_page(root, found) for b in blocks(e, recurring, container_keys(e) if recurring else None, True))
-
-
-def sorted_by_page(root: Element, found: list[Element]) -> list[Element]:
-    wanted, out, todo = {id(e) for e in found}, [], [root]
-    while todo:
-        here = todo.pop()
-        if id(here) in wanted:
-            out.append(here)
-        else:
-            todo += reversed([c for c in here.children if isinstance(c, Element)])
-    return out
+    return "\n".join(blocks(parse(html), recurring)) if html else ""
 
 
 def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> DataFrame:

@@ -96,3 +96,12 @@ def test_recurring_subtrees_go(spark):
     assert all(got[i] == f"Story number {i} goes like this" for i in range(8))
     assert got[8] == "All rights kept by us\nStory number 99 goes like this"  # copies of one page are one page
     assert got[20] == "" and got[21].startswith("All rights")
+
+
+def test_text_outside_the_article_stays(spark):
+    body = lambda i: f"""<body><div><a>Home</a><a>Wares</a></div><div><p>Standfirst {i} of the story</p></div><article><p>Card {i}</p><p>Shared passage</p><div>Read on</div></article>
+    <main>Loose words <b>not</b> of {i}<p>And the rest {i}</p></main><div><p>Two offices</p></div></body>"""
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", body(i)) for i in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"Standfirst {i} of the story\nCard {i}\nShared passage\nLoose words not of {i}\nAnd the rest {i}" for i in range(8))
+    assert html_text.main_text(body(1), frozenset()).startswith("HomeWares\nStandfirst 1")
