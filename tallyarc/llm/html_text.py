@@ -216,33 +216,32 @@ def main_text(html: str | None, recurring: frozenset[int]) -> str:
     return "\n".join(blocks(parse(html), recurring)) if html else ""
 
 
-def templates(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> DataFrame:
-    """host_key and subtrees: per host, keys of the subtrees on at least ``share`` of its different pages.
+def templates(pages: DataFrame, least_pages: int = 5) -> DataFrame:
+    """host_key, html_key and subtrees: per host and page source, keys of its subtrees that lie on at least ``least_pages`` different pages of the host.
 
-    Being a share of the host's pages, they are at most as many as 1 / ``share`` average
-    pages hold, however many pages the host has.
+    The count is the same for hosts of any size. Recurring keys meet the (page, subtree)
+    rows in a join, so a list holds one page's own subtrees, never a host's.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[tuple] = []
-            for url, page in zip(frame["url"], frame["html"], strict=True):
+            for url, page, html_key in zip(frame["url"], frame["html"], frame["html_key"], strict=True):
                 whole, keys = candidates(page)
                 host = xxhash.xxh64_intdigest(host_of(url) or "") - 2**63
-                rows += [(host, whole, True, 0), *((host, whole, False, key) for key in keys)]
-            yield pd.DataFrame(rows, columns=["host_key", "page_key", "is_page", "subtree"])
+                rows += [(host, whole, html_key, key) for key in keys]
+            yield pd.DataFrame(rows, columns=["host_key", "page_key", "html_key", "subtree"])
 
-    seen = pages.select("url", "html").mapInPandas(run, "host_key long, page_key long, is_page boolean, subtree long").distinct()
-    counts = stored(seen.groupBy("host_key", "is_page", "subtree").agg(F.count("*").alias("n")))
-    hosts = counts.where("is_page").select("host_key", F.col("n").alias("pages"))
-    many = counts.where("not is_page").join(hosts, "host_key").where((F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages")))
-    return many.groupBy("host_key").agg(F.collect_list("subtree").alias("subtrees"))
+    seen = stored(pages.mapInPandas(run, "host_key long, page_key long, html_key binary, subtree long"))
+    counts = seen.select("host_key", "subtree", "page_key").distinct().groupBy("host_key", "subtree").agg(F.count("*").alias("n"))
+    many = stored(counts.where(F.col("n") >= least_pages).select("host_key", "subtree"))
+    return seen.select("host_key", "html_key", "subtree").join(many, ["host_key", "subtree"]).groupBy("host_key", "html_key").agg(F.collect_set("subtree").alias("subtrees"))
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> DataFrame:
-    """page_id, url, text of every page. Spark broadcasts the templates if their stored files are small."""
-    narrow = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = stored(templates(narrow, least_pages, share))
+def extract(pages: DataFrame, least_pages: int = 5) -> DataFrame:
+    """page_id, url, text of every page. Spark broadcasts the recurring keys if their stored files are small."""
+    narrow = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("html_key", F.unhex(F.md5("html")))
+    found = stored(templates(narrow.select("url", "html", "html_key"), least_pages))
 
     @F.udf("long")
     def host_key(url):
@@ -253,7 +252,7 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.05) -> Data
             texts = [main_text(page, frozenset() if keys is None else frozenset(map(int, keys))) for page, keys in zip(frame["html"], frame["subtrees"], strict=True)]
             yield frame[["page_id", "url"]].assign(text=texts)
 
-    with_keys = narrow.withColumn("host_key", host_key("url")).join(found, "host_key", "left").select("page_id", "url", "html", "subtrees")
+    with_keys = narrow.withColumn("host_key", host_key("url")).join(found, ["host_key", "html_key"], "left").select("page_id", "url", "html", "subtrees")
     safe, back = exact(with_keys)
     id_type = safe.schema["page_id"].dataType.simpleString()
     return safe.mapInPandas(run, f"page_id {id_type}, url string, text string").select(back[0], "url", "text")

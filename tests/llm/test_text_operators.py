@@ -105,3 +105,11 @@ def test_text_outside_the_article_stays(spark):
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert all(got[i] == f"Standfirst {i} of the story\nCard {i}\nShared passage\nLoose words not of {i}\nAnd the rest {i}" for i in range(8))
     assert html_text.main_text(body(1), frozenset()).startswith("HomeWares\nStandfirst 1")
+
+
+def test_templates_of_a_large_host_go(spark):
+    body = lambda i: f"<body>{'<div><p>Notice of the week</p></div>' if i < 6 else ''}<section><p>Story number {i} goes like this</p></section></body>"
+    rows = [(i, f"http://large.example/{i}", body(i)) for i in range(200)] + [(200 + i, f"http://small.example/{i}", body(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story number {i} goes like this" for i in range(200))  # on 3 % of the host's pages
+    assert all(got[200 + i] == f"Notice of the week\nStory number {i} goes like this" for i in range(4))
