@@ -1,21 +1,13 @@
-"""License scan: MinHash bands over overlapping text windows, then exact shingle containment.
+"""License scan: exact containment of templates in whole documents.
 
-Texts become keys of five-word shingles. Two window shapes run over them:
-
-* one shingle, at every word: for templates of up to SHORT shingles. The window is the
-  shingle, so a shared one always collides.
-* WINDOW shingles, at every WINDOW - STRIDE: BANDS one-row bands. Longer templates have
-  windows at every shingle, so a passage of WINDOW + STRIDE shingles in a document holds a
-  window with all of one of theirs. With half of a window left after edits, a band misses
-  with 1/2 and all of them with 2 ** -BANDS; a stretch that qualifies has several windows.
-
-A collision names a template and where it would start; the shingles of that stretch, with
-a quarter more on either side, are intersected with the template's. All of it is row-local
-and native: nothing but matches is shuffled.
+Texts become keys of five-word shingles. Every shingle of every document meets the table
+of template shingles, and the distinct shared ones are counted per document and template,
+wherever in the document they stand: a notice in several pieces counts with all of them,
+and no passage is missed. Only shared shingles are shuffled; all of it is native.
 
 Defined cases: a null, empty or shorter text matches nothing; rows of one doc_id (or of
-none) report together, each template once with its best stretch; an empty table gives an
-empty result; other columns are not read.
+none) report together, each template once with the shingles of all of them; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyarc.functions.binding import let
 
-SHINGLE, SHORT, WINDOW, STRIDE, BANDS = 5, 19, 12, 8, 4
+SHINGLE = 5
 #: The table of template keys goes to every task; more rows than this are an error.
 MOST_KEYS = 1_000_000
 
@@ -68,54 +60,27 @@ def shingle_keys(text: Column) -> Column:
                .otherwise(F.array().cast("array<bigint>")), w=words)
 
 
-def window_keys(shingled: DataFrame, stride: int) -> DataFrame:
-    """A row for each band of each window: band_key and start (of the window, in shingles) beside the columns of ``shingled``.
-
-    One generator numbers the single-shingle windows first, then window and band of the others.
-    """
-    n = F.size("shingles")
-    places = F.expr(f"if(n > 0, sequence(0, n + cast(ceil(n / {stride}) AS int) * {BANDS} - 1), array())")
-    rows = shingled.withColumn("n", n).withColumn("r", F.explode_outer(places))  # outer: else Catalyst adds a filter that works out the shingles twice
-    single = F.col("r") < F.col("n")
-    band = F.expr(f"(r - n) % {BANDS}")
-    start = F.when(single, F.col("r")).otherwise(F.expr(f"((r - n) div {BANDS}) * {stride}").cast("int"))
-    rows = rows.withColumns({"start": start, "band": F.when(single, F.lit(-1)).otherwise(band)})
-    inside = [F.get("shingles", F.col("start") + k) for k in range(WINDOW)]
-    least = F.least(*[F.when(x.isNotNull(), F.xxhash64(x, F.col("band"))) for x in inside])
-    key = F.when(F.col("band") < 0, F.xxhash64(inside[0], F.col("band"))).otherwise(F.xxhash64(least, F.col("band")))
-    return rows.withColumn("band_key", key)
-
-
 def template_keys(templates: DataFrame) -> DataFrame:
-    """Band keys of the templates (license_id, text): t_key, license_id, t_start, t_shingles."""
-    shingled = templates.select("license_id", shingle_keys(F.col("text")).alias("shingles"))
-    rows = window_keys(shingled, 1)
-    short = F.size("shingles") <= SHORT
-    full = F.col("start") + WINDOW <= F.col("n")
-    rows = rows.where((short & (F.col("band") < 0)) | (~short & (F.col("band") >= 0) & full))
-    return rows.select(F.col("band_key").alias("t_key"), "license_id", F.col("start").alias("t_start"), F.col("shingles").alias("t_shingles"))
+    """Distinct shingles of the templates (license_id, text): t_key, license_id, template_shingles."""
+    keys = templates.select("license_id", F.explode(shingle_keys(F.col("text"))).alias("t_key")).distinct()
+    sizes = keys.groupBy("license_id").agg(F.count("*").alias("template_shingles"))
+    return keys.join(sizes, "license_id").select("t_key", "license_id", "template_shingles")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = 0.75) -> DataFrame:
-    """doc_id, license_id, template_shingles, matched, containment: templates of which a stretch of the text holds at least ``least``."""
+    """doc_id, license_id, template_shingles, matched, containment: templates of which the document holds at least ``least``."""
     spark = docs.sparkSession
     if not isinstance(templates, DataFrame):
         templates = spark.createDataFrame(list((templates or TEMPLATES).items()), "license_id string, text string")
     keys = template_keys(templates)
     if (rows := keys.count()) > MOST_KEYS:
         raise ValueError(f"{rows} template keys, more than {MOST_KEYS}")
-    shingled = docs.select("doc_id", shingle_keys(F.col("text")).alias("shingles"))
-    hits = window_keys(shingled, STRIDE).join(F.broadcast(keys), F.col("band_key") == F.col("t_key"))
-    size = F.size("t_shingles")
-    slack = F.ceil(size / 4).cast("int") + SHINGLE - 1
-    first = F.col("start") - F.col("t_start")
-    low = F.greatest(first - slack, F.lit(0))
-    stretch = F.slice("shingles", low + 1, F.greatest(first + size + slack - low, F.lit(1)))
-    whole = F.array_distinct("t_shingles")
-    found = hits.select("doc_id", "license_id", F.size(whole).cast("long").alias("template_shingles"),
-                        F.size(F.array_intersect(stretch, "t_shingles")).cast("long").alias("matched"))
-    best = found.where(F.col("matched") >= least * F.col("template_shingles")).groupBy("doc_id", "license_id", "template_shingles").agg(F.max("matched").alias("matched"))
-    return best.withColumn("containment", F.col("matched") / F.col("template_shingles"))
+    # outer: else Catalyst adds a filter that works out the shingles twice
+    shingles = docs.select("doc_id", F.explode_outer(shingle_keys(F.col("text"))).alias("key"))
+    shared = shingles.join(F.broadcast(keys), F.col("key") == F.col("t_key"))
+    distinct = shared.select("doc_id", "license_id", "template_shingles", "key").distinct()
+    found = distinct.groupBy("doc_id", "license_id", "template_shingles").agg(F.count("*").alias("matched"))
+    return found.where(F.col("matched") >= least * F.col("template_shingles")).withColumn("containment", F.col("matched") / F.col("template_shingles"))
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = 0.75) -> str:

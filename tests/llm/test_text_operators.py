@@ -113,3 +113,12 @@ def test_templates_of_a_large_host_go(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story number {i} goes like this" for i in range(200))  # on 3 % of the host's pages
     assert all(got[200 + i] == f"Notice of the week\nStory number {i} goes like this" for i in range(4))
+
+
+def test_interrupted_licenses(spark):
+    words = license_scan.TEMPLATES["mit/text"].split()
+    half = len(words) // 2
+    split = " ".join([*words[:half], *(f"other{i}" for i in range(60)), *words[half:]])
+    docs = spark.createDataFrame([(1, split), (2, " ".join(words[:half])), (2, " ".join(words[half:])), (3, " ".join(words[:half]))], "doc_id long, text string")
+    got = {r.doc_id: (r.matched, r.template_shingles) for r in license_scan.scan(docs).where("license_id = 'mit/text'").collect()}
+    assert set(got) == {1, 2} and all(whole - matched == 4 for matched, whole in got.values())
