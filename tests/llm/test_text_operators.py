@@ -122,3 +122,15 @@ def test_interrupted_licenses(spark):
     docs = spark.createDataFrame([(1, split), (2, " ".join(words[:half])), (2, " ".join(words[half:])), (3, " ".join(words[:half]))], "doc_id long, text string")
     got = {r.doc_id: (r.matched, r.template_shingles) for r in license_scan.scan(docs).where("license_id = 'mit/text'").collect()}
     assert set(got) == {1, 2} and all(whole - matched == 4 for matched, whole in got.values())
+
+
+def test_short_edited_licenses(spark):
+    """Templates of 20 shingles with a quarter broken: none is missed."""
+    texts, templates = [], {}
+    for t in range(150):
+        words = [f"w{t}x{i}" for i in range(24)]
+        templates[f"t{t}"] = " ".join(words)
+        texts += [(f"t{t}", " ".join(["changed" if i == k else w for i, w in enumerate(words)])) for k in range(4, 20)]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.license_id) for r in license_scan.scan(docs, templates).collect()}
+    assert got == {(i, name) for i, (name, _) in enumerate(texts)}
