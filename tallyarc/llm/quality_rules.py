@@ -98,6 +98,13 @@ def consistency(share: float, d: int) -> float:
     return share / chi2_cdf(chi2_quantile(share, d), d + 2) if share < 1 else 1.0
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """``cov`` with at least the variance of LEAST_SD in every direction; a direction that varies more stays as it is."""
+    unit = np.outer(LEAST_SD, LEAST_SD)
+    values, axes = np.linalg.eigh(cov / unit)
+    return (axes * np.maximum(values, 1.0)) @ axes.T * unit
+
+
 def features(stats: DataFrame) -> DataFrame:
     """Transformed statistics: the logarithm of word length and square roots of rates.
 
@@ -147,7 +154,7 @@ def _starts(rows: DataFrame) -> DataFrame:
         *[F.percentile(F.round(F.abs(F.col(f) - F.col("mean")[i]) * 256) / 256, F.lit(0.5)).alias(f"mad_{i}") for i, f in enumerate(FEATURES)])
     d = len(FEATURES)
     scale = [F.col(f"mad_{i}") * 1.4826 for i in range(d)]
-    var = [scale[i] * scale[i] + LEAST_SD[i] ** 2 for i in range(d)]
+    var = [F.greatest(scale[i] * scale[i], F.lit(LEAST_SD[i] ** 2)) for i in range(d)]
     inverse = F.array(*[F.lit(1.0) / var[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
     det = F.lit(1.0)
     for v in var:
@@ -183,7 +190,7 @@ def _step(rows: DataFrame, estimates: DataFrame, share: float, reweight: bool) -
         for i in range(d):
             for j in range(i + 1):
                 cov[i, j] = cov[j, i] = chosen[f"q_{i}_{j}"].sum() / h - mean[i] * mean[j]
-        cov = cov * consistency(0.975 if reweight else max(h / total, share), d) + np.diag(np.square(LEAST_SD))
+        cov = floored(cov * consistency(0.975 if reweight else max(h / total, share), d))
         first = frame.iloc[0]
         return pd.DataFrame([{"level": first["level"], "g_lang": first["g_lang"], "g_source": first["g_source"], "n": total, "det": float(np.linalg.det(cov)),
                               "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist()}])

@@ -36,6 +36,22 @@ def test_outliers_against_numpy(spark):
     assert np.allclose(fit.mean, inner.mean(axis=0), atol=0.01)
 
 
+def test_least_spread_is_a_floor():
+    """It replaces a smaller variance and adds nothing to a larger one."""
+    floor = np.square(quality_rules.LEAST_SD)
+    assert np.allclose(quality_rules.floored(np.zeros((4, 4))), np.diag(floor))
+    wide = np.diag(floor * [4, 2, 0.25, 0])
+    assert np.allclose(quality_rules.floored(wide), np.diag(floor * [4, 2, 1, 1]))
+
+
+def test_wide_estimates_stay(spark):
+    sd = 1.5 * np.array(quality_rules.LEAST_SD)
+    rows = [("en", "s", *map(float, x)) for x in np.random.default_rng(2).normal(0, sd, (3000, 4))]
+    fit = quality_rules.estimates(spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))).where("level = 0").first()
+    ratio = np.diag(np.linalg.inv(np.array(fit.inverse).reshape(4, 4))) / sd**2
+    assert (np.abs(ratio - 1) < 0.25).all()
+
+
 def test_junk_goes_and_prose_stays(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     seen = quality_rules.verdicts(docs, ["doc_id"]).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
