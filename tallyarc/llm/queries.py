@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, topk, toxicity
+from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, simhash, topk, toxicity
 from tallyarc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every vector whose id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op11_simhash_duplicates")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
