@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, simhash, topk, toxicity
+from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, simhash, spelling, topk, toxicity
 from tallyarc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
