@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyarc.llm import bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, simhash, spelling, topk, toxicity
+from tallyarc.llm import alignment, bpe, html_text, license_scan, lm, mixing, near_dedup, quality_model, quality_rules, simhash, spelling, topk, toxicity
 from tallyarc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every word."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers' tokens in every document."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.align(table(spark, sf_dir, "documents"), a.read(), b.read())
