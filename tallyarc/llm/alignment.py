@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm.batches import squeeze, unsqueeze
-from tallyarc.llm.bpe import gather
 from tallyarc.llm.common import stored
 
 #: A single space between visible characters: both tokenizers start a token with it.
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 #: Characters of texts in a batch, of pieces that a task remembers, of texts encoded at a time, and pairs expanded at a time.
-BATCH, HELD, AT_ONCE, SLICE = 8_000_000, 4_000_000, 200_000, 2_000_000
+BATCH, HELD, AT_ONCE, SLICE = 8_000_000, 20_000_000, 200_000, 2_000_000
 PAIR = 32
 
 
@@ -111,17 +111,37 @@ def expand(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: n
     return done
 
 
+class Numbers(dict):
+    """Numbers of keys in the order they come; ``new`` holds those not yet looked at."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
+
+
+def stretches(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Positions of stretches one after the other."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Pieces:
-    """Distinct pieces by number, each with its ids' figures, its text of groups and its distinct pairs."""
+    """Distinct pieces by number, each with its figures, its text of groups and its distinct pairs (by number, too)."""
 
     def __init__(self, make: Callable[[], Tokenizers]):
-        self.tokenizers = make()
-        self.len_a, self.len_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.tokenizers.a_bytes, self.tokenizers.b_bytes))
+        self.tokenizers = t = make()
+        self.len_a, self.len_b = (np.array([len(x) for x in names], dtype=np.int64) for names in (t.a_bytes, t.b_bytes))
+        self.split = CUT.split if t.cuts else lambda text: [text]
+        #: Texts of ids by what follows them: another of the group, the group's B ids, the next group, nothing.
+        self.texts = [[f"{i}{mark}" for i in range(max(len(self.len_a), len(self.len_b)))] for mark in (",", "|", ";", "")]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pending: list[str] = []
+        self.number, self.pair = Numbers(), Numbers()
         self.size = 0
         self.said: list[str] = []
         self.figures = np.empty((0, 5), dtype=np.int64)  # spelled right, A tokens, B tokens, groups, links
@@ -129,58 +149,73 @@ class Pieces:
         self.pairs, self.links = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def codes(self, text: str) -> np.ndarray:
-        out = []
-        for piece in CUT.split(text) if self.tokenizers.cuts else [text]:
-            code = self.number.get(piece)
-            if code is None:
-                code = self.number[piece] = len(self.number)
-                self.pending.append(piece)
-                self.size += len(piece) + 40
-            out.append(code)
-        return np.array(out, dtype=np.int64)
+        number = self.number
+        return np.array([number[piece] for piece in self.split(text)], dtype=np.int64)
 
     def settle(self) -> None:
         """Encode and align the pieces that are new."""
-        at = 0
-        while at < len(self.pending):
+        new, at = self.number.new, 0
+        while at < len(new):
             stop, size = at, 0
-            while stop < len(self.pending) and (size < AT_ONCE or stop == at):
-                size += len(self.pending[stop])
+            while stop < len(new) and (size < AT_ONCE or stop == at):
+                size += len(new[stop])
                 stop += 1
-            self._add(self.pending[at:stop])
+            self._add(new[at:stop])
+            self.size += size + 60 * (stop - at)
             at = stop
-        self.pending = []
+        new.clear()
+
+    def _spelled(self, texts: list[str], ids: np.ndarray, n: np.ndarray, names: list[bytes], lens: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each text spell a space and the text; first all together, one by one only if that fails."""
+        whole = [(" " + text).encode("utf-8", "surrogatepass") for text in texts]
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), n), weights=lens[ids], minlength=len(texts))
+        parts = [names[i] for i in ids.tolist()]
+        if (sizes == np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))).all() and b"".join(parts) == b"".join(whole):
+            return np.ones(len(texts), dtype=bool)
+        ends = np.cumsum(n).tolist()
+        return np.array([b"".join(parts[a:b]) == w for a, b, w in zip([0, *ends], ends, whole, strict=False)], dtype=bool)
 
     def _add(self, texts: list[str]) -> None:
         t = self.tokenizers
-        both = list(zip(texts, *t.encode(texts), strict=True))
-        right = [b"".join([t.a_bytes[i] for i in a]) == (whole := (" " + text).encode("utf-8", "surrogatepass")) == b"".join([t.b_bytes[i] for i in b]) and len(whole) > 1 for text, a, b in both]
-        lists_a, lists_b = [a if ok else [] for ok, (_, a, _) in zip(right, both, strict=True)], [b if ok else [] for ok, (_, _, b) in zip(right, both, strict=True)]
-        n_a, n_b = (np.array([len(x) for x in lists], dtype=np.int64) for lists in (lists_a, lists_b))
-        ids_a, ids_b = (np.array([i for x in lists for i in x], dtype=np.int64) for lists in (lists_a, lists_b))
+        both = t.encode(texts)
+        n_a, n_b = (np.fromiter(map(len, lists), dtype=np.int64, count=len(texts)) for lists in both)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(lists), dtype=np.int64) for lists in both)
+        right = self._spelled(texts, ids_a, n_a, t.a_bytes, self.len_a) & self._spelled(texts, ids_b, n_b, t.b_bytes, self.len_b)
+        if not right.all():
+            ids_a, ids_b = ids_a[np.repeat(right, n_a)], ids_b[np.repeat(right, n_b)]
+            n_a, n_b = n_a * right, n_b * right
         group_a, group_b = coalesce(self.len_a[ids_a], self.len_b[ids_b])
-        owner_a = np.repeat(np.arange(len(texts)), n_a)
         groups = int(group_a[-1]) + 1 if len(group_a) else 0
         piece_of = np.zeros(groups, dtype=np.int64)
-        piece_of[group_a] = owner_a
+        piece_of[group_a] = np.repeat(np.arange(len(texts)), n_a)
         in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
-        tally = lambda weight: np.bincount(piece_of, weights=weight, minlength=len(texts)).astype(np.int64)
-        said = [f"{','.join(a)}|{','.join(b)}" for a, b in zip(_runs(ids_a, in_a), _runs(ids_b, in_b), strict=True)]
-        ends = np.cumsum(tally(None)).tolist()
-        self.said += [";".join(said[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        n_groups = np.bincount(piece_of, minlength=len(texts))
+        n_links = np.bincount(piece_of, weights=in_a * in_b, minlength=len(texts)).astype(np.int64)
+        self._say(ids_a, ids_b, group_a, group_b, in_a, in_b, n_a + n_b)
         piece, pairs, links = expand(group_a, ids_a, group_b, ids_b, piece_of)
+        distinct_pairs, of = np.unique(pairs, return_inverse=True)
+        number = self.pair
         lens = np.bincount(piece, minlength=len(texts))
-        self.figures = np.concatenate([self.figures, np.stack([np.array(right, dtype=np.int64), n_a, n_b, tally(None), tally(in_a * in_b)], axis=1)])
+        self.figures = np.concatenate([self.figures, np.stack([right.astype(np.int64), n_a, n_b, n_groups, n_links], axis=1)])
         self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.pairs, self.links = np.concatenate([self.pairs, pairs]), np.concatenate([self.links, links])
-
-
-def _runs(ids: np.ndarray, sizes: np.ndarray) -> Iterator[list[str]]:
-    said, at = [str(i) for i in ids.tolist()], 0
-    for n in sizes.tolist():
-        yield said[at : at + n]
-        at += n
+        self.pairs = np.concatenate([self.pairs, np.array([number[p] for p in distinct_pairs.tolist()], dtype=np.int64)[of.ravel()]])
+        self.links = np.concatenate([self.links, links])
+
+    def _say(self, ids_a, ids_b, group_a, group_b, in_a, in_b, tokens) -> None:
+        """Texts of groups: every id goes to its place among the group's A ids, then its B ids, with the mark that follows it."""
+        before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        at_a, at_b = np.arange(len(ids_a)) + before_b[group_a], np.arange(len(ids_b)) + (before_a + in_a)[group_b]
+        ids, marks = np.empty(len(ids_a) + len(ids_b), dtype=np.int64), np.zeros(len(ids_a) + len(ids_b), dtype=np.int64)
+        ids[at_a], ids[at_b] = ids_a, ids_b
+        ends = np.cumsum(in_a + in_b)
+        marks[ends - in_b - 1], marks[ends - 1] = 1, 2
+        stops = np.cumsum(tokens)
+        marks[stops[tokens > 0] - 1] = 3
+        texts = self.texts
+        parts = [texts[m][i] for m, i in zip(marks.tolist(), ids.tolist(), strict=True)]
+        stops = stops.tolist()
+        self.said += ["".join(parts[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def squeeze_long(links: np.ndarray) -> bytes:
@@ -216,21 +251,27 @@ def packed(docs: DataFrame, make: Callable[[], Tokenizers], chars: int = BATCH)
                 if len(codes) and figures[:, 0].all():
                     seen, times = np.unique(codes, return_counts=True)
                     lens = pieces.lens[seen]
-                    at = gather(pieces.starts, pieces.lens, np.arange(len(pieces.pairs)), seen)
-                    _, pairs, links = distinct(np.zeros(len(at), dtype=np.int64), pieces.pairs[at], pieces.links[at] * np.repeat(times, lens))
+                    at = stretches(pieces.starts[seen], lens)
+                    order = np.argsort(pieces.pairs[at], kind="stable")
+                    pairs, links = pieces.pairs[at][order], (pieces.links[at] * np.repeat(times, lens))[order]
+                    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+                    pairs, links = pairs[first], np.add.reduceat(links, first)
                     said = hashlib.sha256(";".join([pieces.said[c] for c in codes.tolist()]).encode()).hexdigest()
                     out.append((doc_id, *figures[:, 1:].sum(axis=0).tolist(), said, links))
                     found.append(pairs)
                 else:
                     out.append((doc_id, 0, 0, 0, 0, "", np.empty(0, dtype=np.int64)))
                     found.append(np.empty(0, dtype=np.int64))
-            all_pairs, codes_, texts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            cuts = np.cumsum([len(f) for f in found])[:-1]
+            numbers = np.fromiter(pieces.pair, dtype=np.int64, count=len(pieces.pair))
+            texts = np.bincount(np.concatenate(found), minlength=len(numbers))
+            used = np.flatnonzero(texts)
+            code = np.zeros(len(numbers), dtype=np.int64)
+            code[used] = np.arange(len(used))
             batch = part << 32 | made
             made += 1
-            table = [(batch, None, None, None, None, None, None, None, None, all_pairs.tolist(), texts.tolist())]
-            for (*head, links), own in zip(out, np.split(codes_.ravel(), cuts), strict=True):
-                table.append((batch, *head, squeeze(own), squeeze_long(links), None, None))
+            table = [(batch, None, None, None, None, None, None, None, None, numbers[used].tolist(), texts[used].tolist())]
+            for (*head, links), own in zip(out, found, strict=True):
+                table.append((batch, *head, squeeze(code[own]), squeeze_long(links), None, None))
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*table, strict=True), kinds, strict=True)], names=fields)
 
         for batch in batches:
