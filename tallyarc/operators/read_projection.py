@@ -90,6 +90,8 @@ def projected_steps(arms: DataFrame, reads: DataFrame, chunks: DataFrame, width:
     turned = F.col("strand") == "-"
     oriented = ops.join(bases, [*ARM, "step"], "left").join(reads.select("read_id", "sequence", "quality"), "read_id").withColumns({
         "_seq": F.when(turned, reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")), "_qual": F.when(turned, F.reverse("quality")).otherwise(F.col("quality"))})
+    beyond = F.col("op").isin(*ON_READ) & ((F.col("q") + F.col("n") > F.length("sequence")) | (F.length("quality") != F.length("sequence")))
+    oriented = oriented.withColumn("n", guarded(F.col("n"), beyond, "CIGAR, read and quality differ in length"))
     first = F.when(F.col("op") == "D", F.greatest(F.col("q") - 1, F.lit(0))).otherwise(F.col("q"))
     size = F.when(F.col("op") == "D", F.col("q") + 1 - first).otherwise(F.col("n"))
     sliced = oriented.select(*ARM, "target", "strand", "step", "op", "n", "q", "r", "bases",
