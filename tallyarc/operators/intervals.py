@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyarc.operators.contracts import guarded
+from tallyarc.operators.joins import split_hot
 from tallyarc.operators.scan import last_seen, ordered_running
 
 LEVELS = 9  # the coarsest bin is 32 ** 8 finest ones, longer than any sequence
@@ -71,7 +72,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
 
     Both sides sit on a level by length, and a pair meets on the coarser of its two
     levels: an interval of any length has at most two copies a level in use. A pair is
-    emitted only in the first bin both cover, which replaces a distinct.
+    emitted only in the first bin both cover, which replaces a distinct. Heavy bins are
+    cut into parts that meet two by two.
     """
     (ls, le), (rs, re_) = left_span, right_span
     used = lambda df, span: df.select(F.sort_array(F.collect_set(_level(span, width)))).scalar()
@@ -79,8 +81,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
     r = _binned(right, right_span, width, used(left, left_span), "r")
     once = (F.col("_level") == F.greatest("_ownl", "_ownr")) & (F.col("_bin") == F.greatest("_firstl", "_firstr"))
     hit = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & once
-    return lft.join(r, [*keys, "_level", "_bin"]).where(hit).withColumn(
-        "overlap", F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs))).drop("_level", "_bin", "_ownl", "_ownr", "_firstl", "_firstr")
+    lft, r, on = split_hot(lft, r, [*keys, "_level", "_bin"])
+    return lft.join(r, on).where(hit).withColumn(
+        "overlap", F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs))).drop(*on[len(keys):], "_ownl", "_ownr", "_firstl", "_firstr")
 
 
 def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], position: str, span: tuple[str, str],
@@ -113,8 +116,9 @@ def tolerance_join(probes: DataFrame, rows: DataFrame, exact: Sequence[str], fir
                                                          F.floor((F.col(second) + tolerance) / width))))
     far = far.withColumn("_bin2", F.floor(F.col(f"r_{second}") / width))
     o1, o2 = F.col(f"r_{first}") - F.col(first), F.col(f"r_{second}") - F.col(second)
-    return near.join(far, [*exact, "_bin", "_bin2"]).where((F.abs(o1) <= tolerance) & (F.abs(o2) <= tolerance)).withColumns(
-        {"offset1": o1, "offset2": o2}).drop("_bin", "_bin2")
+    near, far, on = split_hot(near, far, [*exact, "_bin", "_bin2"])
+    return near.join(far, on).where((F.abs(o1) <= tolerance) & (F.abs(o2) <= tolerance)).withColumns(
+        {"offset1": o1, "offset2": o2}).drop(*on[len(exact):])
 
 
 def both_orientations(rows: DataFrame, chrom1: str, strand1: str, pos1: str, chrom2: str, strand2: str, pos2: str) -> DataFrame:
@@ -191,4 +195,5 @@ def clustered_anchors(loops: DataFrame, chrom: str, gap: int, limit: int) -> Dat
         "_bin", F.floor(F.col("idx2") / limit))
     reach = clusters.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("i1") / limit), F.floor((F.col("i1") + limit) / limit))))
     ok = (F.col("cluster") < F.col("other")) & (F.col("i1") + limit > F.col("idx2")) & (F.col("idx2") > F.col("far") + gap)
-    return reach.join(ends, [chrom, "_bin"]).where(ok).select(chrom, F.col("i1").alias("idx1"), "idx2").distinct()
+    reach, ends, on = split_hot(reach, ends, [chrom, "_bin"])
+    return reach.join(ends, on).where(ok).select(chrom, F.col("i1").alias("idx1"), "idx2").distinct()
