@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm.batches import squeeze, unsqueeze
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import giving_back, stored
 
 #: A single space between visible characters: both tokenizers start a token with it.
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
@@ -238,6 +238,7 @@ def packed(docs: DataFrame, make: Callable[[], Tokenizers], chars: int = BATCH)
     fields = ("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "links", "pairs", "texts")
     kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, made, size = Pieces(make), TaskContext.get().partitionId(), 0, 0
         rows: list[tuple[int | None, np.ndarray]] = []

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyarc.llm.common import giving_back
+
 #: Rows of a batch: one with ``words`` (its distinct tokens, by code), then one for each text with ``codes``.
 SCHEMA = "batch long, doc_id string, is_text boolean, codes binary, words binary"
 
@@ -52,6 +54,7 @@ def pack(docs: DataFrame, tokens: Callable[[str], list], chars: int = 16_000_000
     A null text is empty. A text is never cut: one that is longer makes a batch alone.
     """
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
         table: dict = {}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm.batches import buckets, by_bucket, dictionary, pack, squeeze, squeeze_words, unsqueeze, unsqueeze_words
-from tallyarc.llm.common import exact
+from tallyarc.llm.common import exact, give_back, giving_back
 
 #: A vocabulary larger than this isn't sent to the tasks.
 MOST_RANKS = 1_000_000
@@ -88,6 +88,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int =
     def bucket_of(words: list[bytes]) -> np.ndarray:
         return np.array([zlib.crc32(w) % groups for w in words], dtype=np.int64)
 
+    @giving_back
     def request(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             heads = frame[~frame["is_text"]]
@@ -102,6 +103,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int =
         for bucket, batch, blob in zip(frame["bucket"], frame["batch"], frame["words"], strict=True):
             ids = [known[w] if w in known else known.setdefault(w, merge(w, ranks)) for w in unsqueeze_words(blob)]
             rows.append((batch, bucket, squeeze(np.array([len(x) for x in ids])), squeeze(np.array([i for x in ids for i in x]))))
+        known.clear()
+        give_back()
         return pd.DataFrame(rows, columns=["batch", "bucket", "lens", "ids"])
 
     def assemble(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -130,6 +133,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     token_bytes = {i: token for token, i in ranks.items()}
     keep = [c for c in encoded.columns if c not in (ids_col, "decoded")]
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = token_bytes.get
         for frame in frames:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +65,30 @@ def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[C
     neutral = [c if c in used else f"in_{i}" for i, c in enumerate(docs.columns)]
     renamed = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, neutral, strict=True)])
     return renamed, neutral, [F.col(n).alias(c) for c, n in zip(docs.columns, neutral, strict=True)]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from task to task, and what one stage has freed stays with them otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back when its task ends."""
+    @wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
+def cuts(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``chars`` characters in ``column`` at most; a longer text comes alone."""
+    for frame in frames:
+        sizes = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum()
+        for _, part in frame.groupby(sizes // chars, sort=False) if len(frame) else ():
+            yield part.reset_index(drop=True)

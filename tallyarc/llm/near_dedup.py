@@ -6,8 +6,8 @@
    signatures batch by batch, dropping a pair as soon as the posterior probability of a
    similarity at the threshold falls below the chosen miss probability; what survives is
    confirmed on the full sets. The links give first components.
-3. A bucket that still holds several components is settled: members outside its largest
-   component are compared with every member, in blocks, so no other pair is ever formed
+3. A bucket whose other members still are in several components is settled: those outside
+   the largest one are compared with the others, in blocks, so no other pair is ever formed
    and a large group of mutual copies costs no more than its members.
 
 Links missed: a pair at the threshold shares no band with a probability of
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyarc.llm.common import exact, set_aside, stored
+from tallyarc.llm.common import cuts, exact, giving_back, set_aside, stored
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 HASHES, STEP = BANDS * ROWS, 40
@@ -46,7 +46,7 @@ class WordKeys(dict):
     """64-bit keys of words, remembered for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         key = self[word] = xxhash.xxh64_intdigest(word)
         return key
@@ -113,34 +113,42 @@ def going_on(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> tup
     return alive, matches
 
 
+def _row_key() -> Column:
+    """Tells rows apart by id and text, so rows without an id share no key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, keys (of its bands) of every document."""
+    """doc_id, row_key, n_shingles, node, keys (of its bands) of every document."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = WordKeys()
-        for frame in frames:
+        for frame in cuts(frames):
             sets = [shingles(t, keys) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_shingles": [len(s) for s in sets], "node": [node_key(s) for s in sets],
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "row_key": frame["row_key"], "n_shingles": [len(s) for s in sets], "node": [node_key(s) for s in sets],
                                 "keys": [band_keys(signature(s)) if len(s) else None for s in sets]})
 
-    sketched = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_shingles long, node long, keys array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), _row_key(), "text")
+    sketched = narrow.mapInPandas(run, "doc_id string, row_key long, n_shingles long, node long, keys array<long>")
     return sketched.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, sig, items of the nodes in ``wanted`` (id_key, node): their texts are read again, other texts are not sketched."""
+    """node, sig, items of the nodes in ``wanted`` (row_key, node): their texts are read again, other texts are not sketched."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = WordKeys()
-        for frame in frames:
+        for frame in cuts(frames):
             sets = [shingles(t, keys) for t in frame["text"]]
             out = pd.DataFrame({"node": [node_key(s) for s in sets], "wanted": frame["wanted"],
                                 "sig": [signature(s).tobytes() for s in sets], "items": [s.tobytes() for s in sets]})
             yield out[out["node"] == out["wanted"]].drop(columns="wanted")
 
-    texts = docs.select(F.xxhash64("doc_id").alias("id_key"), "text").where(F.col("text").isNotNull())
-    found = texts.join(wanted.select("id_key", F.col("node").alias("wanted")), "id_key").select("text", "wanted")
-    # rows that repeat a doc_id may give a node twice
+    texts = docs.select(_row_key(), "text").where(F.col("text").isNotNull())
+    found = texts.join(wanted.select("row_key", F.col("node").alias("wanted")), "row_key").select("text", "wanted")
+    # rows that repeat an id and its text give a node twice
     return found.mapInPandas(run, "node long, sig binary, items binary").dropDuplicates(["node"])
 
 
@@ -262,13 +270,15 @@ def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     banded = filled.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = stored(banded.join(shared, "key").distinct())
-    wanted = filled.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d"))
-    content = stored(contents(docs, wanted.select("node", F.xxhash64("d.doc_id").alias("id_key"))))
+    wanted = filled.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    content = stored(contents(docs, wanted))
     ends = members.select(F.explode(F.array("low", "high")).alias("end"), "node").where("end <> node")
     pairs = stored(ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct())
     links = stored(confirm(stored(prune(pairs, content, threshold)), content, percent))
     labels = components(links)
-    more = stored(_settle(members.select("key", "node"), labels, content, percent))
+    # every member has met its bucket's ends, so buckets of three have nothing left to compare
+    between = members.where("node <> low AND node <> high").select("key", "node")
+    more = stored(_settle(between, labels, content, percent))
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return sketched, labels
@@ -289,9 +299,10 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     safe, whole = exact(renamed)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in safe.schema)
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = WordKeys()
-        for frame in frames:
+        for frame in cuts(frames):
             yield frame.assign(d_node=[node_key(shingles(t, keys)) for t in frame["text"]])
 
     filled = sketched.where("n_shingles > 0").select(F.col("doc_id").alias("d_id"), "node").distinct().join(labels, "node", "left")
@@ -300,13 +311,16 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     noded = safe.mapInPandas(run, f"{types}, d_node long").select(*whole, "d_node")
     empty = noded.where("d_node = 0").select(*back)
     found = noded.where("d_node <> 0").join(first, (F.col("d_node") == F.col("f_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")))
-    once = Window.partitionBy("d_node", F.col("doc_id")).orderBy(F.lit(1))
+    once = Window.partitionBy("d_node", F.col("doc_id")).orderBy(*[F.col(f.name) for f in renamed.schema if f.dataType.typeName() not in ("map", "variant")])
     return found.withColumn("d_copy", F.row_number().over(once)).where("d_copy = 1").select(*back).unionByName(empty)
 
 
 def _result(sketched: DataFrame, labels: DataFrame) -> DataFrame:
     alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    rows = grouped.join(first, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    filled = sketched.where("n_shingles > 0")
+    nodes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # written tables on both sides: a node or component with a large part of all rows is split by the join
+    first = stored(nodes.groupBy("component").agg(F.min("least").alias("component_id")))
+    ids = stored(nodes.select("node", "component").join(first, "component").select("node", "component_id"))
+    rows = filled.select("doc_id", "n_shingles", "node").join(ids, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyarc.llm import linear
-from tallyarc.llm.common import exact, set_aside, stored
+from tallyarc.llm.common import exact, giving_back, set_aside, stored
 from tallyarc.llm.quality_rules import text_stats
 
 SAMPLE = 4000
@@ -74,6 +74,7 @@ def with_evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     own = [] if rides else [F.col("text").cast("string").alias("q_text")]
     narrow = docs.select(*keep, *own, F.col("source").cast("string").alias("q_host"), F.col("lang").cast("string").alias("q_path"))
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"] if rides else frame.pop("q_text")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import exact, set_aside, stored
+from tallyarc.llm.common import exact, giving_back, set_aside, stored
 
 #: Bytes that part words, symbol characters, the window of the repeat rule.
 SPACES = [32, 9, 10, 11, 12, 13]
@@ -69,6 +69,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     safe, back = exact(docs.select(*keep) if rides else docs.select(*keep, F.col("text").alias("_text")))
     kept = safe.select(*keep).schema
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in STATS.split(", ")]
         for frame in frames:

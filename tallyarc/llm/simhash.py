@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import giving_back, stored
 from tallyarc.llm.near_dedup import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -72,6 +72,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) of every document."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyarc.llm.common import stored
+from tallyarc.llm.common import giving_back, stored
 
 #: Letters of a word, shortest word, fewest occurrences, and the share of runs that lose a letter.
 LETTERS = "A-Za-zÀ-ÿ"
@@ -62,6 +62,7 @@ def vocabulary(docs: DataFrame, fewest: int = FEWEST) -> DataFrame:
     """word, n of every word with enough letters and occurrences."""
     runs = re.compile(f"[{LETTERS}]{{{SHORTEST},}}")
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
