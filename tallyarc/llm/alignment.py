@@ -21,6 +21,7 @@ of their own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -35,17 +36,47 @@ from tallyarc.llm.batches import squeeze, unsqueeze
 from tallyarc.llm.common import giving_back, stored
 
 #: A single space between visible characters: both tokenizers start a token with it.
-CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-#: Characters of texts in a batch, of pieces that a task remembers, of texts encoded at a time, and pairs expanded at a time.
-BATCH, HELD, AT_ONCE, SLICE = 8_000_000, 20_000_000, 200_000, 2_000_000
+VISIBLE = "!-~À-ɏ"
+CUT, EDGES, BEYOND = re.compile(f"(?<=[{VISIBLE}]) (?=[{VISIBLE}])"), re.compile(f"[{VISIBLE}](.*[{VISIBLE}])?", re.DOTALL), re.compile("[^\0-ɏ]")
+#: Characters of texts in a batch, of pieces that a task remembers, of texts encoded at a time, of a line of pieces, and pairs expanded at a time.
+BATCH, HELD, AT_ONCE, LINE, SLICE = 8_000_000, 20_000_000, 400_000, 4_000, 2_000_000
 PAIR = 32
+#: Fixed value: how byte-level tokenizers part a text before they merge.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranks_suffice(byte_level: str) -> bool:
+    """Whether merging by the rank of what a pair spells gives this tokenizer's ids.
+
+    So it does if every token, merged alone, comes out whole: the bytes of a token between
+    two borders have then gone through the same merges as alone, so the last pair is always
+    the one of its own rule. Merged tokens must have later numbers than their parts.
+    """
+    from tokenizers import Tokenizer
+
+    parts = json.loads(byte_level)
+    pre = parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
+        return False
+    tokenizer = Tokenizer.from_str(byte_level)
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    special = {t["content"] for t in parts.get("added_tokens", [])}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in parts["model"]["merges"]]
+    rising = [vocab["".join(p)] for p in pairs]
+    return rising == sorted(rising) and all(max(vocab[x], vocab[y]) < vocab[x + y] for x, y in pairs) and all(
+        [t.id for t in tokenizer.model.tokenize(token)] == [i] for token, i in vocab.items() if token not in special)
 
 
 class Tokenizers:
-    """The two tokenizers and the bytes of their tokens; made in the task from the files' contents."""
+    """The two tokenizers and the bytes of their tokens; made in the task from the files' contents.
+
+    With ``by_rank`` (ranks_suffice) texts of Latin letters, whose classes no library's
+    Unicode version changes, are encoded by A's ranks; other texts by its own library.
+    """
 
-    def __init__(self, byte_level: str, pieces: bytes):
+    def __init__(self, byte_level: str, pieces: bytes, by_rank: bool = False):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(byte_level)
@@ -55,17 +86,59 @@ class Tokenizers:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in self.a.get_vocab().items():
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        plain = self.a.get_vocab(with_added_tokens=False)
+        special = set(vocab) - set(plain) | {t.content for t in self.a.get_added_tokens_decoder().values()}
+        self.ranks = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks={self.a_bytes[i]: i for t, i in plain.items() if t not in special}, special_tokens={}) if by_rank else None
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in names]
+        self.a_lens, self.b_lens = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         #: Whether pieces may be encoded alone: no token of B goes on over a space inside it.
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of a space and each text by A, and of each text by B, which adds the space."""
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+    def _lines_a(self, lines: list[str]) -> list[list[int]]:
+        own = [i for i, line in enumerate(lines) if self.ranks is None or BEYOND.search(line)]
+        out = [[] for _ in lines] if len(own) == len(lines) else [self.ranks.encode_ordinary(" " + line) if not BEYOND.search(line) else [] for line in lines]
+        for i, e in zip(own, self.a.encode_batch_fast([" " + lines[i] for i in own], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a space and each text by A, and of each text by B, which adds the space; their numbers by text; and whether both spell the text (else it has none).
+
+        Texts with visible ends are put on lines, parted by the space that starts the next.
+        """
+        lines: list[list[str]] = []
+        room, open_ = 0, False
+        for text in texts:
+            joins = self.cuts and EDGES.fullmatch(text) is not None
+            if not (joins and open_ and room > 0):
+                lines.append([])
+                room = LINE
+            lines[-1].append(text)
+            room -= len(text) + 1
+            open_ = joins
+        ids, spelled = self._spelled(lines)
+        if not all(ok or len(line) == 1 for ok, line in zip(spelled, lines, strict=True)):
+            lines = [part for ok, line in zip(spelled, lines, strict=True) for part in ([line] if ok else [[t] for t in line])]
+            ids, spelled = self._spelled(lines)
+        right = np.repeat(np.array(spelled, dtype=bool), [len(line) for line in lines])
+        stops = np.cumsum(np.fromiter((len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts), dtype=np.int64, count=len(texts)) * right)
+        out = []
+        for lists, lens in zip(ids, (self.a_lens, self.b_lens), strict=True):
+            flat = np.fromiter(chain.from_iterable(x for x, ok in zip(lists, spelled, strict=True) if ok), dtype=np.int64)
+            out += [flat, np.diff(np.searchsorted(np.cumsum(lens[flat]), stops, side="right"), prepend=0)]
+        return *out, right
+
+    def _spelled(self, lines: list[list[str]]) -> tuple[tuple[list[list[int]], list[list[int]]], list[bool]]:
+        joined = [" ".join(line) for line in lines]
+        ids = self._lines_a(joined), self.b.encode(joined, num_threads=1)
+        whole = [(" " + text).encode("utf-8", "surrogatepass") for text in joined]
+        said = [[b"".join([names[i] for i in line]) for line in lists] for lists, names in zip(ids, (self.a_bytes, self.b_bytes), strict=True)]
+        return ids, [a == w == b for a, b, w in zip(*said, whole, strict=True)]
 
 
 def coalesce(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +207,9 @@ class Pieces:
 
     def __init__(self, make: Callable[[], Tokenizers]):
         self.tokenizers = t = make()
-        self.len_a, self.len_b = (np.array([len(x) for x in names], dtype=np.int64) for names in (t.a_bytes, t.b_bytes))
         self.split = CUT.split if t.cuts else lambda text: [text]
         #: Texts of ids by what follows them: another of the group, the group's B ids, the next group, nothing.
-        self.texts = [[f"{i}{mark}" for i in range(max(len(self.len_a), len(self.len_b)))] for mark in (",", "|", ";", "")]
+        self.texts = [[f"{i}{mark}" for i in range(max(len(t.a_bytes), len(t.b_bytes)))] for mark in (",", "|", ";", "")]
         self.clear()
 
     def clear(self) -> None:
@@ -165,26 +237,9 @@ class Pieces:
             at = stop
         new.clear()
 
-    def _spelled(self, texts: list[str], ids: np.ndarray, n: np.ndarray, names: list[bytes], lens: np.ndarray) -> np.ndarray:
-        """Whether the tokens of each text spell a space and the text; first all together, one by one only if that fails."""
-        whole = [(" " + text).encode("utf-8", "surrogatepass") for text in texts]
-        sizes = np.bincount(np.repeat(np.arange(len(texts)), n), weights=lens[ids], minlength=len(texts))
-        parts = [names[i] for i in ids.tolist()]
-        if (sizes == np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))).all() and b"".join(parts) == b"".join(whole):
-            return np.ones(len(texts), dtype=bool)
-        ends = np.cumsum(n).tolist()
-        return np.array([b"".join(parts[a:b]) == w for a, b, w in zip([0, *ends], ends, whole, strict=False)], dtype=bool)
-
     def _add(self, texts: list[str]) -> None:
-        t = self.tokenizers
-        both = t.encode(texts)
-        n_a, n_b = (np.fromiter(map(len, lists), dtype=np.int64, count=len(texts)) for lists in both)
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(lists), dtype=np.int64) for lists in both)
-        right = self._spelled(texts, ids_a, n_a, t.a_bytes, self.len_a) & self._spelled(texts, ids_b, n_b, t.b_bytes, self.len_b)
-        if not right.all():
-            ids_a, ids_b = ids_a[np.repeat(right, n_a)], ids_b[np.repeat(right, n_b)]
-            n_a, n_b = n_a * right, n_b * right
-        group_a, group_b = coalesce(self.len_a[ids_a], self.len_b[ids_b])
+        ids_a, n_a, ids_b, n_b, right = self.tokenizers.encode(texts)
+        group_a, group_b = coalesce(self.tokenizers.a_lens[ids_a], self.tokenizers.b_lens[ids_b])
         groups = int(group_a[-1]) + 1 if len(group_a) else 0
         piece_of = np.zeros(groups, dtype=np.int64)
         piece_of[group_a] = np.repeat(np.arange(len(texts)), n_a)
@@ -304,7 +359,8 @@ def align(docs: DataFrame, byte_level: str, pieces: bytes, chars: int = BATCH) -
 
     ``byte_level`` and ``pieces`` are the contents of the two tokenizers' files.
     """
-    rows = stored(packed(docs, lambda: Tokenizers(byte_level, pieces), chars))
+    by_rank = ranks_suffice(byte_level)
+    rows = stored(packed(docs, lambda: Tokenizers(byte_level, pieces, by_rank), chars))
     heads = rows.where("pairs is not null").select("batch", F.posexplode(F.arrays_zip("pairs", "texts")).alias("code", "h")).select("batch", "code", "h.*").withColumnRenamed("pairs", "pair")
     answers = heads.select(F.col("batch").alias("of"), "code", "pair").join(pair_counts(heads), "pair").select("of", "code", "total", "best")
 
