@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyarc.session import cut_lineage
 
+from tallyarc.operators.joins import split_hot
 from tallyarc.operators.scan import grouped_quantiles, positions
 
 REACH = 5  # fixed value: 11 x 11 windows
@@ -111,13 +112,39 @@ def anchor_pairs(pairs: DataFrame, low: int, high: int) -> DataFrame:
         (F.col("idx2") - F.col("idx1")).between(low, high))
 
 
-def all_pairs_within(regions: DataFrame, chrom: str, idx: str, low: int, high: int) -> DataFrame:
-    """Pairs of one region set per chromosome at a distance in [low, high]; bins of width ``high`` are the join key."""
+def all_pairs_within(regions: DataFrame, chrom: str, idx: str, low: int, high: int, min_compare: int = 2) -> DataFrame:
+    """Pairs of one region set per chromosome at a distance in [low, high]; bins of width ``high`` are the join key, heavy ones are cut.
+
+    Chromosomes with fewer regions than ``min_compare`` have none.
+    """
     base = regions.select(chrom, idx).distinct()
+    enough = base.groupBy(chrom).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(min_compare, 2)).select(chrom)
+    base = base.join(enough, chrom)
     a = base.select(chrom, F.col(idx).alias("idx1"), F.explode(F.array(F.floor(F.col(idx) / high), F.floor(F.col(idx) / high) + 1)).alias("_b"))
     b = base.select(chrom, F.col(idx).alias("idx2"), F.floor(F.col(idx) / high).alias("_b"))
     gap = F.col("idx2") - F.col("idx1")
-    return a.join(b, [chrom, "_b"]).where((gap >= low) & (gap <= high) & (gap > 0)).drop("_b")
+    a, b, on = split_hot(a, b, [chrom, "_b"])
+    return a.join(b, on).where((gap >= low) & (gap <= high) & (gap > 0)).drop(*on[1:])
+
+
+def pairs_across_sets(regions: DataFrame, label: str, chrom: str, idx: str, low: int, high: int, min_compare: int = 10, directed: bool = False) -> DataFrame:
+    """chrom, sets, idx1, idx2: pairs of regions of different sets on a chromosome at a distance in [low, high].
+
+    Two sets meet on a chromosome only where their region counts multiply to ``min_compare``.
+    ``sets`` names them in order, or with ``directed`` in the order of the regions.
+    """
+    base = regions.select(label, chrom, idx).distinct()
+    counts = base.groupBy(label, chrom).agg(F.count("*").alias("_n"))
+    base = base.join(counts, [label, chrom])
+    at = F.floor(F.col(idx) / high)
+    x = base.select(chrom, F.col(label).alias("_x"), F.col(idx).alias("_i"), F.col("_n").alias("_nx"), F.explode(F.array(at - 1, at, at + 1)).alias("_b"))
+    y = base.select(chrom, F.col(label).alias("_y"), F.col(idx).alias("_j"), F.col("_n").alias("_ny"), at.alias("_b"))
+    x, y, on = split_hot(x, y, [chrom, "_b"])
+    gap = F.abs(F.col("_i") - F.col("_j"))
+    met = x.join(y, on).where((F.col("_x") < F.col("_y")) & (F.col("_nx") * F.col("_ny") >= max(min_compare, 2)) & (gap >= low) & (gap <= high))
+    back = F.lit(directed) & (F.col("_j") < F.col("_i"))
+    sets = F.when(back, F.concat_ws("-", "_y", "_x")).otherwise(F.concat_ws("-", "_x", "_y"))
+    return met.select(chrom, sets.alias("sets"), F.least("_i", "_j").alias("idx1"), F.greatest("_i", "_j").alias("idx2"))
 
 
 def average_window(rows: DataFrame, anchor: Sequence[str], groups: Sequence[str], clip: float = 0.99) -> DataFrame:

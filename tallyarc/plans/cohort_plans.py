@@ -11,6 +11,7 @@ from tallyarc.operators.contracts import guarded
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
 from tallyarc.plans.views import sql
+from tallyarc.session import cut_lineage
 
 
 @plan("a8_consensus", """SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'N') AS relevant, CASE WHEN count(*) FILTER (l_returnflag <> 'N') > 0 AND bool_and(l_discount <= 0.08) FILTER (l_returnflag <> 'N')
@@ -69,14 +70,13 @@ def a21(spark, sf):
 
 
 SPECIES = """grp AS (SELECT l_linestatus AS species, l_partkey % 25 AS gene5, l_suppkey % 25 AS gene3, count(DISTINCT l_orderkey) AS reads, count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') AS specimens,
- array_to_string(list_sort(list_distinct(list(l_returnflag))), ';') AS runs FROM lineitem WHERE l_discount <= 0.05 GROUP BY ALL)"""
+ array_to_string(list_sort(list_distinct(list(l_returnflag))), ';') AS runs FROM lineitem GROUP BY ALL)"""
 
 
 def species_groups(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_discount <= 0.05").selectExpr(
+    rows = table(spark, sf, "lineitem").selectExpr(
         "l_linestatus AS species", "l_partkey % 25 AS gene5", "l_suppkey % 25 AS gene3", "l_orderkey AS read", "l_returnflag AS run")
-    per_read = rows.groupBy("species", "gene5", "gene3", "read").agg(F.collect_set("run").alias("_runs"))
-    reads = per_read.groupBy("species", "gene5", "gene3").agg(F.count("*").alias("reads"))
+    reads = rows.select("species", "gene5", "gene3", "read").distinct().groupBy("species", "gene5", "gene3").agg(F.count("*").alias("reads"))
     runs = rows.groupBy("species", "gene5", "gene3").agg(F.array_sort(F.collect_set("run")).alias("_r"))
     return reads.join(runs, ["species", "gene5", "gene3"]).select(
         "species", "gene5", "gene3", "reads", F.size(F.filter("_r", lambda r: r != "N")).cast("long").alias("specimens"), F.array_join("_r", ";").alias("runs"))
@@ -169,16 +169,19 @@ def placed_exons(spark, sf):
     return X.spliced(ex, "tx", "strand", "s", "e")
 
 
-@plan("f14_transcript_coordinates", sql(_EX, tail="""SELECT o.tx, o.q AS "offset", CASE strand WHEN '+' THEN s + q - t0 ELSE e - (q - t0) END AS base, o.q AS round_trip FROM (SELECT DISTINCT o_orderkey AS tx, unnest([0, 7, 40, o_orderkey % 90]) AS q FROM orders) o JOIN pl ON pl.tx = o.tx AND q >= t0 AND q < t0 + e - s + 1"""))
+@plan("f14_transcript_coordinates", sql(_EX, tail="""SELECT o.tx, o.q AS "offset", CASE WHEN s IS NULL THEN 'offset_beyond_transcript' ELSE 'mapped' END AS status, CASE strand WHEN '+' THEN s + q - t0 ELSE e - (q - t0) END AS base, CASE WHEN s IS NOT NULL THEN o.q END AS round_trip
+ FROM (SELECT DISTINCT o_orderkey AS tx, unnest([0, 7, 40, o_orderkey % 90]) AS q FROM orders WHERE o_orderkey IN (SELECT tx FROM pl)) o LEFT JOIN pl ON pl.tx = o.tx AND q >= t0 AND q < t0 + e - s + 1"""))
 def f14(spark, sf):
+    """Offsets to genomic bases and back; an offset beyond its transcript, which the operator refuses, is told apart first."""
     pl = placed_exons(spark, sf)
     zero = lambda v: F.lit(v).cast("long")
     pts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.explode(F.array(zero(0), zero(7), zero(40), F.col("o_orderkey") % 90)).alias("q")).distinct()
-    lengths = pl.groupBy("tx").agg(F.max("tx_end").alias("n"))
-    pts = pts.join(lengths, "tx").where("q < n").drop("n")  # the operator refuses offsets outside the transcript
-    there = X.to_genome(pts, pl, "tx", "strand", "s", "e", "q").select("tx", "q", "base")
-    back = X.to_transcript(there, pl, "tx", "strand", "s", "e", "base")
-    return back.select("tx", F.col("q").alias("offset"), "base", F.col("offset").alias("round_trip"))
+    pts = cut_lineage(pts.join(pl.groupBy("tx").agg(F.max("tx_end").alias("n")), "tx"))
+    there = X.to_genome(pts.where("q < n").drop("n"), pl, "tx", "strand", "s", "e", "q").select("tx", "q", "base")
+    back = X.to_transcript(there, pl, "tx", "strand", "s", "e", "base").select("tx", F.col("q").alias("offset"), F.lit("mapped").alias("status"), "base", F.col("offset").alias("round_trip"))
+    none = F.lit(None).cast("long")
+    beyond = pts.where("q >= n").select("tx", F.col("q").alias("offset"), F.lit("offset_beyond_transcript").alias("status"), none.alias("base"), none.alias("round_trip"))
+    return back.unionByName(beyond)
 
 
 @plan("f23_retained_chain", sql(_EX, tail="""SELECT tx, s AS exon, greatest(0, least(t0 + e - s + 1, 60) - t0) AS retained, 'prefix' AS side FROM pl WHERE t0 < 60 UNION ALL SELECT tx, s, t0 + e - s + 1 - greatest(t0, 60), 'suffix' FROM pl WHERE t0 + e - s + 1 > 60"""))
@@ -240,12 +243,12 @@ def f28(spark, sf):
     return X.codon_frame(local, ["id"]).groupBy("state").agg(F.count("*").alias("codons"))
 
 
-@plan("f29_segmentation", sql(_EX, """blk AS (SELECT DISTINCT l_orderkey AS tx, l_suppkey AS b, l_partkey * 100 - 20 AS s0, l_partkey * 100 + 30 AS e0 FROM lineitem WHERE l_returnflag = 'R'), x AS (SELECT tx, s AS xs, e + 1 AS xe FROM ex),
+@plan("f29_segmentation", sql(_EX, """blk AS (SELECT DISTINCT l_orderkey AS tx, l_suppkey AS b, l_partkey * 100 - 20 AS s0, l_partkey * 100 + 30 AS e0 FROM lineitem), x AS (SELECT tx, s AS xs, e + 1 AS xe FROM ex),
  ct AS (SELECT tx, b, s0, e0, unnest([s0, e0]) AS c FROM blk UNION SELECT blk.tx, b, s0, e0, unnest([greatest(s0, xs), least(e0, xe)]) FROM blk JOIN x ON x.tx = blk.tx AND xs < e0 AND s0 < xe), pt AS (SELECT *, lead(c) OVER (PARTITION BY tx, b, s0 ORDER BY c) AS hi FROM ct),
  rg AS (SELECT tx, min(xs) AS t0, max(xe) AS t1 FROM x GROUP BY tx)""", tail="""SELECT pt.tx, b AS supplier, s0 AS block, c AS lo, hi, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.tx = pt.tx AND xs <= c AND hi <= xe) THEN 'exon' WHEN t0 <= c AND hi <= t1 THEN 'intron' ELSE 'outside' END AS kind FROM pt JOIN rg ON rg.tx = pt.tx WHERE hi IS NOT NULL"""))
 def f29(spark, sf):
     line = table(spark, sf, "lineitem")
-    blocks = line.where("l_returnflag = 'R'").selectExpr("l_orderkey AS tx", "l_suppkey AS supplier", "l_partkey * 100 - 20 AS start", "l_partkey * 100 + 30 AS end").distinct().withColumn(
+    blocks = line.selectExpr("l_orderkey AS tx", "l_suppkey AS supplier", "l_partkey * 100 - 20 AS start", "l_partkey * 100 + 30 AS end").distinct().withColumn(
         "block", F.struct("supplier", "start"))
     exons = line.groupBy(F.col("l_orderkey").alias("tx"), (F.col("l_partkey") * 100).alias("xs")).agg((F.max(F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")) + 1).alias("xe"))
     return X.segmented(blocks, exons, ["tx"], "block").select("tx", "block.supplier", F.col("block.start").alias("block"), "lo", "hi", "kind")

@@ -234,14 +234,14 @@ def even_picks(df, order, m: int):
     return sized.where(F.array_contains(wanted, F.col("rn"))).drop("_n")
 
 
-@plan("w20_extended_loops", """WITH b AS (SELECT DISTINCT l_suppkey AS chrom, l_partkey // 10 * 10 AS idx1, l_partkey // 10 * 10 + CAST(l_quantity AS BIGINT) AS idx2 FROM lineitem WHERE l_returnflag = 'R'),
+@plan("w20_extended_loops", """WITH b AS (SELECT DISTINCT l_returnflag || l_suppkey AS chrom, l_partkey // 10 * 10 AS idx1, l_partkey // 10 * 10 + CAST(l_quantity AS BIGINT) AS idx2 FROM lineitem),
  f AS (SELECT *, coalesce(idx1 - lag(idx1) OVER (PARTITION BY chrom ORDER BY idx1, idx2) > 20, true) AS nw FROM b WHERE idx2 - idx1 < 120),
  c AS (SELECT *, sum(CAST(nw AS INT)) OVER (PARTITION BY chrom ORDER BY idx1, idx2 ROWS UNBOUNDED PRECEDING) AS u FROM f),
  k AS (SELECT chrom, u, min(idx1) AS i1, max(idx2) AS far FROM c GROUP BY ALL)
  SELECT DISTINCT k.chrom, i1 AS idx1, c.idx2 FROM k JOIN c ON k.chrom = c.chrom AND k.u < c.u AND i1 + 120 > c.idx2 AND c.idx2 > far + 20""")
 def w20(spark, sf):
-    loops = table(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr(
-        "l_suppkey AS chrom", "l_partkey DIV 10 * 10 AS idx1", "l_partkey DIV 10 * 10 + CAST(l_quantity AS BIGINT) AS idx2")
+    loops = table(spark, sf, "lineitem").selectExpr(
+        "concat(l_returnflag, l_suppkey) AS chrom", "l_partkey DIV 10 * 10 AS idx1", "l_partkey DIV 10 * 10 + CAST(l_quantity AS BIGINT) AS idx2")
     return I.clustered_anchors(loops, "chrom", 20, 120)
 
 

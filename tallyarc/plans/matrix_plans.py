@@ -149,11 +149,25 @@ def h7(spark, sf):
     return H.anchor_pairs(table(spark, sf, "lineitem").selectExpr("l_partkey DIV 20 AS b1", "l_suppkey AS b2"), 3, 40)
 
 
-@plan("h8_all_pairs_anchors", """WITH r AS (SELECT DISTINCT l_suppkey AS chrom, l_partkey AS idx FROM lineitem WHERE l_returnflag = 'R')
- SELECT a.chrom, count(*) AS anchors, CAST(sum(b.idx - a.idx) AS BIGINT) AS total_distance FROM r a JOIN r b ON a.chrom = b.chrom AND b.idx > a.idx AND b.idx - a.idx BETWEEN 5 AND 60 GROUP BY a.chrom""")
+# Regions: parts on suppliers, the return flag names their set.
+_REGIONS = "r AS (SELECT DISTINCT l_returnflag AS grp, l_suppkey AS chrom, l_partkey AS idx FROM lineitem), n AS (SELECT grp, chrom, count(*) AS n FROM r GROUP BY ALL)"
+
+
+@plan("h8_all_pairs_anchors", sql(_REGIONS, tail="""SELECT a.grp, a.chrom, count(*) AS anchors, CAST(sum(b.idx - a.idx) AS BIGINT) AS total_distance FROM r a JOIN r b ON a.grp = b.grp AND a.chrom = b.chrom AND b.idx > a.idx AND b.idx - a.idx BETWEEN 5 AND 60
+ JOIN n ON n.grp = a.grp AND n.chrom = a.chrom AND n.n >= 10 GROUP BY ALL"""))
 def h8(spark, sf):
-    regions = table(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr("l_suppkey AS chrom", "l_partkey AS idx")
-    return H.all_pairs_within(regions, "chrom", "idx", 5, 60).groupBy("chrom").agg(
+    """Pairs within each of three region sets."""
+    regions = table(spark, sf, "lineitem").select(F.struct(F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("chrom")).alias("own"), F.col("l_partkey").alias("idx"))
+    return H.all_pairs_within(regions, "own", "idx", 5, 60, 10).groupBy("own.grp", "own.chrom").agg(
+        F.count("*").alias("anchors"), F.sum(F.col("idx2") - F.col("idx1")).alias("total_distance"))
+
+
+@plan("h8_pairs_across_sets", sql(_REGIONS, tail="""SELECT a.chrom, CASE WHEN b.idx < a.idx THEN b.grp || '-' || a.grp ELSE a.grp || '-' || b.grp END AS sets, count(*) AS anchors, CAST(sum(abs(b.idx - a.idx)) AS BIGINT) AS total_distance FROM r a JOIN r b ON a.grp < b.grp AND a.chrom = b.chrom AND abs(b.idx - a.idx) BETWEEN 5 AND 60
+ JOIN n x ON x.grp = a.grp AND x.chrom = a.chrom JOIN n y ON y.grp = b.grp AND y.chrom = b.chrom WHERE x.n * y.n >= 10 GROUP BY ALL"""))
+def h8_across(spark, sf):
+    """Pairs of regions of different sets, named in their order on the chromosome."""
+    regions = table(spark, sf, "lineitem").selectExpr("l_returnflag AS grp", "l_suppkey AS chrom", "l_partkey AS idx")
+    return H.pairs_across_sets(regions, "grp", "chrom", "idx", 5, 60, 10, directed=True).groupBy("chrom", "sets").agg(
         F.count("*").alias("anchors"), F.sum(F.col("idx2") - F.col("idx1")).alias("total_distance"))
 
 

@@ -291,13 +291,14 @@ def j5(spark, sf):
                          keys.where("l_returnflag = 'R'"), "a", "b")
 
 
-@plan("j6_catalogue_union", """WITH s AS (SELECT l_partkey AS key, count(*) AS support FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
- p AS (SELECT l_partkey AS key, count(*) AS probes FROM lineitem WHERE l_quantity < 5 GROUP BY 1)
+@plan("j6_catalogue_union", """WITH s AS (SELECT l_partkey * 100000 + l_suppkey AS key, count(*) AS support FROM lineitem WHERE l_quantity >= 25 GROUP BY 1),
+ p AS (SELECT l_partkey * 100000 + l_suppkey AS key, count(*) AS probes FROM lineitem WHERE l_quantity < 25 GROUP BY 1)
  SELECT key, support, probes, p.key IS NOT NULL AS in_panel FROM s FULL JOIN p USING (key)""")
 def j6(spark, sf):
     line = table(spark, sf, "lineitem")
-    s = line.where("l_quantity > 45").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("support"))
-    p = line.where("l_quantity < 5").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("probes"), F.lit(True).alias("_in"))
+    key = (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("key")
+    s = line.where("l_quantity >= 25").groupBy(key).agg(F.count("*").alias("support"))
+    p = line.where("l_quantity < 25").groupBy(key).agg(F.count("*").alias("probes"), F.lit(True).alias("_in"))
     return s.join(p, "key", "full_outer").withColumn("in_panel", F.col("_in").isNotNull()).drop("_in")
 
 
@@ -484,25 +485,33 @@ def u1(spark, sf):
         table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_acctbal AS balance"), allowMissingColumns=True)
 
 
-_LISTS = """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
- b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45) """
+# Lists of part and supplier pairs, one for each return flag; every line is in one of them.
+_LISTS = "WITH l AS (SELECT DISTINCT l_returnflag AS list, l_partkey * 100000 + l_suppkey AS k FROM lineitem) "
+_PAIRS = (("A", "N"), ("A", "R"), ("N", "R"))
 
 
-def _two_lists(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_quantity > 45")
-    return (line.where("l_returnflag = 'R'").selectExpr("l_partkey AS k"), line.where("l_returnflag = 'A'").selectExpr("l_partkey AS k"))
+def _lists(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr("l_returnflag AS list", "l_partkey * 100000 + l_suppkey AS k").distinct()
 
 
-@plan("u2_intersection", _LISTS + "SELECT k FROM a INTERSECT SELECT k FROM b")
+def _pairs_of_lists(spark, sf, combine):
+    """The result of ``combine`` for every two lists, with their names."""
+    lists, out = _lists(spark, sf), None
+    for x, y in _PAIRS:
+        side = lambda name: lists.where(F.col("list") == name).select("k")
+        rows = combine(side(x), side(y)).select(F.lit(x).alias("list_a"), F.lit(y).alias("list_b"), "k")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@plan("u2_intersection", _LISTS + "SELECT x.list AS list_a, y.list AS list_b, x.k FROM l x JOIN l y ON x.k = y.k AND x.list < y.list")
 def u2(spark, sf):
-    a, b = _two_lists(spark, sf)
-    return a.intersect(b)
+    return _pairs_of_lists(spark, sf, lambda a, b: a.intersect(b))
 
 
-@plan("u3_difference", _LISTS + "SELECT k FROM a EXCEPT SELECT k FROM b")
+@plan("u3_difference", _LISTS + "SELECT x.list AS list_a, p.b AS list_b, x.k FROM l x JOIN (SELECT DISTINCT a.list AS a, b.list AS b FROM l a, l b WHERE a.list < b.list) p ON p.a = x.list WHERE NOT EXISTS (SELECT 1 FROM l y WHERE y.list = p.b AND y.k = x.k)")
 def u3(spark, sf):
-    a, b = _two_lists(spark, sf)
-    return a.distinct().join(b, "k", "left_anti")
+    return _pairs_of_lists(spark, sf, lambda a, b: a.join(b, "k", "left_anti"))
 
 
 @plan("u4_distinct_by_columns", """SELECT l_partkey, l_suppkey, min(l_orderkey * 8 + l_linenumber) AS first_row, arg_min(l_quantity, {'o': l_orderkey, 'n': l_linenumber, 'q': l_quantity}) AS quantity
@@ -513,7 +522,8 @@ def u4(spark, sf):
         F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("first_row"), F.min_by("l_quantity", order).alias("quantity"))
 
 
-@plan("u5_sorted_key_union", _LISTS + "SELECT k FROM (SELECT k FROM a UNION SELECT k FROM b) ORDER BY k")
+@plan("u5_sorted_key_union", _LISTS + "SELECT DISTINCT k FROM l ORDER BY k")
 def u5(spark, sf):
-    a, b = _two_lists(spark, sf)
-    return a.union(b).distinct().orderBy("k")
+    lists = _lists(spark, sf)
+    own = [lists.where(F.col("list") == name).select("k") for name in "ANR"]
+    return own[0].union(own[1]).union(own[2]).distinct().orderBy("k")
