@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyarc.operators.contracts import guarded
-from tallyarc.operators.joins import split_hot
+from tallyarc.operators.joins import heaviest, split_hot
 from tallyarc.operators.scan import last_seen, ordered_running
 
 LEVELS = 9  # the coarsest bin is 32 ** 8 finest ones, longer than any sequence
@@ -66,6 +66,17 @@ def _binned(df: DataFrame, span: tuple[str, str], width: int, other_levels: Colu
     return rows.withColumn(f"_first{side}", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
+def _seen(df: DataFrame, keys: Sequence[str], span: tuple[str, str], width: int) -> Column:
+    """The levels in use and the heaviest bins of any level, from one pass; a one-row scalar."""
+    sizes = _bin_sizes(width)
+    rows = df.select(*keys, F.col(span[0]).alias("_a"), (F.col(span[1]) - 1).alias("_b"), _level(span, width).alias("_own"))
+    rows = rows.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(len(sizes) - 1))))
+    size = F.element_at(F.array(*[F.lit(n).cast("long") for n in sizes]), F.col("_level") + 1)
+    bins = rows.withColumn("_bin", F.explode(F.array_distinct(F.array(F.floor(F.col("_a") / size), F.floor(F.greatest("_a", "_b") / size)))))
+    cells = bins.select("_own", F.xxhash64(*keys, "_level", "_bin").alias("_cell"))
+    return cells.agg(F.struct(F.sort_array(F.collect_set("_own")).alias("levels"), heaviest("_cell").alias("heavy"))).scalar()
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str],
                  right_span: tuple[str, str], width: int) -> DataFrame:
     """Every pair of overlapping half-open intervals that share ``keys``, once, with ``overlap``.
@@ -76,12 +87,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_sp
     cut into parts that meet two by two.
     """
     (ls, le), (rs, re_) = left_span, right_span
-    used = lambda df, span: df.select(F.sort_array(F.collect_set(_level(span, width)))).scalar()
-    lft = _binned(left, left_span, width, used(right, right_span), "l")
-    r = _binned(right, right_span, width, used(left, left_span), "r")
+    seen_l, seen_r = _seen(left, keys, left_span, width), _seen(right, keys, right_span, width)
+    lft = _binned(left, left_span, width, seen_r["levels"], "l")
+    r = _binned(right, right_span, width, seen_l["levels"], "r")
     once = (F.col("_level") == F.greatest("_ownl", "_ownr")) & (F.col("_bin") == F.greatest("_firstl", "_firstr"))
     hit = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & once
-    lft, r, on = split_hot(lft, r, [*keys, "_level", "_bin"])
+    lft, r, on = split_hot(lft, r, [*keys, "_level", "_bin"], tops=(seen_l["heavy"], seen_r["heavy"]))
     return lft.join(r, on).where(hit).withColumn(
         "overlap", F.least(F.col(le), F.col(re_)) - F.greatest(F.col(ls), F.col(rs))).drop(*on[len(keys):], "_ownl", "_ownr", "_firstl", "_firstr")
 

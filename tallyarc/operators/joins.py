@@ -100,27 +100,32 @@ def product_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
 HOT_ROWS, HOT_CELLS, MOST_PARTS, TRACKED = 4096, 1000, 32, 20_000
 
 
-def split_hot(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+def heaviest(cell: str) -> Column:
+    """Aggregate: the most frequent values of ``cell`` (a hash) and their counts, from a sketch of bounded size."""
+    return F.expr(f"approx_top_k({cell}, {HOT_CELLS}, {TRACKED})")
+
+
+def split_hot(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, tops: tuple[Column, Column] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of an equi-join and its columns, with the heaviest cells of ``on`` cut into parts that meet two by two.
 
     The heavy cells come from one sketch of each side (a bounded list whose errors cost
-    balance, never rows), so no row is shuffled to be counted. Rows of a cell that isn't
-    heavy have no copies; a heavy one's rows have as many as the other side has parts there.
+    balance, never rows), so no row is shuffled to be counted. ``tops`` are such sketches
+    that a caller has already. Rows of a cell that isn't heavy have no copies; a heavy one's
+    rows have as many as the other side has parts there.
     """
-    def parts(df: DataFrame) -> Column:
-        top = df.select(F.xxhash64(*on).alias("_cell")).agg(F.expr(f"approx_top_k(_cell, {HOT_CELLS}, {TRACKED})").alias("t"))
-        heavy = F.filter("t", lambda x: x["count"] > hot_rows)
-        cut = F.transform(heavy, lambda x: F.struct(x["item"], F.least(F.ceil(x["count"] / hot_rows), F.lit(MOST_PARTS)).cast("int")))
-        found = F.try_element_at(top.select(F.map_from_entries(cut)).scalar(), F.xxhash64(*on))
-        return F.coalesce(found, F.lit(1))
+    def parts(df: DataFrame, top: Column | None) -> Column:
+        if top is None:
+            top = df.select(F.xxhash64(*on).alias("_cell")).agg(heaviest("_cell")).scalar()
+        rows = F.try_element_at(F.map_from_entries(top), F.xxhash64(*on))
+        return F.coalesce(F.when(rows > hot_rows, F.least(F.ceil(rows / hot_rows), F.lit(MOST_PARTS)).cast("int")), F.lit(1))
 
-    n = {"_i": parts(left), "_j": parts(right)}
+    n = {"_part_l": parts(left, tops and tops[0]), "_part_r": parts(right, tops and tops[1])}
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         rows = df.withColumn(own, F.pmod(F.xxhash64(*df.columns), n[own]).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), n[other] - 1)))
 
-    return dealt(left, "_i", "_j"), dealt(right, "_j", "_i"), [*on, "_i", "_j"]
+    return dealt(left, "_part_l", "_part_r"), dealt(right, "_part_r", "_part_l"), [*on, "_part_l", "_part_r"]
 
 
 def ledger_status(planned: DataFrame, history: DataFrame, key: str, status: str, default: str = "pending") -> DataFrame:

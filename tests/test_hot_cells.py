@@ -25,7 +25,7 @@ def test_hot_cells_are_cut_and_nothing_is_lost(spark):
 
 
 def test_overlap_join_over_a_hot_bin(spark, monkeypatch):
-    monkeypatch.setattr("tallyarc.operators.joins.split_hot.__defaults__", (40,))
+    monkeypatch.setattr("tallyarc.operators.joins.split_hot.__defaults__", (40, None))
     left, right = _sides(spark)
     got = I.overlap_join(left, right, ["contig"], ("ls", "le"), ("rs", "re"), 64).select("l", "r", "overlap").collect()
     plain = left.join(right, "contig").where("ls < re AND rs < le").select("l", "r", F.expr("least(le, re) - greatest(ls, rs)").alias("overlap")).collect()
@@ -33,7 +33,7 @@ def test_overlap_join_over_a_hot_bin(spark, monkeypatch):
 
 
 def test_tolerance_join_over_a_hot_bin(spark, monkeypatch):
-    monkeypatch.setattr("tallyarc.operators.joins.split_hot.__defaults__", (40,))
+    monkeypatch.setattr("tallyarc.operators.joins.split_hot.__defaults__", (40, None))
     left, right = _sides(spark)
     probes = left.selectExpr("l", "contig", "ls AS b1", "le AS b2")
     rows = right.selectExpr("r", "contig", "rs AS r_b1", "re AS r_b2")
@@ -46,3 +46,16 @@ def test_empty_sides(spark):
     left, right = _sides(spark, 60)
     for a, b in ((left.limit(0), right), (left, right.limit(0))):
         assert I.overlap_join(a, b, ["contig"], ("ls", "le"), ("rs", "re"), 64).count() == 0
+
+
+def test_pairs_across_region_sets(spark):
+    from tallyarc.operators import matrix as H
+
+    rows = [("A", "c", 10), ("A", "c", 40), ("B", "c", 15), ("B", "c", 41), ("B", "c", 41), ("C", "c", 300), ("A", "d", 1), ("B", "d", 2)]
+    regions = spark.createDataFrame(rows, "grp string, chrom string, idx long")
+    got = lambda **k: {tuple(r) for r in H.pairs_across_sets(regions, "grp", "chrom", "idx", 1, 30, **k).collect()}
+    assert got(min_compare=2) == {("c", "A-B", 10, 15), ("c", "A-B", 15, 40), ("c", "A-B", 40, 41)}
+    assert got(min_compare=2, directed=True) == {("c", "A-B", 10, 15), ("c", "B-A", 15, 40), ("c", "A-B", 40, 41)}
+    assert got(min_compare=5) == set()
+    within = {(r.chrom, r.idx1, r.idx2) for r in H.all_pairs_within(regions.where("grp = 'B'"), "chrom", "idx", 1, 30).collect()}
+    assert within == {("c", 15, 41)}
