@@ -186,6 +186,56 @@ def shape_mask(spark, shape: str, reach: int = REACH) -> DataFrame:
     return grid.withColumn("part", part).where("part IS NOT NULL")
 
 
+#: Names of shapes, of their parts, and of the parts of a region on the diagonal.
+FRAMED = ("center_vs_quadrants", "center_vs_rest", "circle", "insulation", "cornerpeak", "checker")
+FEATURES = ("region_parts", "stripes")
+STENCIL = "shape string, i int, j int, part string"
+
+
+def stencil(spark, reach: int = REACH, size: int = 3, circle: int = 5, padding: float = 1.0, resolution: int = 1) -> DataFrame:
+    """shape, i, j, part of every shape: one table of window cells, made from the window's size alone.
+
+    FRAMED shapes have the parts foreground and background, and a cell may be in both.
+    FEATURES name the parts around a region's own place on the diagonal: its two sides and
+    stripes and what it spans, or the distance along either stripe.
+    """
+    cells = range(-reach, reach + 1)
+    half, window = (size - 1) / 2, 2 * reach + 1
+    low, high = (round((padding + d) / (2 * padding) * window) - reach - 1 for d in (-0.5, 0.5))  # the region's borders within a window of twice the padding
+    inner, outer, middle = (lambda k: low < k < high), (lambda k: k < low or k > high), (lambda k: abs(k) <= half)
+    near = lambda k, border: abs(k - border) <= 2
+    square = lambda i, j: inner(i) and inner(j)
+    rules = {
+        ("center_vs_quadrants", "foreground"): lambda i, j: middle(i) and middle(j), ("center_vs_quadrants", "background"): lambda i, j: not middle(i) and not middle(j),
+        ("center_vs_rest", "foreground"): lambda i, j: middle(i) and middle(j), ("center_vs_rest", "background"): lambda i, j: not (middle(i) and middle(j)),
+        ("circle", "foreground"): lambda i, j: 4 * (i * i + j * j) < circle * circle, ("circle", "background"): lambda i, j: 4 * (i * i + j * j) >= circle * circle,
+        ("insulation", "foreground"): square, ("insulation", "background"): lambda i, j: (outer(i) and inner(j)) or (inner(i) and outer(j)),
+        ("cornerpeak", "foreground"): lambda i, j: (near(i, low) and near(j, high)) or (near(i, high) and near(j, low)), ("cornerpeak", "background"): lambda i, j: low + 2 <= i <= high - 2 and low + 2 <= j <= high - 2,
+        ("checker", "foreground"): square, ("checker", "background"): lambda i, j: (i < low and j > high) or (i > high and j < low),
+    }
+    rows = [(shape, i, j, part) for (shape, part), holds in rules.items() for i in cells for j in cells if holds(i, j)]
+    side = lambda k: "mid" if middle(k) else "up" if k < 0 else "down"
+    parts = {("up", "up"): "5' Region", ("up", "mid"): "5' Stripe", ("up", "down"): "Span", ("mid", "down"): "3' Stripe", ("down", "down"): "3' Region"}
+    rows += [("region_parts", i, j, parts[side(i), side(j)]) for i in cells for j in cells if i < j and (side(i), side(j)) in parts]
+    rows += [("stripes", i, j, str((j if side(j) == "down" else i) * resolution)) for i in cells for j in cells if (side(i), side(j)) in (("mid", "down"), ("up", "mid"))]
+    return spark.createDataFrame(rows, STENCIL)
+
+
+def shape_scores(rows: DataFrame, stencils: DataFrame, keys: Sequence[str], metric=F.avg) -> DataFrame:
+    """shape, keys, foreground, background, ratio, difference by the FRAMED stencils; ``metric`` is F.avg or F.median of a group's cells of one window, absent values count as 0."""
+    framed = stencils.where(F.col("shape").isin(*FRAMED))
+    value = F.coalesce("value", F.lit(0.0))
+    part = lambda p: metric(F.when(F.col("part") == p, value))
+    t = rows.join(F.broadcast(framed), ["i", "j"]).groupBy("shape", *keys).agg(part("foreground").alias("foreground"), part("background").alias("background"))  # at most two rows a cell and shape
+    return t.withColumns({"ratio": F.expr("try_divide(foreground, background)"), "difference": F.col("foreground") - F.col("background")})
+
+
+def shape_features(rows: DataFrame, stencils: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """shape, keys, feature, value: the mean of every part of the FEATURES stencils."""
+    named = stencils.where(F.col("shape").isin(*FEATURES)).withColumnRenamed("part", "feature")
+    return rows.join(F.broadcast(named), ["i", "j"]).groupBy("shape", *keys, "feature").agg(F.avg("value").alias("value"))
+
+
 def resized(regions: DataFrame, cells: DataFrame, keys: Sequence[str], grid: int) -> DataFrame:
     """Square regions (start, end inclusive) resampled to grid x grid by bilinear weights of four neighbours."""
     steps = F.sequence(F.lit(0), F.lit(grid - 1))

@@ -217,6 +217,49 @@ def h12(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("foreground", "background", "ratio", "difference")})
 
 
+# Shapes of an 11 x 11 window, r and c from 1: a middle of three, a circle of five, a region with borders at 3 and 8.
+_STENCIL = """cell AS (SELECT i, j, i + 6 AS r, j + 6 AS c FROM grid), st AS (
+ SELECT 'center_vs_quadrants' AS shape, i, j, 'foreground' AS part FROM cell WHERE r BETWEEN 5 AND 7 AND c BETWEEN 5 AND 7 UNION ALL SELECT 'center_vs_quadrants', i, j, 'background' FROM cell WHERE r NOT BETWEEN 5 AND 7 AND c NOT BETWEEN 5 AND 7
+ UNION ALL SELECT 'center_vs_rest', i, j, CASE WHEN r BETWEEN 5 AND 7 AND c BETWEEN 5 AND 7 THEN 'foreground' ELSE 'background' END FROM cell UNION ALL SELECT 'circle', i, j, CASE WHEN sqrt(i * i + j * j) < 2.5 THEN 'foreground' ELSE 'background' END FROM cell
+ UNION ALL SELECT 'insulation', i, j, 'foreground' FROM cell WHERE r BETWEEN 4 AND 7 AND c BETWEEN 4 AND 7 UNION ALL SELECT 'insulation', i, j, 'background' FROM cell WHERE (r NOT BETWEEN 3 AND 8 AND c BETWEEN 4 AND 7) OR (r BETWEEN 4 AND 7 AND c NOT BETWEEN 3 AND 8)
+ UNION ALL SELECT 'cornerpeak', i, j, 'foreground' FROM cell WHERE (r BETWEEN 1 AND 5 AND c BETWEEN 6 AND 10) OR (c BETWEEN 1 AND 5 AND r BETWEEN 6 AND 10) UNION ALL SELECT 'cornerpeak', i, j, 'background' FROM cell WHERE r BETWEEN 5 AND 6 AND c BETWEEN 5 AND 6
+ UNION ALL SELECT 'checker', i, j, 'foreground' FROM cell WHERE r BETWEEN 4 AND 7 AND c BETWEEN 4 AND 7 UNION ALL SELECT 'checker', i, j, 'background' FROM cell WHERE (r < 3 AND c > 8) OR (r > 8 AND c < 3)),
+ ft AS (SELECT 'region_parts' AS shape, i, j, CASE WHEN r < 5 AND c < 5 THEN '5'' Region' WHEN r < 5 AND c <= 7 THEN '5'' Stripe' WHEN r < 5 THEN 'Span' WHEN r <= 7 AND c > 7 THEN '3'' Stripe' WHEN r > 7 AND c > 7 THEN '3'' Region' END AS feature FROM cell WHERE r < c
+ UNION ALL SELECT 'stripes', i, j, CAST(CASE WHEN c > 7 THEN j * 500 ELSE i * 500 END AS VARCHAR) FROM cell WHERE (r BETWEEN 5 AND 7 AND c > 7) OR (r < 5 AND c BETWEEN 5 AND 7))"""
+_ROUND = ("foreground", "background", "ratio", "difference")
+
+
+@plan("h12_shapes_per_anchor", sql(*BASE, WIN, _STENCIL, """q AS (SELECT shape, replicate, anchor, avg(value) FILTER (part = 'foreground') AS fm, avg(value) FILTER (part = 'background') AS bm, median(value) FILTER (part = 'foreground') AS fd, median(value) FILTER (part = 'background') AS bd FROM win JOIN st USING (i, j) GROUP BY ALL),
+ l AS (SELECT shape, replicate, anchor, 'mean' AS metric, fm AS f, bm AS b FROM q UNION ALL SELECT shape, replicate, anchor, 'median', fd, bd FROM q)""", tail="SELECT shape, replicate, anchor, metric, round(f, 6) AS foreground, round(b, 6) AS background, round(f / nullif(b, 0), 6) AS ratio, round(f - b, 6) AS difference FROM l"))
+def h12_shapes_per_anchor(spark, sf):
+    """Six shapes on the windows of every anchor and sample, by mean and by median."""
+    rows, masks = cut_lineage(window_rows(spark, sf).select("anchor", "replicate", "i", "j", "value")), H.stencil(spark, resolution=500)
+    both = [H.shape_scores(rows, masks, ["replicate", "anchor"], m).withColumn("metric", F.lit(name)) for name, m in (("mean", F.avg), ("median", F.median))]
+    return both[0].unionByName(both[1]).withColumns({c: F.round(c, 6) for c in _ROUND})
+
+
+_SIGNAL = "sig AS (SELECT replicate, i, j, avg(value) AS value FROM win GROUP BY ALL)"
+
+
+@plan("h12_shapes_per_sample", sql(*BASE, WIN, _STENCIL, _SIGNAL, """q AS (SELECT shape, replicate, avg(value) FILTER (part = 'foreground') AS fm, avg(value) FILTER (part = 'background') AS bm, median(value) FILTER (part = 'foreground') AS fd, median(value) FILTER (part = 'background') AS bd FROM sig JOIN st USING (i, j) GROUP BY ALL),
+ l AS (SELECT shape, replicate, 'mean' AS metric, fm AS f, bm AS b FROM q UNION ALL SELECT shape, replicate, 'median', fd, bd FROM q)""", tail="SELECT shape, replicate, metric, round(f, 6) AS foreground, round(b, 6) AS background, round(f / nullif(b, 0), 6) AS ratio, round(f - b, 6) AS difference FROM l"))
+def h12_shapes_per_sample(spark, sf):
+    """Six shapes on the mean window of every sample, by mean and by median."""
+    signal, masks = mean_windows(spark, sf), H.stencil(spark, resolution=500)
+    both = [H.shape_scores(signal, masks, ["replicate"], m).withColumn("metric", F.lit(name)) for name, m in (("mean", F.avg), ("median", F.median))]
+    return both[0].unionByName(both[1]).withColumns({c: F.round(c, 6) for c in _ROUND})
+
+
+def mean_windows(spark, sf):
+    return cut_lineage(window_rows(spark, sf).groupBy("replicate", "i", "j").agg(F.avg("value").alias("value")))
+
+
+@plan("h12_region_features", sql(*BASE, WIN, _STENCIL, _SIGNAL, tail="SELECT shape, replicate, feature, round(avg(value), 6) AS value FROM sig JOIN ft USING (i, j) WHERE feature IS NOT NULL GROUP BY ALL"))
+def h12_region_features(spark, sf):
+    """Sides, stripes and span of regions on the diagonal, and the run of both stripes, on the mean window of every sample."""
+    return H.shape_features(mean_windows(spark, sf), H.stencil(spark, resolution=500), ["replicate"]).withColumn("value", F.round("value", 6))
+
+
 @plan("x1_user_mask", sql(*BASE, WIN, "q AS (SELECT anchor, max(value) FILTER (i = j) AS f, max(value) FILTER (i = -j AND i <> 0) AS b FROM win GROUP BY anchor)", tail="SELECT anchor, f AS foreground, b AS background, round(f / nullif(b, 0), 6) AS ratio, f - b AS difference FROM q"))
 def x1(spark, sf):
     """A caller's own mask and aggregate."""

@@ -1,4 +1,4 @@
-"""Joins over bins of which one holds a third of all rows."""
+"""Joins over bins of which one holds a third of all rows; region pairs and stencils on windows."""
 
 from pyspark.sql import functions as F
 
@@ -59,3 +59,21 @@ def test_pairs_across_region_sets(spark):
     assert got(min_compare=5) == set()
     within = {(r.chrom, r.idx1, r.idx2) for r in H.all_pairs_within(regions.where("grp = 'B'"), "chrom", "idx", 1, 30).collect()}
     assert within == {("c", 15, 41)}
+
+
+def test_stencils_of_a_small_window(spark):
+    from tallyarc.operators import matrix as H
+
+    cells = {}
+    for r in H.stencil(spark, reach=5, resolution=10).collect():
+        cells.setdefault((r.shape, r.part), set()).add((r.i, r.j))
+    n = {k: len(v) for k, v in cells.items()}
+    assert n["center_vs_quadrants", "foreground"] == 9 and n["center_vs_quadrants", "background"] == 64 and n["center_vs_rest", "background"] == 112 and n["circle", "foreground"] == 21
+    assert cells["insulation", "foreground"] == {(i, j) for i in range(-2, 2) for j in range(-2, 2)} and n["checker", "background"] == 12 and n["insulation", "background"] == 40
+    assert n["cornerpeak", "foreground"] == 50 and cells["cornerpeak", "background"] == {(-1, -1), (-1, 0), (0, -1), (0, 0)}
+    assert all(i < j for (shape, _), v in cells.items() if shape == "region_parts" for i, j in v)
+    assert {p for s, p in cells if s == "region_parts"} == {"5' Region", "5' Stripe", "Span", "3' Stripe", "3' Region"}
+    assert cells["stripes", "20"] == {(i, 2) for i in (-1, 0, 1)} and cells["stripes", "-50"] == {(-5, j) for j in (-1, 0, 1)}
+    rows = spark.createDataFrame([("w", i, j, float(i == j)) for i in range(-5, 6) for j in range(-5, 6)], "w string, i int, j int, value double")
+    scores = {r.shape: (r.foreground, r.background) for r in H.shape_scores(rows, H.stencil(spark), ["w"]).collect()}
+    assert scores["center_vs_quadrants"] == (1 / 3, 8 / 64) and scores["checker"] == (0.25, 0.0)
