@@ -6,7 +6,7 @@ from parity import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["a4_junction_rollup", "w1_tie_intervals", "w3_tie_topk", "p11_read_decision", "j8_exon_overlap_join", "j11_tolerance_join", "w20_extended_loops",
-          "g3_similarity_clusters", "m5_group_bootstrap", "f6_edit_scores", "f3_spanning_frames", "h3_enrichment", "s8_caller_log", "f29_segmentation"]
+          "g3_similarity_clusters", "m5_group_bootstrap", "f6_edit_scores", "f3_spanning_frames", "h3_enrichment", "s8_caller_log", "f29_segmentation", "f25_unresolved_reasons", "f28_codon_states", "j15_split_comparison", "f22_residue_classes"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
