@@ -145,9 +145,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     return kept.mapInPandas(run, f"{schema}, decoded binary").select(*back[:-1], "decoded")
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded, then decoded again."""
-    ids = encode(docs, ranks, pattern)
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = 8_000_000) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded in batches of ``chars`` characters, then decoded again."""
+    ids = encode(docs, ranks, pattern, chars)
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     marked = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), "ids")
     return decode(marked, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
