@@ -35,7 +35,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's ids, and the digest of what they decode to."""
-    return bpe.digests(docs, *byte_bpe())
+    return bpe.digests(docs, *byte_bpe(), chars=3_000_000)  # smaller batches than alone: executors still hold memory of the stages before
 
 
 STAGES = [
