@@ -7,6 +7,8 @@ from collections import Counter
 
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from tallyarc.llm import bpe, html_text, license_scan, lm
 from tallyarc.llm.queries import byte_bpe
 
@@ -134,3 +136,41 @@ def test_short_edited_licenses(spark):
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
     got = {(r.doc_id, r.license_id) for r in license_scan.scan(docs, templates).collect()}
     assert got == {(i, name) for i, (name, _) in enumerate(texts)}
+
+
+def test_license_windows_collide_as_often_as_stated(spark):
+    """Pairs of windows that share j of their shingles share a band with 1 - (1 - J) ** BANDS, give or take sampling error."""
+    draw = random.Random(5)
+    key = lambda: draw.getrandbits(64) - (1 << 63)
+    size, pairs = license_scan.WINDOW, 1500
+    rows = []
+    for j in (3, 6, 9):
+        for k in range(pairs):
+            shared = [key() for _ in range(j)]
+            rows += [(f"{j}", k, shared + [key() for _ in range(size - j)]) for _ in range(2)]
+    shingled = spark.createDataFrame(rows, "j string, k int, shingles array<bigint>")
+    bands = license_scan.windows(shingled, size).groupBy("j", "k").agg(F.collect_list("bands").alias("b"))
+    got = {r.j: r.hit for r in bands.groupBy("j").agg(F.avg(F.arrays_overlap(F.col("b")[0], F.col("b")[1]).cast("int")).alias("hit")).collect()}
+    for j, hit in got.items():
+        similarity = int(j) / (2 * size - int(j))
+        stated = 1 - (1 - similarity) ** license_scan.BANDS
+        assert hit > stated - 4 * (stated * (1 - stated) / pairs) ** 0.5
+
+
+def test_broken_long_licenses(spark):
+    """Templates of 29 to 60 shingles, words replaced or others put between until just 3/4 are left: all are retrieved, few others are."""
+    draw = random.Random(6)
+    texts, templates = [], {}
+    for t in range(120):
+        n = 29 + t % 32
+        words = [f"w{t}x{i}" for i in range(n + 4)]
+        templates[f"t{t}"] = " ".join(words)
+        for _ in range(6):
+            cuts = set(draw.sample(range(5, n), n // 16))
+            parts = [(" ".join(f"o{draw.random()}" for _ in range(draw.randint(1, 30))) + " " if i in cuts else "") + w for i, w in enumerate(words)]
+            texts.append((f"t{t}", " ".join([f"p{draw.random()}"] * draw.randint(0, 9) + parts)))
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.license_id) for r in license_scan.scan(docs, templates).collect()}
+    assert got == {(i, name) for i, (name, _) in enumerate(texts)}
+    table = spark.createDataFrame(list(templates.items()), "license_id string, text string")
+    assert license_scan.retrieved(docs, table).count() == len(got)
