@@ -162,6 +162,20 @@ def shifted(anchors: DataFrame, by: int, size1: Column, size2: Column, reach: in
     return anchors.withColumns({"bin1": F.col("bin1") + step, "bin2": F.col("bin2") + step})
 
 
+def by_diagonal(observed: DataFrame, background: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, i, j, observed, expected, ratio): mean region windows against a background of their diagonal.
+
+    Both tables hold mean values (keys, i, j, value), at most a window's cells a key. Each is
+    made symmetric by adding its mirror image; what is expected of a cell is the mean of the
+    background's cells at the same distance j - i. Where that is null or 0, so is no ratio.
+    """
+    mirrored = lambda t: t.union(t.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "value")).groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
+    distance = (F.col("j") - F.col("i")).alias("distance")
+    expected = mirrored(background.select(*keys, "i", "j", "value")).groupBy(*keys, distance).agg(F.avg("value").alias("expected"))
+    cells = mirrored(observed.select(*keys, "i", "j", "value")).select(*keys, "i", "j", F.col("value").alias("observed"), distance)
+    return cells.join(expected, [*keys, "distance"], "left").drop("distance").withColumn("ratio", F.expr("try_divide(observed, expected)"))
+
+
 def quantify(rows: DataFrame, mask: DataFrame, keys: Sequence[str], metric=F.avg) -> DataFrame:
     """Foreground, background, ratio and difference of a window by a mask table (i, j, part) and an aggregate."""
     part = lambda p: metric(F.when(F.col("part") == p, F.col("value")))

@@ -193,6 +193,23 @@ def h10(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("observed", "background", "ratio")})
 
 
+REGIONS = """anch AS (SELECT 'p' || s_suppkey // 2 AS pair_id, s_suppkey AS anchor, s_suppkey AS bin1, s_suppkey AS bin2 FROM supplier)"""
+
+
+@plan("h10_region_expectation", sql(V.CONTACTS, SIZE, REGIONS, GRID, _SHIFT, WIN, _win("bwin", "sh"), """o AS (SELECT replicate, i, j, avg(value) AS v FROM win GROUP BY ALL)""",
+                                    """b AS (SELECT replicate, i, j, avg(value) AS v FROM bwin GROUP BY ALL)""",
+                                    """e AS (SELECT x.replicate, x.j - x.i AS d, avg(x.v + y.v) AS expected FROM b x JOIN b y ON x.replicate = y.replicate AND x.i = y.j AND x.j = y.i GROUP BY ALL)""",
+                                    tail="""SELECT x.replicate, CAST(x.i AS INT) AS i, CAST(x.j AS INT) AS j, round(x.v + y.v, 6) AS observed, round(expected, 6) AS expected, round((x.v + y.v) / nullif(expected, 0), 6) AS ratio
+ FROM o x JOIN o y ON x.replicate = y.replicate AND x.i = y.j AND x.j = y.i JOIN e ON e.replicate = x.replicate AND e.d = x.j - x.i"""))
+def h10_regions(spark, sf):
+    """Windows of single regions on the diagonal, moved ones as background: expected by distance."""
+    regions = table(spark, sf, "supplier").select(F.concat(F.lit("p"), F.floor(F.col("s_suppkey") / 2)).alias("pair_id"), F.col("s_suppkey").alias("anchor"),
+                                                  F.col("s_suppkey").alias("bin1"), F.col("s_suppkey").alias("bin2"))
+    mean = lambda a: window_rows(spark, sf, a).groupBy("replicate", "i", "j").agg(F.avg("value").alias("value"))
+    out = H.by_diagonal(mean(regions), mean(H.shifted(regions, 15, *sizes(spark, sf))), ["replicate"])
+    return out.withColumns({c: F.round(c, 6) for c in ("observed", "expected", "ratio")})
+
+
 @plan("h11_resized_regions", sql(V.CONTACTS, """cell AS (SELECT bin1, bin2, sum(value) AS value FROM contacts GROUP BY ALL), rg AS (SELECT s_suppkey AS id, s_suppkey AS s, s_suppkey + 12 + s_nationkey AS e, s_nationkey % 2 = 0 AS fwd FROM supplier),
  g AS (SELECT id, fwd, gi, gj, s + gi * (e - s) / 9.0 AS px, s + gj * (e - s) / 9.0 AS py FROM rg, range(0, 10) a(gi), range(0, 10) b(gj)),
  k AS (SELECT id, fwd, gi, gj, CAST(floor(px) AS BIGINT) + dx AS b1, CAST(floor(py) AS BIGINT) + dy AS b2, (CASE dx WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) AS w FROM g, range(0, 2) c(dx), range(0, 2) d(dy))""",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyarc.operators import matrix
 from tallyarc.operators import intervals as I
 from tallyarc.operators.joins import split_hot
 
@@ -77,3 +78,18 @@ def test_stencils_of_a_small_window(spark):
     rows = spark.createDataFrame([("w", i, j, float(i == j)) for i in range(-5, 6) for j in range(-5, 6)], "w string, i int, j int, value double")
     scores = {r.shape: (r.foreground, r.background) for r in H.shape_scores(rows, H.stencil(spark), ["w"]).collect()}
     assert scores["center_vs_quadrants"] == (1 / 3, 8 / 64) and scores["checker"] == (0.25, 0.0)
+
+
+def test_background_by_diagonal(spark):
+    """A region's cells against the mean of the mirrored background at the same distance; a diagonal without counts has no ratio."""
+    observed = spark.createDataFrame([("x", i, j, float(3 * i + j + 10)) for i in range(3) for j in range(3)], "k string, i int, j int, value double")
+    background = spark.createDataFrame([("x", i, j, 0.0 if abs(i - j) == 2 else float(i * j + 1 + i)) for i in range(3) for j in range(3)], "k string, i int, j int, value double")
+    o, b = ({(r.i, r.j): r.value for r in t.collect()} for t in (observed, background))
+    want = {}
+    for i, j in o:
+        line = [b[p, q] + b[q, p] for p, q in b if q - p == j - i]
+        expected = sum(line) / len(line)
+        want[i, j] = (o[i, j] + o[j, i], expected, (o[i, j] + o[j, i]) / expected if expected else None)
+    got = {(r.i, r.j): (r.observed, r.expected, r.ratio) for r in matrix.by_diagonal(observed, background, ["k"]).collect()}
+    assert got == want
+    assert got[0, 2][2] is None
