@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyarc.operators import references
 from tallyarc.operators.scan import positions
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
@@ -114,6 +115,48 @@ def a17(spark, sf):
     return both.withColumn("compatible", (F.col("different_length") == 0) & (F.col("sequence_only") == 0) & (F.col("annotation_only") == 0) & (F.col("out_of_bounds") == 0))
 
 
+MODELS = """ft AS (SELECT 'chr' || l_suppkey % 11 AS contig, 'exon' AS feature, l_partkey + 1 AS start, l_partkey + CAST(l_quantity AS BIGINT) AS "end", 'T' || l_orderkey AS transcript_id, NULL AS biotype FROM lineitem
+ UNION ALL SELECT 'chr' || o_custkey % 11, 'transcript', 1, 2, 'T' || o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'lncRNA' WHEN 'O' THEN 'protein_coding' END FROM orders),
+ cg AS (SELECT 'chr' || p_partkey % 10 AS contig, max(p_partkey) AS length FROM part GROUP BY 1),
+ sq AS (SELECT 'T' || o_orderkey AS transcript_id, CAST(coalesce(sum(CASE WHEN l_discount < 0.095 THEN CAST(l_quantity AS BIGINT) END), 0) AS BIGINT) AS bases FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1
+ UNION ALL SELECT 'C' || c_custkey, c_nationkey FROM customer)"""
+FINDINGS = """tr AS (SELECT t.transcript_id, coalesce(t.biotype, 'UNKNOWN') AS biotype, coalesce(x.n, 0) AS exon_bases FROM ft t LEFT JOIN (SELECT transcript_id, sum("end" - start + 1) AS n FROM ft WHERE feature = 'exon' GROUP BY 1) x USING (transcript_id) WHERE t.feature = 'transcript'),
+ fd AS (SELECT 'biotype' AS kind, biotype AS name, count(*) AS observed, CAST(NULL AS BIGINT) AS expected FROM tr GROUP BY biotype
+ UNION ALL SELECT 'absent_contig', contig, count(*), NULL FROM ft WHERE contig NOT IN (SELECT contig FROM cg) GROUP BY contig
+ UNION ALL SELECT 'invalid_interval', transcript_id || ':' || contig || ':' || start, "end", length FROM ft JOIN cg USING (contig) WHERE start < 1 OR "end" < start OR "end" > length
+ UNION ALL SELECT 'missing_sequence', transcript_id, CAST(exon_bases AS BIGINT), NULL FROM tr WHERE transcript_id NOT IN (SELECT transcript_id FROM sq)
+ UNION ALL SELECT 'missing_annotation', transcript_id, NULL, bases FROM sq WHERE transcript_id NOT IN (SELECT transcript_id FROM tr)
+ UNION ALL SELECT 'length_difference', transcript_id, CAST(exon_bases AS BIGINT), bases FROM tr JOIN sq USING (transcript_id) WHERE exon_bases <> bases)"""
+
+
+def findings(spark, sf):
+    """Annotation written as GTF and read back, contigs of the parts, sequences of orders and customers."""
+    path = scratch_path(spark, "models.gtf")
+    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    exons = line.selectExpr("concat_ws('\t', concat('chr', l_suppkey % 11), 'src', 'exon', l_partkey + 1, l_partkey + CAST(l_quantity AS BIGINT), '.', '+', '.', concat('transcript_id \"T', l_orderkey, '\";')) AS line")
+    records = orders.selectExpr("concat_ws('\t', concat('chr', o_custkey % 11), 'src', 'transcript', 1, 2, '.', '+', '.', concat('transcript_id \"T', o_orderkey, '\";', CASE o_orderstatus WHEN 'F' THEN ' transcript_type \"lncRNA\";' WHEN 'O' THEN ' transcript_type \"protein_coding\";' ELSE '' END)) AS line")
+    sinks.write_lines(exons.unionAll(records), path, F.col("line"))
+    value = lambda key: F.try_element_at("attributes", F.lit(key))
+    features = text.gtf(spark, path, ["transcript", "exon"]).select(F.col("chrom").alias("contig"), "feature", "start", "end", value("transcript_id").alias("transcript_id"),
+                                                                   value("transcript_type").alias("biotype"))
+    contigs = table(spark, sf, "part").groupBy(F.expr("concat('chr', p_partkey % 10)").alias("contig")).agg(F.max("p_partkey").alias("length"))
+    bases = orders.where("o_orderstatus <> 'P'").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.expr("concat('T', o_orderkey)").alias("transcript_id")).agg(
+        F.coalesce(F.sum(F.expr("IF(l_discount < 0.095, CAST(l_quantity AS BIGINT), NULL)")), F.lit(0)).alias("bases"))
+    others = table(spark, sf, "customer").selectExpr("concat('C', c_custkey) AS transcript_id", "CAST(c_nationkey AS BIGINT) AS bases")
+    return references.audit_findings(features, contigs, bases.unionAll(others))
+
+
+@plan("a17_reference_findings", sql(MODELS, FINDINGS, tail="SELECT kind, name, observed, expected FROM fd"))
+def a17_findings(spark, sf):
+    return findings(spark, sf)
+
+
+@plan("a17_reference_verdict", sql(MODELS, FINDINGS, tail="""SELECT CAST(sum(observed) FILTER (kind = 'biotype') AS BIGINT) AS transcripts, count(*) FILTER (kind = 'biotype' AND name IN ('lncRNA', 'lincRNA', 'antisense', 'processed_transcript')) > 0 AS noncoding_present,
+ count(*) FILTER (kind <> 'biotype') AS problems, bool_and(kind = 'biotype') AND bool_or(kind = 'biotype' AND name IN ('lncRNA', 'lincRNA', 'antisense', 'processed_transcript')) AS compatible FROM fd"""))
+def a17_verdict(spark, sf):
+    return references.audit_verdict(findings(spark, sf))
+
+
 @plan("s6_sam_records", """SELECT 'r' || l_orderkey AS read_id, l_partkey AS start, l_linenumber * 16 AS flag, CASE WHEN l_linenumber * 16 & 16 <> 0 THEN '-' ELSE '+' END AS strand, CAST(l_quantity AS BIGINT) || 'M' AS cigar, 'x:' || l_suppkey AS sa, l_partkey % 60 AS mapq
  FROM (SELECT l_orderkey, l_partkey, l_quantity, l_suppkey, l_linenumber, l_returnflag FROM lineitem) WHERE l_returnflag <> 'N'""")
 def s6(spark, sf):

@@ -96,3 +96,23 @@ def test_shared_folder_is_required_on_clusters():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             shared_dir(session(master))
+
+
+def test_reference_audit(spark):
+    """A sound reference is compatible; each fault has its own finding; a repeated transcript record fails."""
+    from tallyarc.operators.references import audit_findings, audit_verdict
+
+    columns = "contig string, feature string, start long, end long, transcript_id string, biotype string"
+    sound = [("c1", "transcript", 1, 50, "a", "lncRNA"), ("c1", "exon", 1, 10, "a", None), ("c1", "exon", 41, 50, "a", None)]
+    contigs = spark.createDataFrame([("c1", 50), ("c2", 9)], "contig string, length long")
+    run = lambda rows, bases: audit_findings(spark.createDataFrame(rows, columns), contigs, spark.createDataFrame(bases, "transcript_id string, bases long"))
+    assert [tuple(r) for r in run(sound, [("a", 20)]).collect()] == [("biotype", "lncRNA", 1, None)]
+    assert audit_verdict(run(sound, [("a", 20)])).first().compatible
+    faulty = [*sound, ("c9", "transcript", 1, 5, "b", None), ("c2", "exon", 5, 10, "b", None)]
+    found = run(faulty, [("a", 21), ("z", 3)])
+    assert {tuple(r) for r in found.collect()} == {
+        ("biotype", "lncRNA", 1, None), ("biotype", "UNKNOWN", 1, None), ("absent_contig", "c9", 1, None), ("invalid_interval", "b:c2:5", 10, 9),
+        ("missing_sequence", "b", 6, None), ("missing_annotation", "z", None, 3), ("length_difference", "a", 20, 21)}
+    assert not audit_verdict(found).first().compatible
+    with pytest.raises(Exception, match="duplicate transcript"):
+        run([*sound, sound[0]], [("a", 20)]).collect()
