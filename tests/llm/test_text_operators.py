@@ -174,3 +174,18 @@ def test_broken_long_licenses(spark):
     assert got == {(i, name) for i, (name, _) in enumerate(texts)}
     table = spark.createDataFrame(list(templates.items()), "license_id string, text string")
     assert license_scan.retrieved(docs, table).count() == len(got)
+
+
+def test_licenses_in_odd_rows(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing column names, an empty table."""
+    name, words = "mit/text", license_scan.TEMPLATES["mit/text"].split()
+    half, long = len(words) // 2, " ".join(f"x{i}" for i in range(200_000))
+    rows = [(None, " ".join(words)), (None, None), (1, ""), (1, None), (2, " ".join(words)), (2, " ".join(words)), (3, f"{long} {' '.join(words)} {long}"),
+            (4, " ".join(words[:half])), (4, " ".join(words[half:])), (5, " ".join(words[:half])), (6, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = docs.withColumns({c: F.lit("other") for c in ("license_id", "key", "start", "n", "inside", "bands", "own", "salt", "found_id", "shingles", "licenses", "matched")})
+    whole = {(None, name), (2, name), (3, name), (4, name)}
+    for table in (docs, clashing):
+        got = [(r.doc_id, r.license_id) for r in license_scan.scan(table).where(f"license_id = '{name}'").collect()]
+        assert len(got) == len(whole) and set(got) == whole
+    assert license_scan.scan(docs.where("doc_id > 9")).collect() == []
