@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyarc.operators.intervals import overlap_join, point_join
+from tallyarc.operators.intervals import overlap_join
 from tallyarc.operators.read_projection import ARM, bases, clipped
 from tallyarc.operators.transcripts import spliced
+from tallyarc.session import cut_lineage
 
 #: States of a codon.
 MIXED, OUTSIDE, SAME, OTHER = "junction/shared/unmapped codon", "outside annotated CDS", "same annotated CDS frame", "alternative CDS frame"
@@ -69,13 +70,18 @@ def codon_states(stretches: DataFrame, coding: DataFrame, chosen: DataFrame, cds
     """read_id, codon (from 0), state of every codon of the coding part [begin, end) of a joined sequence.
 
     A codon with a base of no origin or of two, or with bases of both arms, has no single
-    frame. Else its bases are looked up in the CDS of the arm's transcript (``chosen``:
-    read_id, arm, tx; ``cds``: phased()): all must lie in it, and in its frame.
+    frame. Else its stretches meet the CDS of the arm's transcript (``chosen``: read_id, arm,
+    tx; ``cds``: phased()), base by base only where they overlap: all must lie in it, and in its frame.
     """
-    part = clipped(stretches.join(coding, "read_id"), "begin", "end")
-    each = bases(part).join(chosen.select(*ARM, "tx"), ARM, "left").select(
-        "read_id", "arm", "tx", "position", F.floor((F.col("at") - F.col("begin")) / 3).alias("codon"), ((F.col("at") - F.col("begin")) % 3).cast("int").alias("slot"))
-    hit = point_join(each.where("tx IS NOT NULL"), cds, ["tx"], "position", ("cs", "ce"), width)
+    own = chosen.select(*ARM, "tx")
+    # Read several times: without a stored table its joins would be planned and run again for each.
+    part = cut_lineage(clipped(stretches.join(coding, "read_id"), "begin", "end").join(own, ARM, "left"))
+    place = lambda at: [F.floor((at - F.col("begin")) / 3).alias("codon"), ((at - F.col("begin")) % 3).cast("int").alias("slot")]
+    each = bases(part).select("read_id", "arm", *place(F.col("at")))
+    spans = part.where("tx IS NOT NULL").select("read_id", "tx", "begin", "lo", "first", "r", "r_end")
+    met = overlap_join(spans, cut_lineage(cds), ["tx"], ("r", "r_end"), ("cs", "ce"), width)
+    inside = F.sequence(F.greatest("r", "cs"), F.least("r_end", "ce") - 1)
+    hit = met.withColumn("position", F.explode(inside)).select("read_id", "strand", "cs", "ce", "phase", "position", *place(F.col("lo") + F.abs(F.col("position") - F.col("first"))))
     local = F.when(F.col("strand") == "-", F.col("ce") - 1 - F.col("position")).otherwise(F.col("position") - F.col("cs"))
     in_frame = F.pmod(local - F.coalesce("phase", F.lit(0)), F.lit(3)) == F.col("slot")
     rows = each.select("read_id", "codon", "arm", "slot", F.lit(None).cast("boolean").alias("in_frame")).unionByName(
