@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import lgamma, log, pi
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -126,33 +127,38 @@ def _ap(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return run.groupBy(*keys).agg(F.when((total > 0) & (total < size), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / total).alias("ap"))
 
 
-def log_factorials(upto: Column | int, source: DataFrame) -> DataFrame:
-    """(i, log i!) for i = 0 .. upto, summed in buckets."""
-    numbers = source.select(F.explode(F.sequence(F.lit(0).cast("long"), upto)).alias("i"))
-    return ordered_running(numbers, [F.col("i")], {"lf": F.log(F.greatest(F.col("i"), F.lit(1)).cast("double"))}).select(
-        "i", F.col("cum_lf").alias("lf"))
+#: Terms of log(i!) below this are looked up, above they are summed from Stirling's series (off by less than 1e-11).
+EXACT = 16
 
 
-def rarefaction(members: DataFrame, cluster: str, member: str) -> DataFrame:
+def log_falling(x: Column, m: Column) -> Column:
+    """log(x! / (x - m)!) for 0 <= m <= x, row by row: its error follows m log x, not the size of log(x!)."""
+    table = F.array(*[F.lit(lgamma(i + 1)) for i in range(EXACT)])
+    z, w = (x + 1).cast("double"), (x - m + 1).cast("double")
+    series = lambda v: 1 / (12 * v) - 1 / (360 * v * v * v) + 1 / (1260 * v * v * v * v * v)
+    whole = (z - 0.5) * F.log(z) - z + 0.5 * log(2 * pi) + series(z)
+    ratio = (w - 0.5) * F.log1p(m / w) + m * F.log(z) - m + series(z) - series(w)
+    looked = lambda i: F.get(table, i.cast("int"))
+    return F.when(x < EXACT, looked(x) - looked(x - m)).when(x - m < EXACT, whole - looked(x - m)).otherwise(ratio)
+
+
+def rarefaction(members: DataFrame, cluster: str, member: str, block: int = 16_384) -> DataFrame:
     """Expected clusters seen among n of N members, n = 0 .. N.
 
-    Clusters enter by size only: equal sizes share one term.
+    Clusters enter by size only: equal sizes share one term, and k distinct sizes need
+    k (k + 1) / 2 members, so the list of sizes that meets every n is short. The n are
+    dealt out in blocks, and no term needs a look-up in another row.
     """
     per = members.select(cluster, member).distinct()
-    population = per.select(member).distinct().agg(F.count("*").alias("_N"))
-    sizes = per.groupBy(cluster).agg(F.count("*").alias("m")).groupBy("m").agg(F.count("*").alias("clusters"))
-    sizes, population = cut_lineage(sizes), cut_lineage(population)
-    lf = cut_lineage(log_factorials(F.col("_N"), population))
-    base = sizes.withColumn("_N", population.scalar())
-    grid = base.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_N"))))
-    grid = grid.withColumn("_x", F.col("_N") - F.col("n")).withColumn("_y", F.col("_x") - F.col("m"))
-
-    def look(df, on, name):
-        return df.join(lf.select(F.col("i").alias(on), F.col("lf").alias(name)), on, "left")
-
-    terms = look(look(grid, "_x", "lx"), "_y", "ly")
-    terms = look(terms.withColumn("_w", F.col("_N") - F.col("m")), "_w", "lw")
-    whole = lf.agg(F.max_by("lf", "i").alias("l")).scalar()
+    population = cut_lineage(per.select(member).distinct().agg(F.count("*").alias("_N")))
+    sizes = cut_lineage(per.groupBy(cluster).agg(F.count("*").alias("m")).groupBy("m").agg(F.count("*").alias("clusters")))
+    known = sizes.withColumn("_N", population.scalar()).select("m", "clusters", log_falling(F.col("_N"), F.col("m")).alias("all"))
+    terms = known.agg(F.collect_list(F.struct("m", "clusters", "all"))).scalar()
+    blocks = population.select("_N", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_N") / block))).alias("_b"))
+    first = F.col("_b") * block
+    tasks = int(population.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or so few rows would be put together in one
+    places = blocks.repartition(tasks, "_b").select("_N", F.explode(F.sequence(first, F.least(first + block - 1, F.col("_N")))).alias("n"))
+    grid = places.withColumn("_x", F.col("_N") - F.col("n")).select("n", "_x", F.explode(terms).alias("_t")).select("n", "_x", "_t.*")
     # C(N-m, n) / C(N, n) = C(N-n, m) / C(N, m)
-    unseen = F.when(F.col("_y") >= 0, F.exp(F.col("lx") - F.col("ly") - whole + F.col("lw"))).otherwise(F.lit(0.0))
-    return terms.groupBy("n").agg(F.sum(F.col("clusters") * (1 - unseen)).alias("expected_clusters"))
+    unseen = F.when(F.col("_x") >= F.col("m"), F.exp(log_falling(F.col("_x"), F.col("m")) - F.col("all"))).otherwise(F.lit(0.0))
+    return grid.groupBy("n").agg(F.sum(F.col("clusters") * (1 - unseen)).alias("expected_clusters"))

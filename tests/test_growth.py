@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyarc.operators import arm_transcripts as T
+from tallyarc.operators import models as M
 
 
 def test_codon_states_run_the_choice_of_transcripts_once(spark):
@@ -16,3 +17,19 @@ def test_codon_states_run_the_choice_of_transcripts_once(spark):
     got = {r.codon: r.state for r in T.codon_states(stretches, coding, chosen, cds).collect()}
     assert got == {0: T.SAME, 1: T.SAME, 2: T.OUTSIDE, 3: T.SAME, 4: T.SAME, 5: T.SAME}
     assert seen.value == 2  # once a row, however many times the result is read
+
+
+def test_rarefaction_deals_out_its_rows(spark):
+    """Large factorials, sizes on both sides of the looked-up ones, and no task that makes all n."""
+    from math import comb
+
+    sizes = [1, 1, 2, 7, 7, 30, 452]
+    rows = spark.createDataFrame([(c, 1000 * c + i) for c, m in enumerate(sizes) for i in range(m)], "c long, m long")
+    got = M.rarefaction(rows, "c", "m", block=64)
+    total = sum(sizes)
+    out = {r.n: r.expected_clusters for r in got.collect()}
+    assert sorted(out) == list(range(total + 1))
+    for n, seen in out.items():
+        assert abs(seen - sum(1 - comb(total - m, n) / comb(total, n) for m in sizes)) < 1e-9
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
