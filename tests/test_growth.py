@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tallyarc.operators import arm_transcripts as T
 from tallyarc.operators import models as M
+from tallyarc.operators import probes as P
+from tallyarc.operators import read_comparison as C
 
 
 def test_codon_states_run_the_choice_of_transcripts_once(spark):
@@ -33,3 +35,33 @@ def test_rarefaction_deals_out_its_rows(spark):
         assert abs(seen - sum(1 - comb(total - m, n) / comb(total, n) for m in sizes)) < 1e-9
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_runs_of_scores_leave_tasks_without_a_number_per_base(spark):
+    rows = [("a", "r", "genome", False, "c", "+", 0, "3S5000M4D2I3M2H", "10A4989^ACGT3", 60), ("b", "r", "genome", False, "c", "-", 9, "3S5000M4D2I3M2H", "10A4989^ACGT3", 60)]
+    placed = C.scored(spark.createDataFrame(rows, "id string, read string, kind string, secondary boolean, target string, strand string, start long, cigar string, md string, mapq int"))
+    got = {r.id: r for r in placed.select("id", "runs", "length", "qstart", "qend").collect()}
+    forward = [(3, 13, 1), (13, 14, -2), (14, 5002, 1), (5002, 5003, -7), (5003, 5005, -2), (5005, 5008, 1)]
+    assert [tuple(r) for r in got["a"].runs] == forward and (got["a"].length, got["a"].qstart, got["a"].qend) == (5010, 3, 5008)
+    assert [tuple(r) for r in got["b"].runs] == [(5010 - e, 5010 - s, v) for s, e, v in reversed(forward)]
+    plan = placed.select("runs")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan  # no row spells its bases out where only runs are read
+
+
+def test_joint_runs_by_brute_force(spark):
+    left, right = [(0, 4, 1), (4, 5, -2), (9, 12, 1)], [(3, 10, 1), (10, 11, -6)]
+    runs = "array<struct<start:int,end:int,score:int>>"
+    got = spark.createDataFrame([(left, right)], f"l {runs}, r {runs}").select(C.joint_runs(F.col("l"), F.col("r"), F.lit(0), F.lit(14)).alias("j")).first().j
+    at = lambda rs, p: [v for s, e, v in rs if s <= p < e]
+    both = [at(left, p) + at(right, p) for p in range(14)]
+    assert (got.score, got.covered) == (sum(min(b) if b else C.NO_SCORE for b in both), sum(1 for b in both if b))
+
+
+def test_wanted_windows_are_told_apart_however_many_are_wanted(spark, monkeypatch):
+    """Texts that hold no probe give no rows to a shuffle; a gene with many probes has several lists."""
+    monkeypatch.setattr(P, "AT_ONCE", 3)
+    probes = spark.createDataFrame([(i, "g", f"{i:06b}".replace("0", "A").replace("1", "C")) for i in range(50)] + [(99, "h", "GGGGGG")], "probe_id int, k string, probe string")
+    texts = [(1, "g", "AAAAAAACCA"), (2, "g", "T" * 500), (3, "h", "AAAAAA"), (4, "h", "G" * 8), (5, "g", "AAA\nAAA")]
+    got = P.substring_hits(probes, spark.createDataFrame(texts, "tx int, k string, seq string"), "k", "probe", "seq", 6)
+    assert sorted((r.probe_id, r.tx, r.pos) for r in got.collect()) == [(0, 1, 0), (0, 1, 1), (1, 1, 2), (3, 1, 3), (6, 1, 4), (99, 4, 0), (99, 4, 1), (99, 4, 2)]
+    assert "xxhash64(w" not in got._jdf.queryExecution().optimizedPlan().toString()  # no shared field of bits that fills up
