@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyarc.operators import arm_transcripts as T
+from tallyarc.operators import components as G
 from tallyarc.operators import models as M
 from tallyarc.operators import probes as P
 from tallyarc.operators import read_comparison as C
@@ -65,3 +66,21 @@ def test_wanted_windows_are_told_apart_however_many_are_wanted(spark, monkeypatc
     got = P.substring_hits(probes, spark.createDataFrame(texts, "tx int, k string, seq string"), "k", "probe", "seq", 6)
     assert sorted((r.probe_id, r.tx, r.pos) for r in got.collect()) == [(0, 1, 0), (0, 1, 1), (1, 1, 2), (3, 1, 3), (6, 1, 4), (99, 4, 0), (99, 4, 1), (99, 4, 2)]
     assert "xxhash64(w" not in got._jdf.queryExecution().optimizedPlan().toString()  # no shared field of bits that fills up
+
+
+def test_edges_of_a_hub_meet_its_number_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "HUB", 20)
+    links = [(f"n{i:03d}", "hub") for i in range(150)] + [(f"n{i:03d}", f"m{i:03d}") for i in range(0, 150, 3)] + [("x", "y"), ("z", "z")]
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
+    assert len(got) == 204 and {c for n, c in got.items() if n not in "xyz"} == {"hub"} and (got["x"], got["y"], got["z"]) == ("x", "x", "z")
+    rows = spark.range(200).selectExpr("7L AS k", "id AS v")
+    met = G._looked_up(rows, "k", spark.createDataFrame([(7, 1, 200)], "u long, m long, n long"), "u", "m")
+    assert met.count() == 200 and "_part" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_make_no_row_per_turn(spark):
+    groups = spark.range(3000).selectExpr("id AS g", "IF(id < 7, 40 + id, 2) AS w")
+    got = G.balanced_folds(groups, "g", "w", 5)
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    loads = [r.s for r in got.groupBy("fold").agg(F.sum("w").alias("s")).collect()]
+    assert got.count() == 3000 and max(loads) - min(loads) <= 2
