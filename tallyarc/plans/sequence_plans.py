@@ -157,11 +157,8 @@ def f5(spark, sf):
 @plan("f6_edit_scores", sql(ALN, tail="""SELECT id, CAST(q + m2 + m3 + m4 - 3 - 4 - 2 * i AS BIGINT) AS edit_score,
  CASE WHEN rev THEN 0 ELSE s END AS qstart, CASE WHEN rev THEN n - s ELSE n END AS qend, n AS length, n - s AS scored FROM aln"""))
 def f6(spark, sf):
-    rows = scored_alignments(spark, sf)
-    at = F.filter(F.transform("scores", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
-    total = F.aggregate("scores", F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)))
-    return rows.select("id", total.alias("edit_score"), F.array_min(at).cast("long").alias("qstart"), (F.array_max(at) + 1).cast("long").alias("qend"),
-                       F.size("scores").cast("long").alias("length"), A.covered(F.col("scores")).cast("long").alias("scored"))
+    rows = alignments(spark, sf)
+    return rows.select("id", F.explode(F.array(A.edit_summary(A.cigar_ops(F.col("cigar")), F.col("md"), F.col("rev")))).alias("_s")).select("id", "_s.*")
 
 
 @plan("f7_window_score", sql(ALN, """per AS (SELECT *, CASE WHEN rev THEN n - 1 - u ELSE u END AS p FROM (SELECT *, unnest(range(0, n)) AS u FROM aln)),

@@ -1,7 +1,9 @@
 """Steps whose memory, passes or plans must not grow with what they meet."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyarc.functions import alignment as A
 from tallyarc.operators import arm_transcripts as T
 from tallyarc.operators import components as G
 from tallyarc.operators import models as M
@@ -84,3 +86,18 @@ def test_folds_make_no_row_per_turn(spark):
     assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
     loads = [r.s for r in got.groupBy("fold").agg(F.sum("w").alias("s")).collect()]
     assert got.count() == 3000 and max(loads) - min(loads) <= 2
+
+
+def test_edit_summary_adds_up_the_scores_without_a_number_per_base(spark):
+    aligned = [("5S10M2D3M1I4M2H", "4A5^CC2T4"), ("3D4M", "^ACG4"), ("4M2S3D1M", "4^ACG1"), ("2S3I2D5M", "^AC0G4"), ("6S", "0"), ("3M1P2N3=1X", "6C0"), ("0M3M", "3"), ("3I2D", "^AC0")]
+    rows = spark.createDataFrame([(c, m, r) for c, m in aligned for r in (False, True)], "cigar string, md string, rev boolean")
+    ops, at = A.cigar_ops(F.col("cigar")), F.filter(F.transform("s", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
+    plain = rows.withColumn("s", A.base_scores(A.query_codes(ops), A.aligned_matches(F.col("md")), A.deletions(ops), F.col("rev"))).select(
+        "cigar", "rev", F.aggregate("s", F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0))).alias("t"), F.array_min(at), F.array_max(at) + 1, F.size("s"), A.covered(F.col("s")))
+    got = rows.select("cigar", "rev", A.edit_summary(ops, F.col("md"), F.col("rev")).alias("x"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.select("cigar", "rev", "x.*").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan and plan.count("regexp_extract_all") == 1
+    for cigar, md in (("3M", "4"), ("07M", "7"), ("3M4", "3"), ("3m", "3")):
+        with pytest.raises(Exception, match="mismatch|invalid CIGAR"):
+            spark.createDataFrame([(cigar, md, False)], rows.schema).select(A.edit_summary(ops, F.col("md"), F.col("rev"))).collect()
