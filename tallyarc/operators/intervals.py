@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyarc.operators.contracts import guarded
 from tallyarc.operators.joins import heaviest, split_hot
 from tallyarc.operators.scan import last_seen, ordered_running
+from tallyarc.session import cut_lineage
 
 LEVELS = 9  # the coarsest bin is 32 ** 8 finest ones, longer than any sequence
 GROWTH = 32
@@ -152,7 +153,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, keys: Sequence[str], posit
     """
     p = points.select(*keys, F.col(position).alias("_at")).distinct().withColumn("_edge", F.lit(None).cast("long"))
     e = edges.select(*keys, F.col(position).cast("long").alias("_at")).distinct().withColumn("_edge", F.col("_at"))
-    both = p.unionByName(e)
+    both = cut_lineage(p.unionByName(e))  # read three times by each of the two scans
     is_point = F.col("_edge").isNull().cast("int")
     below = last_seen(both, [F.col("_at"), is_point], F.col("_edge"), "_below", keys).where("_edge IS NULL").drop("_edge")
     above = last_seen(both, [-F.col("_at"), is_point], F.col("_edge"), "_above", keys).where("_edge IS NULL").drop("_edge")
@@ -194,11 +195,11 @@ def clustered_anchors(loops: DataFrame, chrom: str, gap: int, limit: int) -> Dat
     ``loops`` has (chrom, idx1, idx2) with idx1 <= idx2. Pairs are found by bins
     of width ``limit``, not by combining all anchors of a chromosome.
     """
-    base = loops.select(chrom, "idx1", "idx2").distinct().where(F.col("idx2") - F.col("idx1") < limit)
-    starts = base.groupBy(chrom, "idx1").agg(F.max("idx2").alias("_far"))
+    base = cut_lineage(loops.select(chrom, "idx1", "idx2").distinct().where(F.col("idx2") - F.col("idx1") < limit))
+    starts = cut_lineage(base.groupBy(chrom, "idx1").agg(F.max("idx2").alias("_far")))  # a running total reads its rows three times
     run = ordered_running(starts, [F.col("idx1")], partition=[chrom], maxima={"before": F.col("idx1")}, exclusive=True)
     flagged = run.withColumn("_new", (F.col("top_before").isNull() | (F.col("idx1") - F.col("top_before") > gap)).cast("int"))
-    numbered = ordered_running(flagged, [F.col("idx1")], {"cluster": F.col("_new")}, partition=[chrom])
+    numbered = cut_lineage(ordered_running(cut_lineage(flagged), [F.col("idx1")], {"cluster": F.col("_new")}, partition=[chrom]))
     clusters = numbered.groupBy(chrom, F.col("cum_cluster").alias("cluster")).agg(
         F.min("idx1").alias("i1"), F.max("_far").alias("far"))
     members = base.join(numbered.select(chrom, "idx1", F.col("cum_cluster").alias("other")), [chrom, "idx1"])
@@ -206,5 +207,5 @@ def clustered_anchors(loops: DataFrame, chrom: str, gap: int, limit: int) -> Dat
         "_bin", F.floor(F.col("idx2") / limit))
     reach = clusters.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("i1") / limit), F.floor((F.col("i1") + limit) / limit))))
     ok = (F.col("cluster") < F.col("other")) & (F.col("i1") + limit > F.col("idx2")) & (F.col("idx2") > F.col("far") + gap)
-    reach, ends, on = split_hot(reach, ends, [chrom, "_bin"])
+    reach, ends, on = split_hot(cut_lineage(reach), cut_lineage(ends), [chrom, "_bin"])
     return reach.join(ends, on).where(ok).select(chrom, F.col("i1").alias("idx1"), "idx2").distinct()

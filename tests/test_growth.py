@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyarc.functions import alignment as A
 from tallyarc.operators import arm_transcripts as T
 from tallyarc.operators import components as G
+from tallyarc.operators import intervals as I
 from tallyarc.operators import models as M
 from tallyarc.operators import probes as P
 from tallyarc.operators import read_comparison as C
@@ -101,3 +102,16 @@ def test_edit_summary_adds_up_the_scores_without_a_number_per_base(spark):
     for cigar, md in (("3M", "4"), ("07M", "7"), ("3M4", "3"), ("3m", "3")):
         with pytest.raises(Exception, match="mismatch|invalid CIGAR"):
             spark.createDataFrame([(cigar, md, False)], rows.schema).select(A.edit_summary(ops, F.col("md"), F.col("rev"))).collect()
+
+
+def test_scans_of_scans_work_out_their_rows_once(spark):
+    """What running totals and joins read several times is stored; else each step multiplies the work of those before."""
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: (seen.add(1), v)[1], "long")
+    loops = spark.createDataFrame([("c", i * 30, i * 30 + 40) for i in range(20)], "chrom string, idx1 long, idx2 long").withColumn("idx2", counted("idx2"))
+    I.clustered_anchors(loops, "chrom", 20, 120).collect()
+    assert seen.value <= 40  # two conditions on it, in one pass
+    points = spark.createDataFrame([("c", i) for i in range(20)], "chrom string, at long").withColumn("at", counted("at"))
+    before = seen.value
+    I.nearest_edge(points, points.where("chrom <> 'c'"), ["chrom"], "at").collect()
+    assert seen.value - before <= 20
