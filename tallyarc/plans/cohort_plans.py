@@ -173,11 +173,11 @@ def placed_exons(spark, sf):
  FROM (SELECT DISTINCT o_orderkey AS tx, unnest([0, 7, 40, o_orderkey % 90]) AS q FROM orders WHERE o_orderkey IN (SELECT tx FROM pl)) o LEFT JOIN pl ON pl.tx = o.tx AND q >= t0 AND q < t0 + e - s + 1"""))
 def f14(spark, sf):
     """Offsets to genomic bases and back; an offset beyond its transcript, which the operator refuses, is told apart first."""
-    pl = placed_exons(spark, sf)
+    pl = cut_lineage(placed_exons(spark, sf))  # read by every join, also for its levels
     zero = lambda v: F.lit(v).cast("long")
     pts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.explode(F.array(zero(0), zero(7), zero(40), F.col("o_orderkey") % 90)).alias("q")).distinct()
     pts = cut_lineage(pts.join(pl.groupBy("tx").agg(F.max("tx_end").alias("n")), "tx"))
-    there = X.to_genome(pts.where("q < n").drop("n"), pl, "tx", "strand", "s", "e", "q").select("tx", "q", "base")
+    there = cut_lineage(X.to_genome(pts.where("q < n").drop("n"), pl, "tx", "strand", "s", "e", "q").select("tx", "q", "base"))
     back = X.to_transcript(there, pl, "tx", "strand", "s", "e", "base").select("tx", F.col("q").alias("offset"), F.lit("mapped").alias("status"), "base", F.col("offset").alias("round_trip"))
     none = F.lit(None).cast("long")
     beyond = pts.where("q >= n").select("tx", F.col("q").alias("offset"), F.lit("offset_beyond_transcript").alias("status"), none.alias("base"), none.alias("round_trip"))
