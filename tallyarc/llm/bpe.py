@@ -14,7 +14,8 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,12 @@ def gather(starts: np.ndarray, lens: np.ndarray, flat: np.ndarray, codes: np.nda
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = 8_000_000) -> DataFrame:
     """doc_id and ids of every whole text, without special tokens."""
+    return _encoded(docs, ranks, pattern, chars, lambda doc_id, ids: (doc_id, ids), "doc_id string, ids array<int>")
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int, row: Callable[[str, np.ndarray], tuple], schema: str) -> DataFrame:
+    """``row`` of every text's doc_id and ids, made where the text is put together; the first of its columns is doc_id."""
+    names = [part.split()[0] for part in schema.split(", ")]
     split = regex.compile(pattern)
     groups = buckets(docs.sparkSession)
     packed = pack(docs, lambda text: split.findall(text), chars)
@@ -118,11 +125,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int =
             at += len(ids)
             parts.append(ids)
         flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, dtype=np.int32)
-        return pd.DataFrame({"doc_id": texts["doc_id"], "ids": [gather(starts, lens, flat, unsqueeze(c)) for c in texts["codes"]]})
+        out = [row(doc_id, gather(starts, lens, flat, unsqueeze(c))) for doc_id, c in zip(texts["doc_id"], texts["codes"], strict=True)]
+        del words, texts, answers, parts, flat, got
+        give_back()
+        return pd.DataFrame(out, columns=names)
 
     requests = packed.mapInPandas(request, "bucket int, batch long, words binary")
     answers = requests.groupBy("bucket").applyInPandas(encode_bucket, "batch long, bucket int, lens binary, ids binary")
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, "doc_id string, ids array<int>").select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(assemble, schema).select(F.col("doc_id").cast("long").alias("doc_id"), *names[1:])
+
+
+def decoder(ranks: dict[bytes, int]) -> Callable[[list[int]], bytes]:
+    """The bytes of a list of ids; an id that isn't in the vocabulary has none."""
+    token_bytes = {i: token for token, i in ranks.items()}
+    return lambda ids: b"".join([token_bytes.get(i, b"") for i in ids])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
@@ -130,15 +146,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
 
     The table has as many rows as the vocabulary (bounded by MOST_RANKS), so it goes to each task.
     """
-    token_bytes = {i: token for token, i in ranks.items()}
+    whole = decoder(ranks)
     keep = [c for c in encoded.columns if c not in (ids_col, "decoded")]
 
     @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = token_bytes.get
         for frame in frames:
-            whole = [b"" if ids is None else b"".join([get(i, b"") for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]) for ids in frame[ids_col]]
-            yield frame[keep].assign(decoded=whole)
+            yield frame[keep].assign(decoded=[b"" if ids is None else whole(ids.tolist() if isinstance(ids, np.ndarray) else ids) for ids in frame[ids_col]])
 
     kept, back = exact(encoded.select(*keep, ids_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
@@ -146,8 +160,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = 8_000_000) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded in batches of ``chars`` characters, then decoded again."""
-    ids = encode(docs, ranks, pattern, chars)
-    text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    marked = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), "ids")
-    return decode(marked, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded in batches of ``chars`` characters, then decoded again.
+
+    The ids are decoded in the task that puts them together: a second worker beside it would take its memory again.
+    """
+    whole = decoder(ranks)
+
+    def digest(doc_id: str, ids: np.ndarray) -> tuple:
+        ids = ids.tolist()
+        return doc_id, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(whole(ids)).hexdigest()
+
+    return _encoded(docs, ranks, pattern, chars, digest, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -162,6 +162,7 @@ def prune(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
     """Sequential verification on signatures: pairs (a, b) whose posterior stays above MISS."""
     limits = bounds(threshold)
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
@@ -181,6 +182,7 @@ def similar(x: bytes, y: bytes, percent: int) -> bool:
 def confirm(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * shared >= percent * union on the full sets."""
 
+    @giving_back
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             linked = [similar(x, y, percent) for x, y in zip(frame["items_a"], frame["items_b"], strict=True)]

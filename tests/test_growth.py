@@ -115,3 +115,18 @@ def test_scans_of_scans_work_out_their_rows_once(spark):
     before = seen.value
     I.nearest_edge(points, points.where("chrom <> 'c'"), ["chrom"], "at").collect()
     assert seen.value - before <= 20
+
+
+def test_ids_are_digested_where_texts_are_put_together(spark):
+    from hashlib import sha256
+
+    from tallyarc.llm import bpe
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"th": 256, b"the": 257}
+    docs = spark.createDataFrame([(1, "the other"), (2, None), (2**62 + 1, "é the")], "doc_id long, text string")
+    out = bpe.digests(docs, ranks, r"\S+|\s+")
+    want = {r.doc_id: (len(r.ids), sha256(" ".join(map(str, r.ids)).encode()).hexdigest()) for r in bpe.encode(docs, ranks, r"\S+|\s+").collect()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in out.collect()} == want
+    assert {r.doc_id: r.decoded_sha256 for r in out.collect()} == {i: sha256((t or "").encode()).hexdigest() for i, t in docs.collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan[:plan.index("FlatMapCoGroupsInPandas")]  # no second worker holds the ids beside the one that makes them
