@@ -130,3 +130,22 @@ def test_ids_are_digested_where_texts_are_put_together(spark):
     assert {r.doc_id: r.decoded_sha256 for r in out.collect()} == {i: sha256((t or "").encode()).hexdigest() for i, t in docs.collect()}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan[:plan.index("FlatMapCoGroupsInPandas")]  # no second worker holds the ids beside the one that makes them
+
+
+def test_tracts_by_brute_force(spark):
+    import random
+    from itertools import groupby
+
+    from tallyarc.functions import sequence as Q
+
+    random.seed(2)
+    seqs = ["", "AAAAA", "AAAAATTTTT", "CAAAAAAG", "\n\n\n\n\nA", "ACGT"] + ["".join(random.choice("ACGT") * random.choice([1, 1, 2, 4, 5, 9]) for _ in range(30)) for _ in range(30)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)] + [(-1, None)], "i long, s string")
+    for minimum in (1, 5, 10):
+        want = {-1: None}
+        for i, s in enumerate(seqs):
+            runs = [list(g) for _, g in groupby(enumerate(s), key=lambda x: x[1])]
+            want[i] = [(r[0][0], r[-1][0] + 1, r[0][1]) for r in runs if len(r) >= minimum]
+        out = df.select("i", Q.homopolymers(F.col("s"), minimum).alias("h"))
+        assert {r.i: r.h and [tuple(x) for x in r.h] or r.h for r in out.collect()} == want
+    assert ")*)" not in out._jdf.queryExecution().optimizedPlan().toString()  # shorter runs are passed over, not made into elements
