@@ -147,15 +147,14 @@ def corroboration(a: DataFrame, b: DataFrame, key: str, strata: Mapping[str, Col
     ``strata`` conditions use columns that both sides carry.
     """
     inputs = [c for c in a.columns if c != key]
-    left = a.select(key, *inputs, F.lit(1).alias("_side"))
-    right = b.select(key, *inputs, F.lit(2).alias("_side"))
-    rows = left.unionByName(right).withColumn("stratum", F.explode(F.filter(F.array(
-        *[F.when(cond, F.lit(name)) for name, cond in strata.items()]), lambda s: s.isNotNull())))
-    sides = rows.groupBy("stratum", key).agg(F.max((F.col("_side") == 1).cast("int")).alias("a"),
-                                             F.max((F.col("_side") == 2).cast("int")).alias("b"))
-    counted = sides.groupBy("stratum").agg(
-        F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("b")).alias("shared"),
-        F.count("*").alias("either"))
+    rows = a.select(key, *inputs, F.lit(1).alias("_side")).unionByName(b.select(key, *inputs, F.lit(2).alias("_side")))
+    # Dealt out first: keys seldom repeat, and a task then groups a shuffle partition, not a whole split of the scan.
+    flags = rows.repartition(key).groupBy(key).agg(*[
+        F.max((F.coalesce(cond, F.lit(False)) & (F.col("_side") == side)).cast("int")).alias(f"{s}_{i}")
+        for i, cond in enumerate(strata.values()) for side, s in ((1, "a"), (2, "b"))])
+    held = [F.struct(F.lit(name).alias("stratum"), F.sum(f"a_{i}").alias("n_a"), F.sum(f"b_{i}").alias("n_b"), F.sum(F.col(f"a_{i}") * F.col(f"b_{i}")).alias("shared"),
+                     F.sum(F.greatest(f"a_{i}", f"b_{i}")).alias("either")) for i, name in enumerate(strata)]
+    counted = flags.agg(F.array(*held).alias("_s")).select(F.inline("_s")).where("either > 0")
     return counted.withColumn("a_to_b", F.expr("try_divide(shared, n_a)")).withColumn("b_to_a", F.expr("try_divide(shared, n_b)"))
 
 

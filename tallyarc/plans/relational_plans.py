@@ -396,7 +396,7 @@ def j19(spark, sf):
      tail="""SELECT stratum, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * b) AS BIGINT) AS shared, count(*) AS either,
  round(sum(a * b) / sum(a), 6) AS a_to_b, round(sum(a * b) / sum(b), 6) AS b_to_a FROM sd GROUP BY stratum"""))
 def j21(spark, sf):
-    r = V.reads(spark, sf).select("pair_id", "caller", (F.col("l_partkey") % 3 == F.col("l_suppkey") % 3).alias("cis")).distinct()
+    r = V.reads(spark, sf).select("pair_id", "caller", (F.col("l_partkey") % 3 == F.col("l_suppkey") % 3).alias("cis"))
     out = J.corroboration(r.where("caller = 'F'").drop("caller"), r.where("caller = 'O'").drop("caller"), "pair_id", {
         "overall": F.lit(True), "cis": F.col("cis"), "trans": ~F.col("cis")})
     return out.withColumns({c: F.round(c, 6) for c in ("a_to_b", "b_to_a")})

@@ -149,3 +149,15 @@ def test_tracts_by_brute_force(spark):
         out = df.select("i", Q.homopolymers(F.col("s"), minimum).alias("h"))
         assert {r.i: r.h and [tuple(x) for x in r.h] or r.h for r in out.collect()} == want
     assert ")*)" not in out._jdf.queryExecution().optimizedPlan().toString()  # shorter runs are passed over, not made into elements
+
+
+def test_corroboration_groups_each_key_once(spark):
+    from tallyarc.operators import joins as J
+
+    a = spark.createDataFrame([("x", True), ("x", True), ("y", False), ("w", None)], "k string, cis boolean")
+    b = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "k string, cis boolean")
+    out = J.corroboration(a, b, "k", {"overall": F.lit(True), "cis": F.col("cis"), "trans": ~F.col("cis"), "none": F.lit(False)})
+    got = {r.stratum: (r.n_a, r.n_b, r.shared, r.either, r.a_to_b, r.b_to_a) for r in out.collect()}
+    assert got == {"overall": (3, 3, 2, 4, 2 / 3, 2 / 3), "cis": (1, 2, 1, 2, 1.0, 0.5), "trans": (1, 1, 0, 2, 0.0, 0.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "RepartitionByExpression" in plan  # no row a stratum, no grouping of whole scan splits
