@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyarc.functions.binding import let
 from tallyarc.operators.contracts import guarded
 from tallyarc.operators.scan import last_seen
 
@@ -68,11 +69,14 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def attributes(column: Column) -> Column:
     """key "value"; pairs of a GTF attribute field as a map; the last value of a repeated key wins."""
-    keys = F.regexp_extract_all(column, F.lit(r'(\w+)\s+"?([^";]+)"?;'), 1)
-    values = F.regexp_extract_all(column, F.lit(r'(\w+)\s+"?([^";]+)"?;'), 2)
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), F.trim(v).alias("v")))
-    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == p["k"]))
-    return F.map_from_entries(kept)
+    pattern = F.lit(r'(\w+)\s+"?([^";]+)"?;')
+
+    def last_of_each(v):
+        pairs = F.zip_with(v["keys"], v["values"], lambda k, x: F.struct(k.alias("k"), F.trim(x).alias("v")))
+        kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(v["keys"], i + 2, F.size(v["keys"])), lambda k: k == p["k"]))
+        return F.map_from_entries(kept)
+
+    return let(last_of_each, keys=F.regexp_extract_all(column, pattern, 1), values=F.regexp_extract_all(column, pattern, 2))
 
 
 def gtf(spark: SparkSession, path: str, features: Sequence[str], genes: DataFrame | None = None) -> DataFrame:

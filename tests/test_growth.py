@@ -161,3 +161,11 @@ def test_corroboration_groups_each_key_once(spark):
     assert got == {"overall": (3, 3, 2, 4, 2 / 3, 2 / 3), "cis": (1, 2, 1, 2, 1.0, 0.5), "trans": (1, 1, 0, 2, 0.0, 0.0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and "RepartitionByExpression" in plan  # no row a stratum, no grouping of whole scan splits
+
+
+def test_attribute_fields_are_read_once(spark):
+    from tallyarc.sources import text
+
+    df = spark.createDataFrame([('gene_id "G1"; tag "a"; tag "b"; level 2;',), ("",), (None,)], "attr string").select(text.attributes(F.col("attr")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"gene_id": "G1", "tag": "b", "level": "2"}, {}, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
