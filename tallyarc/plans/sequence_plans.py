@@ -277,20 +277,14 @@ def best_single(windows, transcripts):
 def f25(spark, sf):
     """A read equal to the reference but for one base; even positions are high quality and keep it."""
     rows = alignments(spark, sf).withColumn("ops", A.cigar_ops(F.col("cigar")))
-    n = F.expr("CAST(q + 102 + m2 + m3 + m4 AS INT)")
-    letter = lambda k: F.get(F.array(*[F.lit(b) for b in "ACGT"]), ((F.col("pos") + k) % 4).cast("int"))
-    reference = F.transform(F.sequence(F.lit(0), n - 1), letter)
-    part = lambda start, size: F.expr(f"slice(reference, CAST({start} + 1 AS INT), CAST({size} AS INT))")
-    inserted = F.array_repeat(F.lit("A"), F.col("i").cast("int"))
-    body = F.concat(part("0", "q"), part("q + 2", "m2"), inserted, part("q + 2 + m2", "m3"), part("q + 102 + m2 + m3", "m4"))
-    rows = rows.withColumn("reference", reference).withColumn("_b", body)
-    read = F.concat(F.array_repeat(F.lit("S"), F.col("s").cast("int")), F.transform("_b", lambda b, i: F.when(i == F.col("q") - 3, "N").otherwise(b)))
-    quality = F.transform(F.sequence(F.lit(0), F.size("read") - 1), lambda i: F.when((F.col("pos") + i - F.col("s")) % 2 == 0, 35).otherwise(10))
-    rows = rows.withColumn("read", read).withColumn("quality", quality)
-    out = rows.withColumn("p", A.projected_bases(F.col("ops"), F.col("read"), F.col("quality"), F.col("reference")))
-    changed = F.size(F.filter("p", lambda x: x["action"].isin("kept", "corrected")))
-    return out.select("id", F.size("p").cast("long").alias("bases"), changed.cast("long").alias("substitutions"),
-                      F.array_join(F.transform("p", lambda x: x["base"]), "").alias("projected"))
+    rows = rows.selectExpr("*", "CAST(q + 102 + m2 + m3 + m4 AS INT) AS length").selectExpr(
+        "*", "substr(repeat('ACGT', length DIV 4 + 2), CAST(pos % 4 AS INT) + 1, length) AS reference")
+    part = lambda start, size: f"substr(reference, CAST({start} + 1 AS INT), CAST({size} AS INT))"
+    rows = rows.selectExpr("*", f"concat({part('0', 'q')}, {part('q + 2', 'm2')}, repeat('A', CAST(i AS INT)), {part('q + 2 + m2', 'm3')}, {part('q + 102 + m2 + m3', 'm4')}) AS _b")
+    rows = rows.selectExpr("*", "concat(repeat('S', CAST(s AS INT)), overlay(_b PLACING 'N' FROM CAST(q - 2 AS INT) FOR 1)) AS read")
+    rows = rows.selectExpr("*", "substr(repeat('D+', CAST(length(read) DIV 2 + 1 AS INT)), CAST(pmod(pos - s, 2) AS INT) + 1, length(read)) AS quality")  # 35 and 10
+    p = rows.select("id", A.projected_text(F.col("ops"), F.col("read"), F.col("quality"), F.col("reference")).alias("p"))
+    return p.select("id", F.col("p.bases").cast("long").alias("bases"), F.col("p.substitutions").cast("long").alias("substitutions"), F.col("p.text").alias("projected"))
 
 
 @plan("f26_position_projection", sql(ALN, tail="""SELECT id, q + 2 + m2 + m3 + m4 AS bases, CASE WHEN rev THEN pos - 1 + q + 2 + m2 + m3 + 100 + m4 - 1 ELSE pos - 1 END AS first_position,

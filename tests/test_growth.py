@@ -169,3 +169,27 @@ def test_attribute_fields_are_read_once(spark):
     df = spark.createDataFrame([('gene_id "G1"; tag "a"; tag "b"; level 2;',), ("",), (None,)], "attr string").select(text.attributes(F.col("attr")).alias("m"))
     assert [r.m for r in df.collect()] == [{"gene_id": "G1", "tag": "b", "level": "2"}, {}, None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+
+
+def test_projected_text_compares_only_stretches_that_differ(spark):
+    import random
+
+    random.seed(4)
+    rows = []
+    for i in range(60):
+        counts = [random.randint(1, 9) for _ in range(8)]
+        cigar = "".join(f"{n}{op}" for n, op in zip(counts, "SMDMINMH", strict=True))
+        reference = "".join(random.choice("ACGT") for _ in range(sum(counts) - random.choice([0, 0, 0, 4])))
+        read, r = "S" * counts[0], 0
+        for n, op in list(zip(counts, "SMDMINMH", strict=True))[1:]:
+            read += reference[r:r + n] if op == "M" else "T" * n if op in "IH" else ""
+            r += n if op in "MDN" else 0
+        read = "".join(random.choice("ACGTN") if random.random() < 0.05 * (i % 3) else c for c in read)
+        rows.append((i, cigar, read, "".join(random.choice("D+?") for _ in read), reference))
+    df = spark.createDataFrame(rows, "id long, cigar string, read string, quality string, reference string").withColumn("ops", A.cigar_ops(F.col("cigar")))
+    letters = lambda c: F.split(c, "")
+    plain = df.withColumn("p", A.projected_bases(F.col("ops"), letters("read"), F.transform(letters("quality"), lambda c: F.ascii(c) - 33), letters("reference")))
+    want = {r.id: ("".join(x.base or "" for x in r.p), len(r.p), sum(x.action in ("kept", "corrected") for x in r.p)) for r in plain.select("id", "p").collect()}
+    got = df.select("id", A.projected_text(F.col("ops"), F.col("read"), F.col("quality"), F.col("reference")).alias("p"))
+    assert {r.id: tuple(r.p) for r in got.collect()} == want
+    assert any(n for _, _, n in want.values())
