@@ -8,10 +8,11 @@ from tallyarc.functions import alignment as A
 from tallyarc.functions import sequence as Q
 from tallyarc.operators import decisions as D
 from tallyarc.operators import joins as J
+from tallyarc.operators.probes import substring_join
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
 from tallyarc.plans.views import sql
-from tallyarc.session import spread
+from tallyarc.session import cut_lineage, spread
 
 # Bases with N for the rare letters: unreadable codons.
 MASKED = "translate(regexp_replace(lower(text), '[^a-z]', ''{g}), '%s', '%s')" % (
@@ -71,20 +72,13 @@ def f4(spark, sf):
  , p AS (SELECT seq_id AS probe_id, source, substr(seq, length(seq) // 2 + 1, 12) AS probe FROM s WHERE length(seq) >= 40)
  SELECT probe_id, s.seq_id, CAST(pos AS BIGINT) AS pos FROM p JOIN s USING (source), LATERAL (SELECT unnest(range(0, length(seq) - 11)) AS pos) WHERE contains(seq, probe) AND substr(seq, pos + 1, 12) = probe""")
 def j9(spark, sf):
-    """Every occurrence, overlapping too: k-length windows meet probes on the window text."""
-    s = V.dna(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), "source"), "seq_id")
+    """Every occurrence, overlapping too, of the probes of a source in its texts."""
+    s = cut_lineage(V.dna(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), "source"), "seq_id"))  # read four times
     probes = s.where(F.length("seq") >= 40).select(
         F.col("seq_id").alias("probe_id"), "source", F.substr("seq", (F.floor(F.length("seq") / 2) + 1).cast("int"), F.lit(12)).alias("probe"))
     return substring_join(probes, s, "source", "probe", "seq", 12).select("probe_id", "seq_id", "pos")
 
 
-def substring_join(probes, texts, key: str, probe: str, text: str, k: int):
-    """Equal windows of length ``k`` under the same parent key; the key keeps probes to their parent's texts."""
-    rows = texts.select("seq_id", key, F.explode(Q.windows(F.col(text), k)).alias("_w")).select(
-        "seq_id", key, F.col("_w.pos").cast("long").alias("pos"), F.col("_w.w").alias(probe))
-    return rows.join(probes, [key, probe])
-
-
 @plan("p7_key_resolution", sql(V.DNA, "s AS (SELECT seq_id, seq, lang FROM dna JOIN documents ON doc_id = seq_id)",
      "q AS (SELECT seq_id, seq_id % 2 = 1 AS suffixed, substr(seq, 1, 20) AS a, substr(seq, length(seq) // 2, 20) AS b, lang, seq FROM s)",
      tail="""SELECT seq_id, CASE WHEN length(seq) < 60 THEN 'unexpected_probe_length' WHEN NOT contains(seq, a) OR NOT contains(reverse(seq), b) AND suffixed THEN 'parent_sequence_mapping_failed'

@@ -193,3 +193,33 @@ def test_projected_text_compares_only_stretches_that_differ(spark):
     got = df.select("id", A.projected_text(F.col("ops"), F.col("read"), F.col("quality"), F.col("reference")).alias("p"))
     assert {r.id: tuple(r.p) for r in got.collect()} == want
     assert any(n for _, _, n in want.values())
+
+
+def test_substring_join_deals_out_texts_and_probes(spark, monkeypatch):
+    """Cells of both sides, pieces of a long text, letters beyond one byte, equal probes: as by brute force, and no row for a window that equals no probe."""
+    for name, n in (("PIECE", 7), ("CELL_TEXT", 16), ("CELL_PROBES", 3), ("PER_PROBE", 1)):
+        monkeypatch.setattr(P, name, n)
+    words = ["ACGA", "AAAA", "CCCC", "GACA", "ÄACA", "A\nCA", "😀AAC", "TTTT", "AC", "ACGAC"]
+    probes = [(i, "g", w) for i, w in enumerate(words)] + [(50, "h", "ACGA"), (51, "g", "AAAA"), (52, None, "AAAA"), (53, "g", None)]
+    texts = [(1, "g", "ACGACGAAAAAACCCCCÄACA\nCA" * 2), (2, "g", "AAA"), (3, "h", "AAAAACGA"), (4, "g", "😀AACGACA"), (5, None, "AAAA"), (6, "g", None), (7, "i", "AAAA")]
+    got = P.substring_join(spark.createDataFrame(probes, "probe_id int, k string, probe string"), spark.createDataFrame(texts, "seq_id int, k string, seq string"), "k", "probe", "seq", 4)
+    expected = sorted((i, s, p) for i, k, w in probes for s, g, t in texts if k and k == g and w and t and len(w) == 4 for p in range(len(t) - 3) if t[p:p + 4] == w)
+    assert sorted((r.probe_id, r.seq_id, r.pos) for r in got.select("probe_id", "seq_id", "pos").collect()) == expected and len(expected) > 20
+    kinds = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in kinds and "array_join" not in kinds
+
+
+def test_heavy_cells_are_a_map_when_they_are_looked_up(spark, monkeypatch):
+    """Each row looks its cell up; none makes a map of the sketch first. The levels of an overlap join use the same map."""
+    from tallyarc.operators import joins as J
+
+    left, right = spark.range(3000).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id AS l"), spark.range(300).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id AS r")
+    a, b, on = J.split_hot(left, right, ["k"], hot_rows=50)
+    assert a.groupBy(*on).count().agg(F.max("count")).first()[0] < 100
+    kept = left.join(right, "k").select("l", "r")
+    assert kept.exceptAll(a.join(b, on).select("l", "r")).isEmpty() and a.join(b, on).count() == kept.count()
+    cut = [e for e in a._jdf.queryExecution().optimizedPlan().toString().split("\n") if "_part_r" in e and "map_from_entries" in e and "Aggregate" not in e]
+    assert not cut
+    monkeypatch.setattr(J, "HOT_ROWS", 50)
+    spans = spark.range(3000).selectExpr("0 AS k", "id AS l", "id % 7 AS s", "id % 7 + 3 AS e")
+    assert spans.select(I._seen(spans, ["k"], ("s", "e"), 64)["heavy"].alias("m")).first().m
