@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 LEAST_BUCKETS = 128
 SAMPLE_PER_BUCKET = 8
+#: A partition with as many sampled rows is cut into buckets; one with fewer holds about as many rows as a few buckets do.
+HEAVY_SAMPLED = 16
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -29,19 +31,32 @@ def descending(column: Column, nulls_last: bool = True) -> Column:
                     value.alias("value"))
 
 
+def _sample(df: DataFrame, key: Column, buckets: int, partition: Sequence[str]) -> DataFrame:
+    """The rows with the smallest hashes of partition and key (a bounded top-n): ``k``, and ``p``, a hash of the partition."""
+    return (df.select(key.alias("k"), F.xxhash64(*partition, key).alias("h"), (F.xxhash64(*partition) if partition else F.lit(0).cast("long")).alias("p"))
+            .orderBy("h", "k").limit(buckets * SAMPLE_PER_BUCKET))
+
+
+def _every_eighth(sorted_keys: Column) -> Column:
+    step = SAMPLE_PER_BUCKET
+    return F.filter(sorted_keys, lambda _, i: i % step == step - 1)
+
+
 def split_points(df: DataFrame, key: Column, buckets: int, partition: Sequence[str] = ()) -> Column:
     """Scalar subquery holding at most ``buckets`` split points of ``key``.
 
-    The sample is the rows with the smallest hashes of partition and key (a bounded
-    top-n), so it repeats exactly when a task is retried, and partitions that share
+    The sample repeats exactly when a task is retried, and partitions that share
     their keys don't all offer the same one. Any sample gives correct totals, the
     choice only balances the buckets.
     """
-    sample = (df.select(key.alias("k"), F.xxhash64(*partition, key).alias("h")).orderBy("h", "k")
-              .limit(buckets * SAMPLE_PER_BUCKET)
-              .agg(F.array_sort(F.collect_list("k")).alias("s")))
-    step = SAMPLE_PER_BUCKET
-    return sample.select(F.filter("s", lambda _, i: i % step == step - 1)).scalar()
+    return _sample(df, key, buckets, partition).agg(F.array_sort(F.collect_list("k")).alias("s")).select(_every_eighth(F.col("s"))).scalar()
+
+
+def _heavy_and_cuts(df: DataFrame, key: Column, buckets: int, partition: Sequence[str]) -> Column:
+    """Scalar subquery: hashes of the partitions with ``HEAVY_SAMPLED`` sampled rows or more, and the split points of their rows."""
+    per = _sample(df, key, buckets, partition).groupBy("p").agg(F.collect_list("k").alias("ks")).where(F.size("ks") >= (HEAVY_SAMPLED if partition else 0))
+    every = per.agg(F.collect_list("p").alias("heavy"), F.array_sort(F.flatten(F.collect_list("ks"))).alias("s"))
+    return every.select(F.struct("heavy", _every_eighth(F.col("s")).alias("cuts"))).scalar()
 
 
 def _cuts_below(buckets: int) -> Column:
@@ -58,15 +73,18 @@ def ordered_running(df: DataFrame, by: Sequence[Column], measures: dict[str, Col
 
     ``by`` are ascending sort keys, distinct per partition for a defined order.
     ``exclusive`` leaves the current row out (a sum starts at 0, a maximum at null).
+    Only heavy partitions are cut into buckets; what came before a bucket is then a short
+    table, at most the sample's partitions times the buckets, so rows are shuffled once.
     """
     partition = list(partition)
     measures, maxima = measures or {}, maxima or {}
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
-    buckets = bucket_count(df)
-    cuts = split_points(df, key, buckets, partition)
-    tagged = df.withColumn("_key", key).withColumn("_cuts", cuts).withColumn("_bucket", _cuts_below(buckets)).drop("_cuts")
+    seen = _heavy_and_cuts(df, key, bucket_count(df), partition)
+    is_heavy = F.array_contains(seen["heavy"], F.xxhash64(*partition)) if partition else F.lit(True)
+    tagged = df.withColumn("_key", key).withColumn("_cuts", seen["cuts"])
+    tagged = tagged.withColumn("_bucket", F.when(is_heavy, _cuts_below(bucket_count(df))).otherwise(-1)).drop("_cuts")
     tagged = tagged.withColumns({f"_m_{n}": c for n, c in measures.items()} | {f"_x_{n}": c for n, c in maxima.items()})
-    totals = tagged.groupBy(*partition, "_bucket").agg(
+    totals = tagged.where("_bucket >= 0").groupBy(*partition, "_bucket").agg(
         *[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in measures], *[F.max(f"_x_{n}").alias(f"_x_{n}") for n in maxima])
     earlier = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*[F.col(c).alias(f"_p_{c}") for c in partition], F.col("_bucket").alias("_p_bucket"),
@@ -77,9 +95,10 @@ def ordered_running(df: DataFrame, by: Sequence[Column], measures: dict[str, Col
     on = F.col("_bucket") == F.col("_p_bucket")
     for c in partition:
         on = on & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
-    return tagged.join(starts, on, "left").select(
+    before = lambda n: F.coalesce(F.col(f"_s_{n}"), F.lit(0))  # noqa: E731  # none in a partition of one bucket
+    return tagged.join(F.broadcast(starts), on, "left").select(
         *df.columns,
-        *[(F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0)) + F.col(f"_s_{n}")).alias(f"cum_{n}") for n in measures],
+        *[(F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0)) + before(n)).alias(f"cum_{n}") for n in measures],
         *[F.greatest(F.max(f"_x_{n}").over(inside), F.col(f"_y_{n}")).alias(f"top_{n}") for n in maxima])
 
 
