@@ -8,6 +8,7 @@ from tallyarc.functions.approximate import approximate_hits
 from tallyarc.operators import rollup
 from tallyarc.operators import transcripts as X
 from tallyarc.operators.contracts import guarded
+from tallyarc.operators.scan import bucket_count
 from tallyarc.plans import views as V
 from tallyarc.plans.registry import plan, table
 from tallyarc.plans.views import sql
@@ -247,7 +248,8 @@ def f28(spark, sf):
  ct AS (SELECT tx, b, s0, e0, unnest([s0, e0]) AS c FROM blk UNION SELECT blk.tx, b, s0, e0, unnest([greatest(s0, xs), least(e0, xe)]) FROM blk JOIN x ON x.tx = blk.tx AND xs < e0 AND s0 < xe), pt AS (SELECT *, lead(c) OVER (PARTITION BY tx, b, s0 ORDER BY c) AS hi FROM ct),
  rg AS (SELECT tx, min(xs) AS t0, max(xe) AS t1 FROM x GROUP BY tx)""", tail="""SELECT pt.tx, b AS supplier, s0 AS block, c AS lo, hi, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.tx = pt.tx AND xs <= c AND hi <= xe) THEN 'exon' WHEN t0 <= c AND hi <= t1 THEN 'intron' ELSE 'outside' END AS kind FROM pt JOIN rg ON rg.tx = pt.tx WHERE hi IS NOT NULL"""))
 def f29(spark, sf):
-    line = table(spark, sf, "lineitem")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    line = line.repartition(bucket_count(line), "l_orderkey")  # all that follows is one transcript's
     blocks = line.selectExpr("l_orderkey AS tx", "l_suppkey AS supplier", "l_partkey * 100 - 20 AS start", "l_partkey * 100 + 30 AS end").distinct().withColumn(
         "block", F.struct("supplier", "start"))
     exons = line.groupBy(F.col("l_orderkey").alias("tx"), (F.col("l_partkey") * 100).alias("xs")).agg((F.max(F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")) + 1).alias("xe"))

@@ -223,3 +223,64 @@ def test_heavy_cells_are_a_map_when_they_are_looked_up(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT_ROWS", 50)
     spans = spark.range(3000).selectExpr("0 AS k", "id AS l", "id % 7 AS s", "id % 7 + 3 AS e")
     assert spans.select(I._seen(spans, ["k"], ("s", "e"), 64)["heavy"].alias("m")).first().m
+
+
+def test_running_totals_cut_heavy_partitions_only(spark):
+    """Many small partitions keep one bucket each and add nothing to the table of earlier buckets; nulls form one, too."""
+    from tallyarc.operators.scan import ordered_running
+
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('g', id % 1000) END AS g", "id % 977 * 7 AS v", "id")
+    run = ordered_running(rows, [F.col("v"), F.col("id")], {"one": F.lit(1)}, ["g"], {"top": F.col("id")}, exclusive=True)
+    expected, groups = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.v, r.id)):
+        earlier = groups.setdefault(r.g, [])
+        expected[r.id] = (len(earlier), max(earlier, default=None))
+        earlier.append(r.id)
+    assert {r.id: (r.cum_one, r.top_top) for r in run.collect()} == expected
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "_bucket" in plan
+    seen = rows.select(F.explode(scan_seen(rows)["heavy"]).alias("p")).distinct().join(rows.select("g", F.xxhash64("g").alias("p")).distinct(), "p")
+    assert {r.g for r in seen.collect()} == {"hot", None}
+
+
+def scan_seen(rows):
+    from tallyarc.operators import scan
+
+    return scan._heavy_and_cuts(rows, F.struct("v", "id"), 128, ["g"])
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def test_retained_fraction_shuffles_its_two_tables_once(spark):
+    from tallyarc.operators import transcripts as X
+
+    domains = [(k, 1 + k % 5, 20 + k % 7) for k in range(12)]
+    links = [(i % 11, 1 + i * 7 % 23, 1 + i * 7 % 23 + i % 9, 1 + i % 4) for i in range(60)]
+    got = X.retained_fraction(spark.createDataFrame(domains, "k long, domain_start long, domain_end long"),
+                              spark.createDataFrame(links, "k long, parent_start long, parent_end long, candidate_start long"), "k")
+    assert _shuffles(got) == 0 and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()  # both tables once, by their key
+    for r in got.collect():
+        _, s, e = domains[r.k]
+        held = [(max(a, s), min(b, e), c + max(a, s) - a) for k, a, b, c in links if k == r.k and max(a, s) <= min(b, e)]
+        covered = {p for a, b, _ in held for p in range(a, b + 1)}
+        assert (r.fraction, r.segments, r.first_mapped) == (pytest.approx(len(covered) / (e - s + 1)), len(held), min((m for *_, m in held), default=None))
+
+
+def test_segments_of_exons_that_overlap_and_one_shuffle_a_table(spark):
+    from tallyarc.operators import transcripts as X
+
+    blocks = [("t", "b", 0, 100), ("t", "c", 25, 28), ("t", "d", 500, 510), ("u", "e", 5, 9)]
+    exons = [("t", 10, 40), ("t", 20, 30), ("t", 35, 60), ("t", 60, 70), ("t", 80, 90)]
+    got = X.segmented(spark.createDataFrame(blocks, "tx string, block string, start long, end long"), spark.createDataFrame(exons, "tx string, xs long, xe long"), ["tx"], "block")
+    assert _shuffles(got) <= 3  # the blocks, and the exons for each of their two joins
+    expected = set()
+    for tx, b, s, e in blocks:
+        own = [(x, y) for t, x, y in exons if t == tx]
+        cuts = sorted({s, e} | {c for x, y in own if x < e and s < y for c in (max(s, x), min(e, y))})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            inside = any(x <= lo and hi <= y for x, y in own)
+            span = own and min(own)[0] <= lo and hi <= max(y for _, y in own)
+            expected.add((tx, b, lo, hi, "exon" if inside else "intron" if span else "outside"))
+    assert {tuple(r) for r in got.collect()} == expected and ("t", "b", 35, 40, "exon") in expected and ("t", "b", 30, 35, "exon") in expected
