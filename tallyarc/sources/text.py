@@ -26,7 +26,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     spans = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = spans.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return lines.join(starts, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_start")).alias("line_no"), "value")
+    # A row for each split: broadcast, so no line is shuffled to get its number.
+    return lines.join(F.broadcast(starts), ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_start")).alias("line_no"), "value")
 
 
 def read_table(spark: SparkSession, path: str, schema: str, numeric: Sequence[str] = (), sep: str = "\t") -> DataFrame:

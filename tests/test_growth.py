@@ -284,3 +284,18 @@ def test_segments_of_exons_that_overlap_and_one_shuffle_a_table(spark):
             span = own and min(own)[0] <= lo and hi <= max(y for _, y in own)
             expected.add((tx, b, lo, hi, "exon" if inside else "intron" if span else "outside"))
     assert {tuple(r) for r in got.collect()} == expected and ("t", "b", 35, 40, "exon") in expected and ("t", "b", 30, 35, "exon") in expected
+
+
+def test_lines_are_numbered_without_a_shuffle_of_the_lines(spark, tmp_path):
+    from tallyarc.sources import text
+
+    for name, n in (("a", 3000), ("b", 5)):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+    try:
+        got = text.numbered_lines(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+        assert sorted((r.value[0], r.line_no, r.value) for r in got.collect()) == sorted((f, i, f"{f}{i}") for f, n in (("a", 3000), ("b", 5)) for i in range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
