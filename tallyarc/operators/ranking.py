@@ -22,18 +22,19 @@ def tie_ranks(df: DataFrame, tie_keys: Sequence[Column], row_id: str) -> DataFra
     ``tie_keys`` are ascending keys; the id orders rows for display only.
     """
     names = [f"_t{i}" for i in range(len(tie_keys))]
-    # Read by six scans below: computed once, kept where a lost executor cannot take it.
+    # Read by the scans below: computed once, kept where a lost executor cannot take it.
     keyed = cut_lineage(df.select("*", *[k.alias(n) for n, k in zip(names, tie_keys)]))
-    ties = keyed.groupBy(*names).agg(F.count("*").alias("_ties"))
+    ties = cut_lineage(keyed.groupBy(*names).agg(F.count("*").alias("_ties")))
     ties = ordered_running(ties, [F.col(n) for n in names], {"ties": F.col("_ties")})
     ties = ties.select(*[F.col(n).alias(f"_j{n}") for n in names],
                        (F.col("cum_ties") - F.col("_ties") + 1).alias("rank_min"), F.col("cum_ties").alias("rank_max"))
-    shown = ordered_running(keyed, [*[F.col(n) for n in names], F.col(row_id)], {"one": F.lit(1)})
     on = F.lit(True)
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col(f"_j{n}"))
-    return (shown.join(ties, on, "left")
-            .select(*df.columns, "rank_min", "rank_max", F.col("cum_one").alias("display_rank")))
+    # Within a tie only ids are compared, and only large ties are looked for their buckets.
+    ranked = cut_lineage(keyed.join(ties, on, "left").select(*df.columns, "rank_min", "rank_max"))
+    shown = ordered_running(ranked, [F.col(row_id)], {"one": F.lit(1)}, partition=["rank_min"])
+    return shown.select(*df.columns, "rank_min", "rank_max", (F.col("rank_min") - 1 + F.col("cum_one")).alias("display_rank"))
 
 
 def sequential_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyarc.session import cut_lineage
+
 LEAST_BUCKETS = 128
 SAMPLE_PER_BUCKET = 8
 #: A partition with as many sampled rows is cut into buckets; one with fewer holds about as many rows as a few buckets do.
@@ -133,7 +135,7 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: d
     holding a third of the table is spread over many tasks.
     """
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))  # read four times
     run = ordered_running(counts, [F.col("_v")], {"n": F.col("_n")}, partition=groups)
     size = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     if groups:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyarc.operators import ranking as R
 from tallyarc.operators import rollup
 from tallyarc.operators.contracts import ContractError, check_pairs, require_columns
-from tallyarc.operators.scan import grouped_quantiles, ordered_running
+from tallyarc.operators.scan import descending, grouped_quantiles, ordered_running
 from tallyarc.plans.views import CALLERS, STATES
 
 EVIDENCE = "junction_id string, sample_id string, specimen_id string, read_id string, state string, mapping_specific boolean, margin double, anchor long, caller string"
@@ -125,3 +125,18 @@ def test_strict_topk_refuses_incomplete_input(spark):
     for rows, k in (([(1, None)], 1), ([(None, 1.0)], 1), ([(2, 1.0)], 1), ([(1, 1.0)], 2)):
         with pytest.raises(Exception):
             R.strict_topk(spark.createDataFrame(rows, "y int, s double"), "y", "s", k).collect()
+
+
+def test_display_ranks_compare_ids_within_ties_only(spark):
+    """Ties larger than a bucket, nulls in keys; rows are not looked up by all tie keys again."""
+    rows = [(i, "a" if i % 3 else None, i % 7 if i < 6000 else 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, s string, n int").repartition(5)
+    got = R.tie_ranks(df, [F.col("n"), descending(F.length("s"))], "id")
+    order = sorted(rows, key=lambda r: (r[2], r[1] is None, r[0]))
+    first, last = {}, {}
+    for k, r in enumerate(order, 1):
+        first.setdefault(r[1:], k)
+        last[r[1:]] = k
+    assert sorted(map(tuple, got.collect())) == sorted((*r, first[r[1:]], last[r[1:]], k) for k, r in enumerate(order, 1))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_t0" not in plan and "_t1" not in plan
