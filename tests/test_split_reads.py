@@ -150,3 +150,15 @@ def test_single_explanations_and_other_placements_decide(spark):
     states = {r.read: (r.state, r.reasons) for r in C.read_assessment(placed, exons).collect()}
     assert states == {"explained": ("single_transcript_explained", ["single_transcript_covers_window"]), **{k: ("supported_two_gene_junction", ["meets_all_criteria"]) for k in ("supported", "same place", "nothing")},
                       **{k: ("ambiguous_single_vs_split", ["alternative_placement"]) for k in ("elsewhere", "worse")}}
+
+
+def test_comparisons_shuffle_by_read_only(spark):
+    """The best single and the competitors come to a pair where its read is; equal rows stay as many as they are."""
+    rows = [("a", "r", "genome", False, "c", "+", 0, "50M50S", "50", 60), ("b", "r", "genome", False, "d", "+", 0, "50S50M", "50", 60), ("b2", "r", "genome", True, "e", "+", 0, "50S50M", "50", 0),
+            ("t", "r", "transcript", False, "x", "+", 0, "90M10S", "90", 60), ("u", "r", "transcript", False, "x", "+", 0, "90M10S", "90", 60), ("a", "q", "genome", False, "c", "+", 0, "50M50S", "50", 60),
+            ("z", "q", "genome", False, "d", "+", 0, "50S50M", "50", 60), ("z", "q", "genome", False, "d", "+", 0, "50S50M", "50", 60)]
+    placed = C.scored(spark.createDataFrame(rows, "id string, read string, kind string, secondary boolean, target string, strand string, start long, cigar string, md string, mapq int"))
+    out = C.comparisons(placed)
+    got = sorted((r.read, r.left_id, r.right_id, r.split_score, r.single_id, r.single_score, r.competitors) for r in out.collect())
+    assert got == [("q", "a", "z", 100, None, None, 0), ("q", "z", "z", 50, None, None, 0), ("r", "a", "b", 100, "t", 70, 1)]
+    assert "hashpartitioning(left_id" not in out._jdf.queryExecution().executedPlan().toString()
